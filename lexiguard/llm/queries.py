@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiguard.llm import pii, secrets
+from lexiguard.llm import chat, pii, secrets, warc
 from lexiguard.llm.common import table
 
 
@@ -18,9 +19,24 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")), warc.SLICE_RECORDS)
+    head = lambda k: F.try_element_at("headers", F.lit(k))
+    return found.select("record_id", "address", "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), head("etag").alias("etag"), head("content-length").alias("content_length"), head("date").alias("capture_date"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_chat": op3_chat,
     "op5_secrets": op5_secrets,
+    "op9_revisits": op9_revisits,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat": chat.COLLAPSE_SQL,
+    "op9_revisits": warc.RESOLVE_SQL,
+}
