@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, pii, secrets, warc
+from lexiguard.llm import chat, pii, secrets, toxicity, warc
 from lexiguard.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")), warc.SLICE_RECORDS)
     head = lambda k: F.try_element_at("headers", F.lit(k))
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_chat": op3_chat,
     "op5_secrets": op5_secrets,
+    "op7_toxicity": op7_toxicity,
     "op9_revisits": op9_revisits,
 }
 
