@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, pii, secrets, toxicity, warc
+from lexiguard.llm import chat, lines, pii, secrets, toxicity, warc
 from lexiguard.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_chat": op3_chat,
     "op5_secrets": op5_secrets,
+    "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
     "op9_revisits": op9_revisits,
 }
