@@ -91,6 +91,19 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
     return df.select(*columns).mapInArrow(run, out)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """Rows whose value the predicate keeps, with all columns; keep() is called once a task and returns the predicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = keep()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield part.filter(pa.array([wanted(x) for x in part.column(column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 Span = tuple[str, int, int]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, lines, pii, secrets, toxicity, warc
+from lexiguard.llm import chat, decontaminate, lines, pii, secrets, toxicity, warc
 from lexiguard.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "address", "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), head("etag").alias("etag"), head("content-length").alias("content_length"), head("date").alias("capture_date"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_chat": op3_chat,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
     "op9_revisits": op9_revisits,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {

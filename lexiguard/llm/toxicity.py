@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiguard.llm.common import map_rows
+from lexiguard.llm.common import filter_rows, map_rows
 
 FIT_ROWS = 16_384
 VOCABULARY = 4_096
@@ -279,3 +279,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     out = map_rows(docs, ["doc_id", "text"], run, "doc_id long, score double, predicted int, evidence string")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score threshold or more; columns stay, and no row moves to another task."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def keep():  # noqa: ANN202
+        ids, index = shared.value
+        return lambda text: index.score(index.neighbours(vector(text, ids))) < threshold
+
+    return filter_rows(docs, "text", keep)
