@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, decontaminate, lines, near, pii, secrets, toxicity, warc
+from lexiguard.llm import chat, decontaminate, lines, near, pii, secrets, toxicity, warc, weighted
 from lexiguard.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")), warc.SLICE_RECORDS)
     head = lambda k: F.try_element_at("headers", F.lit(k))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
     "op9_revisits": op9_revisits,
     "op10_decontaminate": op10_decontaminate,
 }
