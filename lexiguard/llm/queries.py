@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, decontaminate, lines, near, pii, secrets, toxicity, warc, weighted
+from lexiguard.llm import chat, decontaminate, lines, near, packing, pii, secrets, toxicity, warc, weighted
 from lexiguard.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -52,6 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_secrets": op5_secrets,
