@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines; a document of which nothing else is left goes, one that was blank before stays."""
-    kept = lines.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\\S"))
+    kept = lines.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return kept.select(*docs.columns)
 
 
