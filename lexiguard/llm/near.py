@@ -10,14 +10,15 @@ with a chance of about one in a million at the limit itself. So:
   the matches; a class with fewer than LEAST_MATCHES others leaves. Of the rest
   only the SIGNATURE - LEAST_MATCHES + 1 rarest are merged: two classes with
   enough matches meet in one of those.
-* skip merging: the longer lists are skipped, and agreements with them are
-  counted on the two signatures of a pair.
+* skip merging: the longer lists are skipped; what they would have added is
+  counted in full when a pair is compared.
 
-Lists are merged in two passes. The first links every class of a list to its
-smallest class. The confirmed links give components. The second compares, in
-lists that still hold several components, the classes of different components;
-links within a component cannot change the result. Long lists are compared in
-pairs of blocks, so no task holds a whole list and no list is capped.
+Every list ties its classes to its smallest one. The clusters so tied hold all
+candidates, and each class's full set goes to its cluster once. Within a
+cluster, sets are merged by their rarest shingles: sets alike enough share one
+of those. Pairs already in one component are not compared again, since a link
+between them changes nothing. A large cluster is cut into blocks, and each pair
+of blocks is one group, so no task holds a whole cluster and none is capped.
 
 Links are confirmed with 100 * common >= percent * united on full sets of
 64-bit shingle hashes.
@@ -42,8 +43,8 @@ SHINGLE = 5
 SIGNATURE = 48
 LEAST_MATCHES = 28
 PERCENT = 85
-#: Classes of a list that are compared with as many others in one task.
-BLOCK_CLASSES = 1_000
+#: Shingles of a cluster's block; a task holds two blocks at a time.
+BLOCK_SHINGLES = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63 - 1, size=(2, SIGNATURE), dtype=np.uint64)
@@ -97,45 +98,52 @@ def _keys(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield rep, key
 
 
-def _compare(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (key, pair of blocks, side, class, component, signature) in order: pairs across components that agree in enough coordinates."""
-    for _, group in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
-        members = list(group)
-        left = [m for m in members if m[2] <= 0]
-        right = [m for m in members if m[2] >= 0]
-        one = left is right or all(m[2] == 0 for m in members)
-        sig = np.frombuffer(b"".join(m[5] for m in right), dtype="<u4").reshape(-1, SIGNATURE)
-        reps = np.array([m[3] for m in right], dtype=np.int64)
-        comp = np.array([m[4] for m in right], dtype=np.int64)
-        for i, m in enumerate(left):
-            s = slice(i + 1, None) if one else slice(None)
-            open_ = np.flatnonzero((comp[s] != m[4]) & (reps[s] != m[3]))
-            if len(open_):
-                agree = (sig[s][open_] == np.frombuffer(m[5], dtype="<u4")).sum(axis=1)
-                for r in reps[s][open_][agree >= LEAST_MATCHES].tolist():
-                    yield min(m[3], r), max(m[3], r)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Sets are made again from the texts of the documents that occur."""
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.join(ends, F.col("doc_id") == F.col("rep"), "inner").select("rep", "text")
+def _joined(sets: list[np.ndarray], left: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places whose sets are alike enough, enough of them for the right components.
 
-    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for rep, text in rows:
-            yield rep, shingle_hashes(text).tobytes()
-
-    full = written(map_rows(texts, ["rep", "text"], sets, "rep long, shingles binary"))
-    a, b = full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-
-    def alike(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for x, y, sx, sy in rows:
-            p, q = np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sy, dtype=np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-            if 100 * common >= percent * (len(p) + len(q) - common):
-                yield x, y
-
-    return map_rows(pairs.join(a, "a").join(b, "b"), ["a", "b", "sa", "sb"], alike, "a long, b long")
+    With left > 0 only pairs across that place count, else all.
+    """
+    size = np.array([len(x) for x in sets])
+    _, ids, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    coded = np.split(ids, np.cumsum(size)[:-1])
+    posted: dict[int, list[int]] = {}
+    label = np.arange(len(sets))
+    mark = np.zeros(len(uses), dtype=bool)
+    for i, own in enumerate(coded):
+        n = len(own)
+        prefix = own[np.argsort(uses[own], kind="stable")[: n - -(-percent * n // 100) + 1]]
+        prefix = prefix[uses[prefix] > 1]
+        met = [posted[e] for e in prefix.tolist() if e in posted]
+        for e in prefix.tolist():
+            posted.setdefault(e, []).append(i)
+        if left and i < left or not met:
+            continue
+        near = np.unique(np.concatenate([np.array(x) for x in met]))
+        if left:
+            near = near[near < left]
+        fits = 100 * np.minimum(size[near], n) >= percent * np.maximum(size[near], n)
+        near = near[fits]
+        mark[own] = True
+        for j in near.tolist():
+            if label[i] != label[j]:
+                common = int(np.count_nonzero(mark[coded[j]]))
+                if 100 * common >= percent * (n + size[j] - common):
+                    yield j, i
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+        mark[own] = False
+
+
+def _linker(percent: int):  # noqa: ANN202
+    def link(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Rows (cluster, pair of blocks, side, class, set) in order, to links between classes."""
+        for _, group in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
+            members = list(group)
+            left = sum(m[2] < 0 for m in members)
+            sets = [np.frombuffer(m[4], dtype=np.uint64) for m in members]
+            for i, j in _joined(sets, left, percent) if len(members) > 1 and left < len(members) else ():
+                yield members[i][3], members[j][3]
+
+    return link
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -151,7 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(map_rows(docs, ["doc_id", "text"], _sets, "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
     known = rows.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
-    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
+    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")))
     links = _links(classes, docs, percent)
     # Rows with the same id but other texts tie their classes together.
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -177,37 +185,25 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     lists = ranked.where((F.col("n_met") >= LEAST_MATCHES) & (F.col("rank") <= prefix - (SIGNATURE - F.col("n_met")))).select("key", "rep")
     lists = written(lists)
     first = lists.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    stars = lists.join(first, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    sigs = classes.select("rep", "sig")
-    counted = _agreeing(stars, sigs)
-    links = written(_confirmed(written(counted), docs, percent))
-
-    comp = components(links)
-    inside = lists.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = inside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
-    left = inside.join(mixed, "key").join(sigs, "rep")
-    blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    # A block meets itself and every other one: its rows go to one task for each.
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tied = components(lists.join(first, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+    sized = tied.join(classes.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "n_shingles")
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = sized.join(blocks, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+
+    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for *place, text in rows:
+            yield *place, shingle_hashes(text).tobytes()
+
+    # Hashing the small side spares sorting whole texts.
+    texts = docs.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    full = map_rows(texts, ["rep", "cluster", "blocks", "block", "text"], sets, "rep long, cluster long, blocks int, block int, shingles binary")
+    # A block meets itself and every other one: its rows go to one group for each.
+    spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     side = F.signum(F.col("block") - F.col("other")).cast("int")
-    spread = spread.select("key", pair.alias("pair"), side.alias("side"), "rep", "comp", "sig")
-    ordered = spread.repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "rep")
-    more = map_rows(ordered, ["key", "pair", "side", "rep", "comp", "sig"], _compare, "a long, b long").distinct()
-    return links.unionByName(written(_confirmed(written(more), docs, percent)))
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in enough coordinates."""
-
-    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, x, y in rows:
-            if int((np.frombuffer(x, dtype="<u4") == np.frombuffer(y, dtype="<u4")).sum()) >= LEAST_MATCHES:
-                yield a, b
-
-    with_both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-    return map_rows(with_both, ["a", "b", "x", "y"], count, "a long, b long")
+    spread = spread.select("cluster", pair.alias("pair"), side.alias("side"), "rep", "shingles")
+    ordered = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "rep")
+    return written(map_rows(ordered, ["cluster", "pair", "side", "rep", "shingles"], _linker(percent), "a long, b long"))
 
 
 def keep_one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -216,4 +212,4 @@ def keep_one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows with the same id and text one stays; a row whose id is null stays.
     """
     gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
