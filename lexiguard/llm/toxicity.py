@@ -2,7 +2,7 @@
 
 Terms are words and word beginnings of four to six letters, each also in
 forms that stand for coming twice, and three times. The vocabulary
-holds the terms whose document counts differ most between labels; a document
+holds the terms whose shares of documents differ most between labels; a document
 is its TF-IDF vector over it, with document frequencies counted over the whole
 corpus. Cosine neighbours are searched block by block: a block is skipped only
 if the sum of its largest weights cannot reach the k-th neighbour found so
@@ -36,9 +36,13 @@ from lexiguard.llm.common import filter_rows, map_rows
 FIT_ROWS = 16_384
 VOCABULARY = 4_096
 K = 15
-BLOCK = 128
-#: Least z score of a term's difference between labels.
-LEAST_Z = 4.0
+BLOCK = 1_024
+#: Vectors whose neighbours a task remembers; short texts often have equal ones.
+REMEMBERED = 50_000
+#: Least z score of the difference of these shares.
+LEAST_Z = 2.0
+#: Least ratio of the shares of documents of either label that have a term.
+LEAST_RATIO = 4.0
 PREFIXES = (4, 5, 6)
 #: Counts from which a repeated term is also a term of its own, so that the angle between vectors shows how often it comes.
 DOSES = (2, 3)
@@ -111,6 +115,7 @@ class Index:
     maxima: np.ndarray = field(repr=False)
     curve: tuple[float, float] = (0.0, 0.0)
     bare: float = 0.0
+    memory: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def build(cls, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], class_weights: tuple[float, float]) -> Index:
@@ -144,21 +149,30 @@ class Index:
             return []
         q /= norm
         upper = q @ self.maxima[ids]
-        best: list[tuple[float, int]] = []
+        places, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(best) == k and upper[b] + 1e-9 < -best[-1][0]:
+            if upper[b] <= 0 or len(scores) == k and upper[b] + 1e-9 < scores[-1]:
                 break
             score = np.zeros(BLOCK)
-            for i, x in zip(ids, q, strict=True):
-                s, e = self.bounds[i, b], self.bounds[i, b + 1]
+            for s, e, x in zip(self.bounds[ids, b], self.bounds[ids, b + 1], q, strict=True):
                 if e > s:
                     score[self.postings[s:e] - b * BLOCK] += x * self.weights[s:e]
-            floor = -best[-1][0] if len(best) == k else 0.0
-            for j in np.flatnonzero((score > 0) & (score >= floor)):
-                if b * BLOCK + j != without:
-                    best.append((-float(score[j]), int(b * BLOCK + j)))
-            best = sorted(best)[:k]
-        return [(j, -s) for s, j in best]
+            new = np.flatnonzero((score > 0) & (score >= (scores[-1] if len(scores) == k else 0.0)))
+            new = new[new != without - b * BLOCK]
+            places, scores = np.concatenate([places, new + b * BLOCK]), np.concatenate([scores, score[new]])
+            best = np.lexsort((places, -scores))[:k]
+            places, scores = places[best], scores[best]
+        return list(zip(places.tolist(), scores.tolist(), strict=True))
+
+    def remembered(self, counts: dict[int, int]) -> list[tuple[int, float]]:
+        """neighbours(), kept for equal vectors; the counts are put in order, so that equal texts get equal sums."""
+        key = tuple(sorted(counts.items()))
+        near = self.memory.get(key)
+        if near is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            near = self.memory[key] = self.neighbours(dict(key))
+        return near
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Share of toxic weight among the neighbours."""
@@ -230,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     counts = map_rows(texts, ["text", "mark"], count_terms, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     share = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    chosen = counts.where(F.col("n0") + F.col("n1") >= 2).withColumn("z", z).where((F.col("z") >= LEAST_Z) | (F.col("n0") + F.col("n1") >= 3) & (F.col("n0") == 0) & (F.col("z") >= LEAST_Z / 2)).orderBy(F.desc("z"), "term").limit(vocabulary)
+    p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
+    # Terms that are merely commoner in one language or style fail the ratio.
+    chosen = counts.where(F.col("n0") + F.col("n1") >= 3).withColumn("z", z).where((F.greatest(p0 / p1, p1 / p0) >= LEAST_RATIO) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(vocabulary)
     ids = vocabulary_ids([r[0] for r in chosen.select("term").collect()])
     size = sum(i >= 0 for i in ids.values())
 
@@ -272,7 +288,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         ids, index = shared.value
         for doc_id, text in rows:
-            near = index.neighbours(vector(text, ids))
+            near = index.remembered(vector(text, ids))
             score = index.score(near)
             yield doc_id, score, int(score >= 0.5), ",".join(f"{index.example_ids[j]}:{index.labels[j]}:{s:.4f}" for j, s in near[:3])
 
@@ -287,6 +303,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def keep():  # noqa: ANN202
         ids, index = shared.value
-        return lambda text: index.score(index.neighbours(vector(text, ids))) < threshold
+        return lambda text: index.score(index.remembered(vector(text, ids))) < threshold
 
     return filter_rows(docs, "text", keep)
