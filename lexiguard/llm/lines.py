@@ -11,8 +11,8 @@ A template recurs if at least MIN_DOCS documents with text of their own have
 it. A document of which nearly all is in other documents too is a copy: it has
 no say here, so that copies are left to near-duplicate removal instead of
 being emptied by it. To tell, documents with half of their words in shared
-lines are cut at words whose hash says so, and the pieces are compared, which
-leaves an edited line mostly shared. Every line of a recurring template goes,
+lines are compared by runs of three words, which leaves an edited line mostly
+shared. Every line of a recurring template goes,
 in every document, except in one that would keep next to nothing: that one is
 a copy too.
 
@@ -23,9 +23,7 @@ text, so repeated rows count as one document and are treated alike.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +37,10 @@ ALIKE = 0.7
 MIN_DOCS = 3
 #: Share of words in lines that another document has too, from which a document may be a copy.
 LENT_SHARE = 0.5
-#: Share of words in pieces that another document has too, from which it is one.
+#: Share of runs of three words that another document has too, from which it is one.
 COPY_SHARE = 0.88
-#: From LEAST_PIECE words on, one word in so many ends a piece.
-PIECE_WORDS = 3
-LEAST_PIECE = 3
+#: One in so many runs of three words is compared, for a text as a whole.
+PIECE_SHARE = 2
 #: A document that would lose more than this share of its words stays as it is: all of it is elsewhere too.
 MOST_LOST = 0.95
 #: Distinct lines of a leaf that one task parses at a time.
@@ -113,69 +110,65 @@ def _templates(distinct: DataFrame) -> DataFrame:
     return first.select("form", "template").join(again, "template").select("form", F.col("final").alias("template"))
 
 
-def _pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Adds (hash, words) of a text's pieces; none where the text is null, as it is for documents that need none."""
-    for k1, k2, text, masked in rows:
-        pieces, start = [], 0
-        words = (text or "").split()
-        for i, w in enumerate(words, 1):
-            if i - start >= LEAST_PIECE and zlib.crc32(w.encode()) % PIECE_WORDS == 0 or i == len(words):
-                pieces.append({"h": int.from_bytes(hashlib.blake2b(" ".join(words[start:i]).encode(), digest_size=8).digest(), "little", signed=True), "n": i - start})
-                start = i
-        yield k1, k2, masked, pieces
+def _pieces(text: Column) -> Column:
+    """Hashes of every three words in a row, the share that PIECE_SHARE lets through, chosen by the hash itself."""
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    # Arrays outside a lambda are made once a row; inside one they would be made again for every word.
+    runs = F.arrays_zip(words, F.slice(words, 2, F.size(words)), F.slice(words, 3, F.size(words)))
+    return F.filter(F.transform(runs, lambda r: F.xxhash64(r["0"], r["1"], r["2"])), lambda h: F.pmod(h, F.lit(PIECE_SHARE)) == 0)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k1, k2, positions) of the lines to drop; k1 and k2 are two hashes of id and text."""
-    keyed = docs.select(*_key(), "text")
-    lines = keyed.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(k, positions) of the lines to drop; k is the hash of id and text."""
+    keyed = docs.select(_key(), "text")
+    lines = keyed.select("k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(r"\S")).withColumn("masked", _masked(F.col("line")))
-    table = written(lines.select("k1", "k2", "pos", *_line_columns(F.col("masked"), F.col("line"))))
-    doc = F.struct("k1", "k2")
+    table = written(lines.select("k", "pos", *_line_columns(F.col("masked"), F.col("line"))))
+    doc = F.col("k")
     leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
     shared = written(table.join(leaves.select("leaf", (F.col("f") != F.col("g")).alias("mixed")), "leaf"))
 
     common = shared.groupBy("form").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a <> b").select("form")
-    lent = shared.join(common, "form").groupBy("k1", "k2").agg(F.sum("n_words").alias("lent"))
-    own = table.groupBy("k1", "k2").agg(F.sum("n_words").alias("all"))
-    suspects = own.join(lent, ["k1", "k2"]).where(F.col("lent") >= LENT_SHARE * F.col("all")).select("k1", "k2", F.lit(True).alias("suspect"), F.array().cast("array<struct<pos:int,leaf:long,form:long>>").alias("wanted"))
+    lent = shared.join(common, "form").groupBy("k").agg(F.sum("n_words").alias("lent"))
+    own = table.groupBy("k").agg(F.sum("n_words").alias("all"))
+    suspects = own.join(lent, "k").where(F.col("lent") >= LENT_SHARE * F.col("all")).select("k", F.lit(True).alias("suspect"), F.array().cast("array<struct<pos:int,leaf:long,form:long>>").alias("wanted"))
     # One place of each distinct line of a mixed leaf; its words are read from there.
-    places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k1", "k2", "pos")).alias("at"))
-    places = places.select("leaf", "form", "at.*").groupBy("k1", "k2").agg(F.lit(False).alias("suspect"), F.collect_list(F.struct("pos", "leaf", "form")).alias("wanted"))
-    asked = suspects.unionByName(places).groupBy("k1", "k2").agg(F.max("suspect").alias("suspect"), F.flatten(F.collect_list("wanted")).alias("wanted"))
-    texts = keyed.join(asked, ["k1", "k2"])
-    line = lambda w: F.element_at(F.split("text", "\n"), w.pos + 1)
-    read = texts.select("k1", "k2", F.when(F.col("suspect"), F.col("text")).alias("whole"), F.transform("wanted", lambda w: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(line(w)).alias("masked"))).alias("masked"))
-    read = written(map_rows(read, ["k1", "k2", "whole", "masked"], _pieces, "k1 long, k2 long, masked array<struct<leaf:long,form:long,masked:string>>, pieces array<struct<h:long,n:int>>"))
-
-    pieces = read.select("k1", "k2", F.explode("pieces").alias("p")).select("k1", "k2", "p.h", "p.n")
-    met = pieces.groupBy("h").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a <> b").select("h")
-    met_words = pieces.join(met, "h").groupBy("k1", "k2").agg(F.sum("n").alias("met"))
-    all_words = pieces.groupBy("k1", "k2").agg(F.sum("n").alias("all"))
-    copies = all_words.join(met_words, ["k1", "k2"]).where(F.col("met") >= COPY_SHARE * F.col("all")).select("k1", "k2")
+    places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k", "pos")).alias("at"))
+    places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.lit(False).alias("suspect"), F.collect_list(F.struct("pos", "leaf", "form")).alias("wanted"))
+    asked = suspects.unionByName(places).groupBy("k").agg(F.max("suspect").alias("suspect"), F.array_sort(F.flatten(F.collect_list("wanted"))).alias("wanted"))
+    # Hashing the small side spares sorting whole texts.
+    texts = keyed.join(asked.withColumn("places", F.col("wanted.pos")).hint("shuffle_hash"), "k")
+    # Both in order of position.
+    found = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains("places", i))
+    lines = F.zip_with("wanted", found, lambda w, x: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(x).alias("masked")))
+    read = written(texts.select("k", F.when(F.col("suspect"), _pieces(F.col("text"))).alias("pieces"), lines.alias("masked")))
+
+    pieces = read.select("k", F.explode("pieces").alias("h")).groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+    met = pieces.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h", F.lit(True).alias("met"))
+    share = pieces.join(met, "h", "left").groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("met"), F.col("n"))).alias("met"))
+    copies = share.where(F.col("met") >= COPY_SHARE * F.col("all")).select("k")
 
     distinct = read.select(F.explode("masked").alias("m")).select("m.*").dropDuplicates(["leaf", "form"])
-    named = shared.join(_templates(distinct), "form", "left").select("k1", "k2", "pos", "n_words", F.coalesce("template", "form").alias("template"))
+    named = shared.join(_templates(distinct), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
     named = written(named)
-    votes = named.select("template", "k1", "k2").distinct().join(copies, ["k1", "k2"], "left_anti")
+    votes = named.select("template", "k").distinct().join(copies, "k", "left_anti")
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("template")
-    lost = named.join(recurring, "template").groupBy("k1", "k2").agg(F.sum("n_words").alias("lost"), F.collect_set("pos").alias("positions"))
-    return lost.join(own, ["k1", "k2"]).where(F.col("lost") <= MOST_LOST * F.col("all")).select("k1", "k2", "positions")
+    lost = named.join(recurring, "template").groupBy("k").agg(F.sum("n_words").alias("lost"), F.collect_set("pos").alias("positions"))
+    return lost.join(own, "k").where(F.col("lost") <= MOST_LOST * F.col("all")).select("k", "positions")
 
 
-def _key() -> list[Column]:
-    text = F.coalesce("text", F.lit(""))
-    return [F.xxhash64(F.lit(1), "doc_id", text).alias("k1"), F.xxhash64(F.lit(2), text, "doc_id").alias("k2")]
+def _key() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with every column, text without its recurring lines, and n_lines, n_dropped (int).
 
     n_chars, where docs has it, is the new length if lines were dropped. An
-    empty table stays empty. Names that docs may not have: k1, k2, positions.
+    empty table stays empty. Names that docs may not have: k, positions.
     """
     drop = recurring_lines(docs, min_docs)
-    joined = docs.withColumns(dict(zip(("k1", "k2"), _key(), strict=True))).join(drop, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = docs.withColumn("k", _key()).join(drop.hint("shuffle_hash"), "k", "left").drop("k")
     lines = F.split("text", "\n")
     hit = F.col("positions").isNotNull()
     # Positions are unique, so their number is the number of lines that go.
