@@ -1,15 +1,21 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 Terms are pairs of neighbouring words (the last word pairs with nothing),
-weighted by their counts. For coordinate k, a term of weight S draws r and c
-from Gamma(2, 1) and b from [0, 1), all from one hash of term and k, and takes
-t = floor(ln S / r + b) and a = c / exp(r (t - b + 1)). The coordinate's sample
-is the pair (term, t) of smallest a. Two texts agree in a coordinate with a
-probability of their generalised Jaccard similarity, so the share of equal
-coordinates estimates it, with a standard error of at most 0.5 / sqrt(SAMPLES).
-
-The gamma quantiles come from a table of STEPS equally likely steps, and a
-sample is kept as TAG_BITS bits, so unlike samples agree with a chance of 2 to
+weighted by their counts. For coordinate k, a term of weight S has r and c from
+Gamma(2, 1) and b from [0, 1), and takes t = floor(ln S / r + b) and
+a = c / exp(r (t - b + 1)). The coordinate's sample is the pair (term, t) of
+smallest a. Two texts agree in a coordinate with a probability of their
+generalised Jaccard similarity, so the share of equal coordinates estimates
+it, with a standard error of at most 0.5 / sqrt(SAMPLES).
+
+The three numbers are drawn in an order that makes weight 1, which most terms
+have, cheap. For S = 1, t is 0 and a is exponential; so a1 is drawn first. Given
+it, exp(w) - 1 with w = r (1 - b) is exponential with rate a1, and r - w is
+exponential with rate 1; then b = 1 - w / r and c = a1 exp(w). This is the same
+joint distribution, r and c being Gamma(2, 1), but for weight 1 nothing beyond
+a1 is needed, and its rank is the hash itself.
+
+A sample (term, t) has one a, so it is kept as TAG_BITS bits of a hash of both; so unlike samples agree with a chance of 2 to
 the power of -TAG_BITS.
 
 Neighbours in descending doc_id order are found in ranges of ids. Each range
@@ -25,58 +31,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiguard.llm.common import written
+
 SAMPLES = 64
-STEPS = 256
 TAG_BITS = 20
 #: Least number of rows in a range of ids; beyond, ranges hold about as many rows as there are ranges.
 RANGE_ROWS = 256
 _A_BITS = 63 - TAG_BITS
 
 
-def _gamma_quantile(p: float) -> float:
-    """x with 1 - exp(-x) (1 + x) = p, by bisection."""
-    low, high = 0.0, 60.0
-    for _ in range(70):
-        mid = (low + high) / 2
-        if 1 - math.exp(-mid) * (1 + mid) < p:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def _quantiles() -> list[float]:
-    return [_gamma_quantile((i + 0.5) / STEPS) for i in range(STEPS)]
-
-
-def _doubles(values: list[float]) -> Column:
-    # Split and cast are folded to one literal, which keeps the plan small.
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
 def term_hashes(text: Column) -> Column:
     """Sorted hashes of all pairs of neighbouring words, repeated ones repeated."""
-    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+    words = F.array_remove(F.split(text, r"[ \t-\r]+"), "")
     pairs = F.arrays_zip(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))))
     return F.sort_array(F.transform(pairs, lambda p: F.xxhash64(p["0"], p["1"])))
 
 
 def _samples(h: Column, log_weight: Column) -> list[Column]:
-    """For each coordinate a whole number whose smallest is the sample: ln a in the upper bits, the sample's tag in the lower."""
-    q = _quantiles()
-    r_table, c_table = _doubles(q), _doubles([math.log(x) for x in q])
-    mask = STEPS - 1
+    """For each coordinate a whole number whose smallest is the sample: the rank of a, then bits of the term.
+
+    With b = 1 - w / r, the formulas become t = floor((ln S - w) / r) + 1 and
+    a = a1 exp(-r t). The rank is 1 - exp(-a), which for weight 1 is the hash.
+    """
+    low = (1 << TAG_BITS) - 1
+    unit = 2.0**-_A_BITS
     out = []
     for k in range(SAMPLES):
         u = F.xxhash64(h, F.lit(k))
-        r = F.element_at(r_table, (u.bitwiseAND(mask) + 1).cast("int"))
-        c = F.element_at(c_table, (F.shiftright(u, 12).bitwiseAND(mask) + 1).cast("int"))
-        b = F.shiftright(u, 24).bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))
-        t = F.floor(log_weight / r + b)
-        log_a = c - r * (t + F.lit(1.0) - b)
-        rank = (F.greatest(F.least(log_a, F.lit(31.0)), F.lit(-991.0)) + F.lit(992.0)) * F.lit(float(1 << (_A_BITS - 10)))
-        tag = h.bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND((1 << TAG_BITS) - 1)
-        out.append(F.shiftleft(rank.cast("long"), TAG_BITS).bitwiseOR(tag))
+        light = u.bitwiseAND((1 << 63) - 1 - low).bitwiseOR(h.bitwiseAND(low))
+        a1 = -F.log1p(-((F.shiftrightunsigned(u, TAG_BITS).bitwiseAND((1 << _A_BITS) - 1) + F.lit(0.5)) * F.lit(unit)))
+        more = F.xxhash64(u, F.lit(-1))
+        e2 = -F.ln((more.bitwiseAND((1 << 30) - 1) + F.lit(0.5)) * F.lit(2.0**-30))
+        e3 = -F.ln((F.shiftrightunsigned(more, 30).bitwiseAND((1 << 30) - 1) + F.lit(0.5)) * F.lit(2.0**-30))
+        w = F.log1p(e2 / a1)
+        r = w + e3
+        a = a1 * F.exp(-r * (F.floor((log_weight - w) / r) + F.lit(1.0)))
+        heavy = F.shiftleft((-F.expm1(-a) * F.lit(1.0 / unit)).cast("long"), TAG_BITS).bitwiseOR(h.bitwiseAND(low))
+        # e2 >= (S - 1) a1 is ln S <= w without its logarithm; then t is 0, and a is a1.
+        out.append(F.when((log_weight == 0.0) | (e2 >= F.expm1(log_weight) * a1), light).otherwise(heavy))
     return out
 
 
@@ -133,9 +125,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # Rows are still dealt out by part, so neither aggregation moves them.
     signed = rows.groupBy("part", "at", "which").agg(*(F.max(c).alias(c) for c in carried), *mins)
     low = (1 << TAG_BITS) - 1
-    tags = F.when(F.col("m0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*(F.col(f"m{k}").bitwiseAND(low).cast("int") for k in range(SAMPLES))))
+    tags = F.when(F.col("m0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*(F.xxhash64(f"m{k}").bitwiseAND(low).cast("int") for k in range(SAMPLES))))
     named = signed.select("part", "at", "which", *carried, tags.alias("tags"))
     one = named.groupBy("part", "at").agg(*(F.max(c).alias(c) for c in carried), F.max(F.when(F.col("which") == 0, F.col("tags"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("tags"))).alias("edit"))
+    # A row a document, without texts: computed once for both sides of the join.
+    one = written(one)
     nexts = one.select(F.col("part").alias("p"), F.col("at").alias("a"), F.col("own").alias("following"))
     out = one.join(nexts, (F.col("next_part") == F.col("p")) & (F.col("next_at") == F.col("a")))
     hexes = F.concat(*(F.lpad(F.lower(F.hex(f"sha{i}")), 15 if i < 4 else 4, "0") for i in range(5)))
