@@ -222,12 +222,15 @@ def edge_tokens(docs: DataFrame, tokens: str = "base_tokens") -> DataFrame:
     return docs.withColumn("m", F.transform(kept, lambda x: F.when(x.stage == 2, x).otherwise(settle(x))))
 
 
-def word_tokens(text: Column) -> Column:
-    """Runs of letters and digits as (s, e, oov): the default token provider, for languages with spaces."""
-    pieces = F.split(text, r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])")
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,oov:boolean>>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.rlike(r"^[\p{L}\p{N}]"), F.array_append(s["out"], F.struct(s["at"].alias("s"), (s["at"] + F.length(p)).alias("e"), F.lit(False).alias("oov")))).otherwise(s["out"]).alias("out"))
-    return F.aggregate(pieces, state, step)["out"]
+def word_containment(docs: DataFrame) -> DataFrame:
+    """token_containment() for the default tokens, runs of letters and digits: only the match and the characters beside it are looked at."""
+    word = r"[\p{L}\p{N}]"
+
+    def inside(x: Column) -> Column:
+        beside = ((x.start > 0) & F.substring("text", x.start, F.lit(1)).rlike(word)) | F.substring("text", x.end + 1, F.lit(1)).rlike(word)
+        return beside & F.substring("text", x.start + 1, x.end - x.start).rlike(rf"^{word}+$")
+
+    return docs.withColumn("m", F.filter("m", lambda x: x.term_kind.isin("pattern", "number") | (x.stage == 2) | ~inside(x)))
 
 
 def safe_context(docs: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
     """docs with m, the scored matches, and overall_recommendation. Stages are on unless switched off; unknown names are ignored.
 
     docs must have a column text (or text_col, which is read as text) and none
-    of the names m, tokens, overall_recommendation. If it has base_tokens, the
-    edge check against that tokenizer is made too. No row moves between tasks.
+    of the names m, overall_recommendation. Its columns tokens and base_tokens,
+    arrays of (s, e, oov) from a tokenizer, are used if there are any: without
+    tokens, runs of letters and digits are the tokens; without base_tokens there
+    is no edge check. No row moves between tasks.
     """
     on = dict.fromkeys(detect.STAGES, True) | (stages or {})
     docs = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
@@ -27,7 +29,7 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
     if on["jamo_boundary"]:
         found = detect.letter_boundary(found)
     if on["morpheme_boundary"]:
-        found = detect.token_containment(found.withColumn("tokens", F.when(F.size("m") > 0, detect.word_tokens(F.col("text"))))).drop("tokens")
+        found = detect.token_containment(found) if "tokens" in found.columns else detect.word_containment(found)
         if "base_tokens" in found.columns:
             found = detect.edge_tokens(found)
     if on["safe_context"]:
