@@ -40,8 +40,8 @@ REMEMBERED = 200_000
 K1, B = 1.2, 0.75
 # Texts of other characters, or with marks of special tokens, go to the tokenizer as a whole.
 _ODD = re.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u2022\u2026]|<\\|")
-# The tokenizer's own division of a lower-cased text, for the characters that are left.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u017e]+")
+# The tokenizer's own division of a lower-cased text, for the characters that are left; letters, which start most pieces, come first.
+_PIECE = re.compile("[^\\W\\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-z\\u00df-\\u00f6\\u00f8-\\u017e]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,6 +51,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Pieces' ids, made when first asked for; one look-up a piece."""
+
+    def __init__(self, make) -> None:  # noqa: ANN001
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes. The tokenizer divides texts into pieces and joins nothing across them, so each piece is encoded once."""
 
@@ -67,7 +79,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._piece)
         self.former: dict[str, bytes] = {}
 
     def _piece(self, word: str) -> bytes:
@@ -85,11 +97,8 @@ class Encoder:
                 continue
             words = _PIECE.findall(t.lower())
             if len(self.known) > REMEMBERED:
-                self.former, self.known = self.known, {}
-            known = self.known
-            for w in {w for w in words if w not in known}:
-                known[w] = self._piece(w)
-            out.append(b"".join(map(known.__getitem__, words)))
+                self.former, self.known = dict(self.known), _Known(self._piece)
+            out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
 
