@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiguard.functions.text import characters, fnv_index
+from lexiguard.functions.text import characters, fnv_index, quoted
 
 DIM = 1 << 18
 # Words that show talk about a term, talk against it, and contempt.
@@ -44,7 +44,7 @@ def features(rows: DataFrame, id_col: str = "id") -> DataFrame:
     hashed = counted.groupBy(id_col, fnv_index(F.col("ns"), F.col("token")).alias("idx")).agg(F.sum("n").cast("double").alias("val"))
     has = lambda found: F.col("t").rlike("|".join(found))
     marks = "[" + QUOTES + "]"
-    wrapped = F.col("t").rlike(F.concat(F.lit(marks + "\\Q"), F.col("surface"), F.lit("\\E" + marks)))
+    wrapped = F.regexp_like(F.col("t"), F.concat(F.lit(marks), quoted(F.col("surface")), F.lit(marks)))
     count = (F.length("t") - F.length(F.replace("t", "surface", F.lit("")))) / F.length("surface")
     signs = [has(META), has(COUNTER), has(CONTEMPT), wrapped, count >= 2]
     aux = base.select(id_col, F.explode(F.array(*(F.struct(F.lit(DIM + j).cast("long").alias("idx"), s.cast("double").alias("val")) for j, s in enumerate(signs)))).alias("a")).select(id_col, "a.idx", "a.val").where("val > 0")

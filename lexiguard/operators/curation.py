@@ -65,7 +65,7 @@ def validation_errors(c: Column) -> Column:
 
 def dedup_key(c: Column) -> Column:
     p = c.payload
-    shown = F.when(c.kind == "new_term", p.surface).when(c.kind == "new_variant", p.variant).when(c.kind == "new_marker", p.name).when(c.kind == "incident", p.title).otherwise(p.target_surface)
+    shown = F.when(c.kind == "new_term", p.surface).when(c.kind == "new_variant", p.variant).when(c.kind == "new_marker", p["name"]).when(c.kind == "incident", p.title).otherwise(p.target_surface)
     return F.concat(c.kind, F.lit(":"), native_normalise(shown))
 
 
@@ -151,7 +151,7 @@ def other_plans(candidates: DataFrame) -> dict[str, DataFrame]:
     of = lambda k: candidates.where(F.col("c.kind") == k)
     return {
         "variant": of("new_variant").select("id", p.parent_term_id.alias("parent_term_id"), p.parent_surface.alias("parent_surface"), p.variant.alias("variant"), p.variant_kind.alias("variant_kind"), native_normalise(p.variant).alias("normalized_key"), F.lit(False).alias("verified")),
-        "marker": of("new_marker").select("id", p.name.alias("name"), p.marker_kind.alias("marker_kind"), p.origin_note.alias("origin_note"), F.lit("advisory_only").alias("release_policy")),
+        "marker": of("new_marker").select("id", p["name"].alias("name"), p.marker_kind.alias("marker_kind"), p.origin_note.alias("origin_note"), F.lit("advisory_only").alias("release_policy")),
         "incident": of("incident").select("id", p.title.alias("title"), partial_date(p.occurred_at).alias("occurred_at"), p.medium.alias("medium"), p.related_surface.alias("related"), F.lit(False).alias("legal_reviewed"), F.lit(False).alias("disclosable")),
         "deprecation": of("deprecation").select("id", p.target_surface.alias("target_surface"), p.target_term_id.alias("target_term_id"), p.inactivity_basis.alias("inactivity_basis")),
     }

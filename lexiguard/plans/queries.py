@@ -286,3 +286,334 @@ def p8_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f11_stage_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = check_documents(table(spark, sf_dir, "documents"), key_lexicon(), {**ONLY_KEYS, "no_such_stage": True})
     return rows.where(F.size("m") > 0).select("doc_id", F.size("m").cast("long").alias("n"))
+
+
+# ---- curation --------------------------------------------------------------
+LICENSES = Inline("li", "id int, license string, source_type string", [
+    (1, "CC BY-SA 4.0", "wiki"), (2, "CC-BY-NC-SA", "wiki"), (3, "CC BY-NC 4.0", "paper"), (4, "CC BY-ND", "paper"), (5, "CC BY 4.0", "paper"), (6, "MIT", "code"), (7, "apache 2", "code"), (8, "All rights LIMITED", "book"),
+    (9, None, "news"), (10, "", "internal"), (11, "unknown", "book"), (12, "public domain", "book"), (13, "CC0", "book"), (14, "NoDerivatives", "book"), (15, "COPYRIGHT BY X", "book"), (16, "non-commercial", "news"), (17, "ccby", "book"),
+])
+
+
+@query(f"""WITH {LICENSES.sql}, u AS (SELECT id, source_type, replace(upper(trim(coalesce(license, ''))), '-', ' ') AS t FROM li)
+SELECT id, CASE WHEN t LIKE '%BY SA%' OR t LIKE '%SHAREALIKE%' OR t LIKE '%SHARE ALIKE%' THEN 'share_alike'
+  WHEN regexp_matches(t, '(^|\\s)NC(\\s|$)') OR t LIKE '%NONCOMMERCIAL%' OR t LIKE '%NON COMMERCIAL%' THEN 'noncommercial'
+  WHEN regexp_matches(t, '(^|\\s)ND(\\s|$)') OR t LIKE '%NODERIVATIVES%' OR t LIKE '%NO DERIVATIVES%' THEN 'no_derivatives'
+  WHEN t LIKE '%MIT%' OR t LIKE '%APACHE%' OR t LIKE '%CC0%' OR t LIKE '%PUBLIC DOMAIN%' OR t LIKE '%BY %' OR t LIKE '%CC BY%' THEN 'permissive'
+  WHEN source_type IN ('news', 'internal') THEN 'permissive' ELSE 'unknown' END AS license_class FROM u""")
+def p10_license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LICENSES.df(spark).select("id", curation.license_class(F.col("license"), F.col("source_type")).alias("license_class"))
+
+
+EVIDENCE = Inline("ev", "term_id int, license_class string, evidence_type string", [
+    (1, "permissive", "origin"), (1, "share_alike", "usage"), (2, "permissive", "usage"), (2, "unknown", "usage"), (2, "noncommercial", "incident"), (3, "internal", "definition"), (4, "share_alike", "usage"), (4, "restricted", "usage"), (5, None, "usage"),
+])
+
+
+@query(f"""WITH {EVIDENCE.sql}, g AS (SELECT term_id, list_sort(list_filter(list(DISTINCT license_class), lambda c: c IS NOT NULL)) AS cs FROM ev GROUP BY term_id),
+b AS (SELECT term_id, coalesce(cs, []) AS cs, list_filter(coalesce(cs, []), lambda c: c NOT IN ('permissive', 'share_alike', 'internal')) AS bad FROM g)
+SELECT term_id, len(cs) > 0 AND len(bad) = 0 AS passes, array_to_string(bad, ',') AS blocking, CASE WHEN list_contains(cs, 'share_alike') THEN 'CC BY-SA 4.0' ELSE '자체' END AS effective_license,
+CASE WHEN len(cs) = 0 OR len(bad) > 0 THEN 'restricted_eval_only' WHEN list_contains(cs, 'share_alike') THEN 'share_alike_core' ELSE 'permissive_core' END AS provenance_class FROM b""")
+def p11_license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.license_gate(EVIDENCE.df(spark))
+
+
+_TERM = '{"surface":"ABC 가","term_kind":"word","meaning":"m","severity":3,"ambiguity":"unambiguous","categories":["c1"],"evidence":[{"url":"u","title":"t","source_type":"wiki","evidence_type":"origin","reliability":3},{"url":"u2","title":"t2","source_type":"news","evidence_type":"incident","reliability":2}],"negative_examples":["x"],"related_incidents":[{"title":"i","occurred_at":"2020","medium":"web"}]}'
+CANDIDATES = Inline("ca", "id int, json string", [
+    (1, '{"kind":"new_term","collector":"c","payload":' + _TERM + "}"),
+    (2, _TERM),
+    (3, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace(',"negative_examples":["x"]', "") + "}"),
+    (4, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace('"word"', '"number"') + "}"),
+    (5, '{"kind":"new_variant","collector":"c","payload":{"variant":"A1","variant_kind":"leet","source_url":"u","parent_surface":"a"}}'),
+    (6, '{"kind":"new_variant","collector":"c","payload":{"variant":"A1","variant_kind":"leet","source_url":"u"}}'),
+    (7, '{"kind":"incident","collector":"c","payload":{"title":"T","occurred_at":"2021-05","medium":"web","source_url":"u","related_surface":"a"}}'),
+    (8, '{"kind":"incident","collector":"c","payload":{"title":"T","medium":"web","source_url":"u"}}'),
+    (9, '{"kind":"deprecation","collector":"c","payload":{"target_surface":"a","inactivity_basis":"b"}}'),
+    (10, '{"kind":"odd","payload":{}}'),
+    (11, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace('"severity":3', '"severity":7') + "}"),
+    (12, '{"kind":"new_marker","collector":"c","payload":{"name":"N","marker_kind":"sign","origin_note":"o","source_url":"u","license_note":"l"}}'),
+])
+_J = "json_extract_string(j, '$.payload.{}')".format
+_CAND_SQL = f"{CANDIDATES.sql}, w AS (SELECT id, CASE WHEN json_extract_string(json, '$.kind') IS NULL AND json_extract_string(json, '$.surface') IS NOT NULL THEN '{{\"kind\":\"new_term\",\"collector\":\"manual:legacy-file\",\"payload\":' || json || '}}' ELSE json END AS j FROM ca), k AS (SELECT *, json_extract_string(j, '$.kind') AS kind FROM w)"
+
+
+def _candidates(spark: SparkSession) -> DataFrame:
+    return curation.parse(CANDIDATES.df(spark))
+
+
+@query(f"""WITH {_CAND_SQL} SELECT id, array_to_string(list_filter([
+ CASE WHEN kind IS NULL OR json_extract_string(j, '$.collector') IS NULL OR json_extract(j, '$.payload') IS NULL THEN 'top_level' END,
+ CASE WHEN kind NOT IN ('new_term', 'new_variant', 'new_marker', 'incident', 'deprecation') THEN 'kind' END,
+ CASE WHEN kind = 'new_term' AND coalesce(json_array_length(j, '$.payload.negative_examples'), 0) = 0 THEN 'negative_examples' END,
+ CASE WHEN kind = 'new_term' AND ({_J('term_kind')} = 'number' OR {_J('ambiguity')} = 'common') AND coalesce(json_array_length(j, '$.payload.combination_rules'), 0) = 0 THEN 'combination_rules' END,
+ CASE WHEN kind = 'new_variant' AND {_J('parent_surface')} IS NULL AND {_J('parent_term_id')} IS NULL THEN 'variant_fields' END,
+ CASE WHEN kind = 'incident' AND ({_J('occurred_at')} IS NULL OR ({_J('related_surface')} IS NULL AND {_J('related_marker')} IS NULL)) THEN 'incident_fields' END,
+ CASE WHEN TRY_CAST({_J('severity')} AS INT) NOT BETWEEN 1 AND 5 THEN 'severity' END], lambda x: x IS NOT NULL), ',') AS errors FROM k""")
+def v_validate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark).select("id", F.array_join(curation.validation_errors(F.col("c")), ",").alias("errors"))
+
+
+@query(f"WITH {_CAND_SQL}, n AS (SELECT id, kind, coalesce(CASE kind WHEN 'new_term' THEN {_J('surface')} WHEN 'new_variant' THEN {_J('variant')} WHEN 'new_marker' THEN {_J('name')} WHEN 'incident' THEN {_J('title')} ELSE {_J('target_surface')} END, '') AS shown FROM k) SELECT id, kind || ':' || {letters_sql('shown')} AS dedup_key FROM n")
+def p12_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark).select("id", curation.dedup_key(F.col("c")).alias("dedup_key"))
+
+
+@query(f"WITH {_CAND_SQL} SELECT id, CAST(least(10, coalesce(json_array_length(j, '$.payload.evidence'), 0) + 2 * len(list_filter(coalesce(CAST(json_extract_string(j, '$.payload.evidence[*].evidence_type') AS VARCHAR[]), []), lambda x: x = 'incident')) + 2 * coalesce(json_array_length(j, '$.payload.related_incidents'), 0)) AS DOUBLE) AS signal FROM k")
+def p13_signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark).select("id", curation.signal_score(F.col("c.payload")).alias("signal"))
+
+
+DATES = Inline("dt", "id int, d string", [(1, "2020"), (2, "2020-07"), (3, "2020-07-09"), (4, "soon"), (5, "2020-13"), (6, None), (7, "20")])
+
+
+@query(f"WITH {DATES.sql} SELECT id, strftime(TRY_CAST(CASE WHEN regexp_matches(d, '^[0-9]{{4}}$') THEN d || '-01-01' WHEN regexp_matches(d, '^[0-9]{{4}}-[0-9]{{2}}$') THEN d || '-01' ELSE d END AS DATE), '%Y-%m-%d') AS day FROM dt")
+def p15_partial_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DATES.df(spark).select("id", F.date_format(curation.partial_date(F.col("d")), "yyyy-MM-dd").alias("day"))
+
+
+@query("WITH i AS (SELECT o_orderkey AS id, o_custkey AS dedup_key, o_orderpriority AS kind FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT DISTINCT o_custkey AS dedup_key, o_orderpriority AS kind FROM orders WHERE o_orderkey % 3 = 0) SELECT min(id) AS id, dedup_key, kind FROM i WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.dedup_key = i.dedup_key AND q.kind = i.kind) GROUP BY dedup_key, kind")
+def s8_idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Orders stand in for items: two thirds come in, the others are there already.
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dedup_key"), F.col("o_orderpriority").alias("kind"))
+    return curation.insert_new(o.where("id % 3 <> 0"), o.where("id % 3 = 0"))
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, value DESC, ts, event_id LIMIT 200")
+def o2_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumns({"urgency": F.when(F.col("event_type") == "purchase", "urgent").when(F.col("event_type") == "click", "normal").otherwise("low"), "signal_score": F.col("value"), "created_at": F.col("ts")})
+    return e.orderBy(*curation.queue_order(), "event_id").limit(200).select("event_id", "user_id", "value")
+
+
+@query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10 = 0")
+def o5_md5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.audit_sample(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
+def j9_semi_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Orders stand in for terms, returned lines for reviews.
+    reviewed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return table(spark, sf_dir, "orders").join(reviewed, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+TERM_ROWS = Inline("tm", "term_id int, surface string, normalized_key string, status string, release_policy string, term_kind string, severity int, ambiguity string", [
+    (1, "aaa", "aaa", "active", "release", "word", 5, "unambiguous"), (2, "bbb", "bbb", "watchlist", "advisory_only", "word", 3, "ambiguous"), (3, "ccc", "ccc", "active", "internal_only", "word", 2, "common"),
+    (4, "ddd", "ddd", "draft", "release", "word", 1, "common"), (5, "aaa", "aaa", "active", "release", "phrase", 4, "ambiguous"), (6, "eee", "eee", "active", "hold_legal", "word", 4, "ambiguous"),
+])
+
+
+@query(f"WITH {TERM_ROWS.sql} SELECT term_id, surface FROM tm WHERE status IN ('active', 'watchlist') AND release_policy NOT IN ('internal_only', 'hold_legal')")
+def f5_release_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.eligible(TERM_ROWS.df(spark)).select("term_id", "surface")
+
+
+@query(f"WITH {TERM_ROWS.sql}, {EVIDENCE.sql} SELECT term_id FROM tm WHERE status = 'active' AND term_id NOT IN (SELECT term_id FROM ev WHERE evidence_type IN ('origin', 'definition'))")
+def j10_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.gate_violations(TERM_ROWS.df(spark), EVIDENCE.df(spark)).select("term_id")
+
+
+PARENTS = Inline("pa", "id int, parent_term_id string, parent_surface string", [(1, "2", None), (2, "99", "AAA"), (3, None, "bbb"), (4, "x", "zzz"), (5, None, None), (6, "5", "aaa")])
+
+
+@query(f"WITH {TERM_ROWS.sql}, {PARENTS.sql} SELECT id, coalesce((SELECT term_id FROM tm WHERE term_id = TRY_CAST(parent_term_id AS INT)), (SELECT min(term_id) FROM tm WHERE normalized_key = lower(parent_surface)), -1) AS parent_id FROM pa")
+def j12_resolve_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.resolve_parent(PARENTS.df(spark), TERM_ROWS.df(spark)).select("id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
+CATEGORY = Inline("cg", "category_id int, code string", [(1, "x"), (2, "a"), (3, "m")])
+TERM_CATEGORY = Inline("tc", "term_id int, category_id int", [(1, 1), (1, 2), (2, 3), (4, 1)])
+VARIANT = Inline("vr", "variant_id int, term_id int, variant string, variant_kind string, verified boolean", [(3, 1, "A1A", "leet", True), (1, 1, "aa", "chosung", True), (2, 1, "no", "leet", False), (4, 2, "b", "jamo", True)])
+RULE = Inline("rl", "rule_id int, term_id int, trigger_kind string, trigger_terms array<bigint>, trigger_pattern string, proximity_window int, base_severity int, severity_delta int, status string", [(1, 1, "co", [2], None, None, None, None, "active"), (2, 1, "re", None, "x$", 5, 2, 1, "active"), (3, 2, "re", None, "y", None, None, None, "draft")])
+
+
+@query(f"""WITH {TERM_ROWS.sql}, {CATEGORY.sql}, {TERM_CATEGORY.sql}, {VARIANT.sql}, {RULE.sql}
+SELECT term_id, release_policy = 'advisory_only' AS dogwhistle,
+ coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM tc JOIN cg USING (category_id) WHERE tc.term_id = tm.term_id), '') AS categories,
+ coalesce((SELECT string_agg(lower(variant), ',' ORDER BY variant_id) FROM vr WHERE vr.term_id = tm.term_id AND verified), '') AS variants,
+ (SELECT count(*) FROM rl WHERE rl.term_id = tm.term_id AND rl.status = 'active') AS n_rules
+FROM tm WHERE status IN ('active', 'watchlist') AND release_policy NOT IN ('internal_only', 'hold_legal')""")
+def j8_release_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = TERM_ROWS.df(spark).withColumns({"pattern": F.lit(None).cast("string"), "safe_contexts": F.array().cast("array<string>")})
+    nested = release.nested_terms(terms, TERM_CATEGORY.df(spark), CATEGORY.df(spark), VARIANT.df(spark), RULE.df(spark))
+    return nested.select("term_id", F.col("is_dogwhistle_marker").alias("dogwhistle"), F.array_join("categories", ",").alias("categories"), F.array_join(F.transform("variants", lambda v: v.normalized_key), ",").alias("variants"), F.size("combination_rules").cast("long").alias("n_rules"))
+
+
+NAMES = Inline("nm", "name string", [("2026.06.08-1",), ("2026.06.08-12",), ("2026.06.07-3",), ("latest",), ("2026.06.08-x",)])
+DAYS = Inline("dy", "day string", [("2026.06.08",), ("2026.06.07",), ("2026.06.09",)])
+
+
+@query(f"WITH {NAMES.sql}, {DAYS.sql} SELECT day, day || '-' || CAST(coalesce((SELECT max(CAST(split_part(name, '-', 2) AS INT)) FROM nm WHERE regexp_full_match(name, '[0-9.]+-[0-9]+') AND split_part(name, '-', 1) = day), 0) + 1 AS VARCHAR) AS version FROM dy")
+def s10_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.next_versions(NAMES.df(spark), DAYS.df(spark))
+
+
+@query("WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0) SELECT coalesce(a.k, b.k) AS term_id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s")
+def release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("term_id"), F.col("o_orderstatus").alias("status"))
+    new = o.where("term_id % 11 <> 0").withColumn("status", F.when(F.col("term_id") % 7 == 0, "Z").otherwise(F.col("status")))
+    return release.difference(o.where("term_id % 5 <> 0"), new)
+
+
+MOVES = Inline("mv", "term_id int, old string, new string", [(1, "draft", "in_review"), (2, "watchlist", "active"), (3, "active", "deprecated"), (4, "deprecated", "rejected"), (5, "draft", "active"), (6, "active", "active")])
+
+
+@query(f"WITH {MOVES.sql} SELECT term_id, old, new FROM mv WHERE old <> new AND new <> 'rejected' AND old || new NOT IN ('draftin_review', 'in_reviewactive', 'activedeprecated', 'deprecatedactive', 'draftwatchlist', 'watchlistdraft', 'watchlistin_review')")
+def w_transition_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = MOVES.df(spark)
+    return curation.transition_violations(m.select("term_id", F.col("old").alias("status")), m.select("term_id", F.col("new").alias("status")))
+
+
+# ---- variants --------------------------------------------------------------
+SURFACES = Inline("sf", "id int, surface string", [(1, "하늘"), (2, "바다"), (3, "abc"), (4, ""), (5, "가A나"), (6, "이리")])
+
+
+@query(f"WITH {SURFACES.sql} SELECT id, {letters_sql('surface')} AS variant, 'jamo' AS variant_kind FROM sf WHERE {letters_sql('surface')} <> lower(surface) UNION ALL SELECT id, {initials_sql('surface')}, 'chosung' FROM sf WHERE {initials_sql('surface')} <> surface")
+def g1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = variants.generate(SURFACES.df(spark)).where("variant_kind <> 'leet'")
+    return rows.select("id", F.when(F.col("variant_kind") == "jamo", F.lower("variant")).otherwise(F.col("variant")).alias("variant"), "variant_kind")
+
+
+@query()
+def g4_leet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.generate(SURFACES.df(spark)).where("variant_kind = 'leet'").select("id", "pos", "variant")
+
+
+MADE = Inline("md", "id int, surface_key string, variant string, variant_kind string", [(1, "abc", "ABC", "jamo"), (2, "abc", "abd", "jamo"), (3, "xyz", "xy", "chosung"), (4, "xyz", "xyz", "chosung"), (5, "x", "word", "leet"), (6, "x", "w0rd", "leet"), (7, "x", "", "leet")])
+COMMON = Inline("cm", "word string", [("Word",), ("other",), ("WORD",)])
+
+
+@query(f"""WITH {MADE.sql}, {COMMON.sql}, h AS (SELECT md.*, (SELECT count(DISTINCT word) FROM cm WHERE lower(word) = lower(variant)) AS n FROM md),
+r AS (SELECT *, CASE WHEN variant = '' OR (variant_kind = 'jamo' AND lower(variant) <> surface_key) THEN 'key_mismatch' WHEN variant_kind = 'chosung' AND length(variant) < 3 THEN 'too_short' WHEN n > 0 THEN 'common_word' END AS reason FROM h)
+SELECT id, coalesce(reason, '') AS reason, CASE WHEN reason IS NULL THEN 'verified' ELSE 'rejected' END AS decision, reason IS NULL AND variant_kind = 'chosung' AS context_required FROM r""")
+def g6_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = MADE.df(spark).withColumn("normalized_key", tx.native_normalise(F.col("variant")))
+    return variants.classify(made, COMMON.df(spark)).select("id", F.coalesce("reason", F.lit("")).alias("reason"), "decision", "context_required")
+
+
+@query(f"WITH {MADE.sql}, {COMMON.sql}, h AS (SELECT variant_kind, CASE WHEN EXISTS (SELECT 1 FROM cm WHERE lower(word) = lower(variant)) THEN 1 ELSE 0 END AS hit FROM md) SELECT coalesce(variant_kind, 'all') AS kind, count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_hit, avg(hit) AS rate FROM h GROUP BY ROLLUP (variant_kind)")
+def a6_fp_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = MADE.df(spark).withColumn("normalized_key", tx.native_normalise(F.col("variant")))
+    return variants.collision_rates(variants.collisions(made, COMMON.df(spark))).select(F.coalesce("variant_kind", F.lit("all")).alias("kind"), "n", "n_hit", "rate")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), k AS (SELECT word, regexp_replace(word, '[aeiou]', '', 'g') AS key, length(word) AS len FROM w WHERE length(word) BETWEEN 3 AND 9),
+g AS (SELECT len, key, count(*) AS n, min(word) AS first_word FROM k GROUP BY len, key HAVING count(*) >= 2)
+SELECT CAST(len AS INT) AS len, key, n, first_word, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY n DESC, key) AS place FROM g) WHERE place <= 8""")
+def a7_key_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct().where(F.length("word").between(3, 9))
+    return variants.key_ambiguity(words, F.translate("word", "aeiou", "")).select("len", "key", "n", "first_word", "place")
+
+
+# ---- evaluation and classifier ---------------------------------------------
+GOLDEN = Inline("gd", "id int, slot string, grade string, expected array<string>, severity int, gate_status string, rely_on string", [
+    (1, "a", "strict", ["x"], 5, None, None), (2, "a", "ambiguous", ["x", "y"], 3, None, None), (3, "b", "strict", ["z"], 5, "pending_lexicon", None), (4, "b", "marketing", ["y"], 2, None, "term_variant_row"), (5, "c", "strict", ["q"], 4, None, None),
+])
+FOUND = Inline("fd", "id int, surface string", [(1, "x"), (2, "x"), (2, "y"), (4, "y"), (5, "p")])
+_CAUGHT_SQL = f"{GOLDEN.sql}, {FOUND.sql}, s AS (SELECT gd.*, (SELECT count(*) FROM unnest(expected) AS u(e) WHERE e NOT IN (SELECT surface FROM fd WHERE fd.id = gd.id)) = 0 AS ok, CASE WHEN gate_status IN ('pending_lexicon', 'composite_future') THEN gate_status WHEN rely_on = 'term_variant_row' THEN 'deferred_variants' END AS bucket FROM gd)"
+
+
+def _scored_golden(spark: SparkSession) -> DataFrame:
+    return evaluate.caught(GOLDEN.df(spark), FOUND.df(spark)).withColumn("bucket", evaluate.deferral(F.col("gate_status"), F.col("rely_on")))
+
+
+@query(f"WITH {_CAUGHT_SQL} SELECT avg(CASE WHEN bucket IS NULL THEN CASE WHEN ok THEN 1.0 ELSE 0.0 END END) AS recall, avg(CASE WHEN bucket IS NULL AND severity = 5 THEN CASE WHEN ok THEN 1.0 ELSE 0.0 END END) AS recall_sev5, CAST(count(bucket) AS BIGINT) AS n_deferred FROM s")
+def a1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.recalls(_scored_golden(spark))
+
+
+@query(f"WITH {_CAUGHT_SQL} SELECT coalesce(slot, 'all') AS slot, count(*) AS n, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS rate FROM s GROUP BY ROLLUP (slot)")
+def a2_slot_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.pass_rates(_scored_golden(spark)).select(F.coalesce("slot", F.lit("all")).alias("slot"), "n", "rate")
+
+
+@query(f"WITH {_CAUGHT_SQL}, r AS (SELECT avg(CASE WHEN bucket IS NULL THEN CASE WHEN ok THEN 1.0 ELSE 0.0 END END) AS a FROM s) SELECT g AS gate, a AS value, CAST(l AS DOUBLE) AS least, a >= l AS passed FROM r, (VALUES ('must_catch', 0.95), ('must_pass', 0.98)) v(g, l)")
+def a4_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.gates(evaluate.recalls(_scored_golden(spark)).select(F.col("recall").alias("must_catch"), F.col("recall").alias("must_pass")))
+
+
+def _stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a made-up score of their documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 97) / F.lit(97.0)).alias("score"))
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", "score", F.col("toxic").alias("label"))
+
+
+_STAND_SQL = "st AS (SELECT l.doc_id, (n_chars % 97) / CAST(97.0 AS DOUBLE) AS score, toxic AS label FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"WITH {_STAND_SQL}, c AS (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM st), r AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM c) SELECT round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(coalesce(p, 0), 4) AS precision, round(coalesce(r, 0), 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r")
+def a10_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.confusion_metrics(_stand_in(spark, sf_dir))
+
+
+@query(f"WITH {_STAND_SQL} SELECT round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) / count(*), 9) AS auc FROM st p, st n WHERE p.label = 1 AND n.label = 0")
+def a11_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.auc(_stand_in(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"WITH {_STAND_SQL}, g AS (SELECT i, CAST(0.5 AS DOUBLE) + i * CAST(0.05 AS DOUBLE) AS t FROM range(51) r(i)), x AS (SELECT t, greatest(least(1 / (1 + exp(-(score - 0.5) * 8 / t)), 1 - 1e-12), 1e-12) AS p, label FROM st, g), n AS (SELECT t, avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END) AS nll FROM x GROUP BY t) SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM n ORDER BY nll, t LIMIT 1")
+def c6_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _stand_in(spark, sf_dir).select(((F.col("score") - 0.5) * 8).alias("z"), "label")
+    return classifier.temperature(z).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
+
+
+
+
+def fnv_sql(ns: str, token: str) -> str:
+    chars = f"list_transform(string_split({ns} || chr(31) || {token}, ''), lambda x: CAST(unicode(x) AS BIGINT))"
+    return f"(list_reduce({chars}, lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) & 262143)"
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) SELECT word, {fnv_sql(chr(39) + 'w' + chr(39), 'word')} AS idx FROM w")
+def c1_fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.select("word", tx.fnv_index(F.lit("w"), F.col("word")).alias("idx"))
+
+
+_FEATURES_SQL = f"""b AS (SELECT item_id AS id, trim(replace(text, chr(10), ' ')) AS t FROM benchmark), tok AS (
+ SELECT id, 'c2' AS ns, substring(replace(t, ' ', '_'), i, 2) AS token FROM b, unnest(range(1, length(t))) AS u(i)
+ UNION ALL SELECT id, 'c3', substring(replace(t, ' ', '_'), i, 3) FROM b, unnest(range(1, length(t) - 1)) AS u(i)
+ UNION ALL SELECT id, 'w', unnest(list_filter(string_split(t, ' '), lambda x: x <> '')) FROM b
+ UNION ALL SELECT id, 'surf', 'the' FROM b),
+f AS (SELECT id, {fnv_sql('ns', 'token')} AS idx, CAST(count(*) AS DOUBLE) AS val FROM tok GROUP BY ALL UNION ALL SELECT id, 262148, 1.0 FROM b WHERE (length(t) - length(replace(t, 'the', ''))) // 3 >= 2)"""
+
+
+def _benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("the").alias("surface"))
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT id, idx, val FROM f")
+def c2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.features(_benchmark_rows(spark, sf_dir))
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT id, round(1 / (1 + exp(-(0.25 + sum(val * ((idx % 7) - 3) / 100.0)) / 0.9)), 6) AS score FROM f GROUP BY id")
+def c4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _benchmark_rows(spark, sf_dir)
+    feats = classifier.features(rows)
+    weights = spark.range(classifier.DIM + 5).select(F.col("id").alias("idx"), (((F.col("id") % 7) - 3) / F.lit(100.0)).alias("w"))
+    return classifier.score(feats, rows.select("id"), weights, 0.25, 0.9).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT quantile_disc(value, 0.95) AS p95 FROM events")
+def a13_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.p95(table(spark, sf_dir, "events"), "value")
+
+
+@query("WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n) FILTER (a = b) AS DOUBLE) AS s FROM c), e AS (SELECT sum(CAST(x.n AS DOUBLE) * y.n) AS e FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b) SELECT round((s / t.n - e / (t.n * t.n)) / (1 - e / (t.n * t.n)), 9) AS kappa FROM t, e")
+def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.cohen_kappa(table(spark, sf_dir, "labels"), "quality", "toxic").select(F.round("kappa", 9).alias("kappa"))
+
+
+# ---- vectors and bit patterns ----------------------------------------------
+@query("WITH h AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS phash FROM embeddings) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM h a, h b WHERE b.vec_id % 25 = 0 AND bit_count(xor(a.phash, b.phash)) <= 8")
+def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A bit for the sign of each of 32 components stands in for an image's hash.
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda v, i: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda s, b: s + b)
+    h = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), bits.alias("phash"))
+    return similar.near_hashes(h.select(F.col("vec_id").alias("image_id"), "phash"), h.where("vec_id % 25 = 0").select(F.col("vec_id").alias("marker_id"), "phash"))
+
+
+@query("WITH r AS (SELECT vec_id AS ref_id, embedding AS ref FROM embeddings WHERE vec_id < 5), p AS (SELECT vec_id, ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(ref AS DOUBLE[])) AS s FROM embeddings, r WHERE vec_id <> ref_id) SELECT vec_id, ref_id, round(s, 6) AS similarity FROM p WHERE s >= 0.25")
+def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return similar.near_vectors(v, v.where("vec_id < 5"), 0.25).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
