@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiguard.llm import decontaminate, lines, near, packing, toxicity
 from lexiguard.llm.common import discard, table, written
@@ -26,8 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines; a document of which nothing else is left goes, one that was blank before stays."""
-    kept = lines.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    return kept.select(*docs.columns)
+    return lines.without_recurring_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ RUN_TURNS = 1024
 
 def _position(turns: DataFrame) -> DataFrame:
     """Adds pos and the rolling hashes h1, h2. Conversations are cut into runs of turn numbers, so none needs one task for all its turns."""
-    run = F.floor(F.coalesce(F.col("turn"), F.lit(-(2**63))) / RUN_TURNS)
+    run = F.floor(F.greatest(F.coalesce(F.col("turn"), F.lit(0)), F.lit(0)) / RUN_TURNS)
     t = turns.select("conv_id", "turn", "role", "text", run.alias("run"))
     by_run = Window.partitionBy("conv_id", "run")
     in_run = by_run.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -69,14 +69,14 @@ def render_turn(role: Column, text: Column) -> Column:
 def collapse_and_render(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, segment, n_turns, n_segment_turns, rendered) of the maximal conversations.
 
-    A conversation of up to 256 turns is one row with segment 0; the texts of
-    longer ones are their segments in order. An empty table gives no rows;
+    A conversation whose turn numbers are below 256 is one row with segment 0;
+    the texts of longer ones are their segments in order. An empty table gives no rows;
     further columns are not read.
     """
     keep = maximal_conversations(turns)
     t = turns.select(F.col("conv_id").alias("cid"), "turn", "role", "text")
     kept = t.join(keep, F.col("cid").eqNullSafe(F.col("conv_id"))).drop("cid")
-    run = F.floor(F.coalesce(F.col("turn"), F.lit(-(2**63))) / SEGMENT_TURNS)
+    run = F.floor(F.greatest(F.coalesce(F.col("turn"), F.lit(0)), F.lit(0)) / SEGMENT_TURNS)
     parts = kept.groupBy("conv_id", "n_turns", run.alias("run")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("o1"), "turn", F.col("role").isNotNull().alias("o2"), "role", F.col("text").isNotNull().alias("o3"), "text"))).alias("turns")
     )

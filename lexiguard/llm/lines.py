@@ -46,6 +46,8 @@ MOST_LOST = 0.95
 #: Distinct lines of a leaf that one task parses at a time.
 BLOCK_LINES = 2048
 VARIABLE = "<*>"
+# Columns that only live between two steps, under names that tables hardly have.
+_KEY, _HIT, _OLD = "_lexiguard_key", "_lexiguard_dropped", "_lexiguard_text"
 
 
 def _masked(line: Column) -> Column:
@@ -161,17 +163,31 @@ def _key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k")
 
 
+def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
+    """docs with text without its recurring lines, and _KEY, _HIT: a hash, and the positions of the dropped lines or null."""
+    drop = recurring_lines(docs, min_docs).select(F.col("k").alias(_KEY), F.col("positions").alias(_HIT))
+    joined = docs.withColumn(_KEY, _key()).join(drop.hint("shuffle_hash"), _KEY, "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(_HIT, i))
+    hit = F.col(_HIT).isNotNull()
+    out = joined.withColumn(_OLD, F.col("text")).withColumn("text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with every column, text without its recurring lines, and n_lines, n_dropped (int).
+    """docs with every column, text without its recurring lines, and n_lines, n_dropped (int), which replace columns of these names.
 
     n_chars, where docs has it, is the new length if lines were dropped. An
-    empty table stays empty. Names that docs may not have: k, positions.
+    empty table stays empty.
     """
-    drop = recurring_lines(docs, min_docs)
-    joined = docs.withColumn("k", _key()).join(drop.hint("shuffle_hash"), "k", "left").drop("k")
-    lines = F.split("text", "\n")
-    hit = F.col("positions").isNotNull()
+    out = _dropped(docs, min_docs)
+    n_lines = F.coalesce(F.size(F.filter(F.split(_OLD, "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
     # Positions are unique, so their number is the number of lines that go.
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("positions", i))
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"\S"))), F.lit(0)), "n_dropped": F.coalesce(F.when(hit, F.size("positions")), F.lit(0)), "text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))}).drop("positions")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    n_dropped = F.when(F.col(_HIT).isNotNull(), F.size(_HIT)).otherwise(0)
+    return out.withColumns({"n_lines": n_lines, "n_dropped": n_dropped}).drop(_KEY, _HIT, _OLD)
+
+
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with just its columns; documents of which only blanks are left after dropping go, others that were blank stay."""
+    return _dropped(docs, min_docs).where(F.col(_HIT).isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)

@@ -211,5 +211,5 @@ def keep_one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Of rows with the same id and text one stays; a row whose id is null stays.
     """
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_lexiguard_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_lexiguard_gone"), "left_anti")
