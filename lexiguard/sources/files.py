@@ -82,7 +82,7 @@ def read_candidates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Folders are searched through for *.json in order of path.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(paths)
-    parsed = curation.parse(files.select("path", F.decode("content", F.lit("UTF-8")).alias("json")))
+    parsed = curation.parse(files.select("path", F.decode("content", "UTF-8").alias("json")))
     errors = F.when(F.col("parse_error").isNotNull(), F.array("parse_error")).otherwise(curation.validation_errors(F.col("c")))
     return parsed.select("path", "c", curation.dedup_key(F.col("c")).alias("dedup_key"), curation.signal_score(F.col("c.payload")).alias("signal_score"), errors.alias("errors")).orderBy("path")
 
