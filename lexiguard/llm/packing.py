@@ -102,6 +102,16 @@ class Encoder:
         return out
 
 
+def worker_encoder(path: str | None) -> Encoder:
+    """The encoder of this worker process, made by its first task; it outlives the task, unlike what the task brings along."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_lexiguard_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 class Index:
     """BM25 postings of a shard by token id. Tokens of more than half of the documents weigh nothing and have none."""
 
@@ -221,7 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     dealt = keyed.repartitionByRange("key", "doc_id", F.xxhash64("text")).sortWithinPartitions("key", "doc_id", "text")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 40)
         end = np.array([END], dtype="<u4").tobytes()
