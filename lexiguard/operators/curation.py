@@ -211,3 +211,36 @@ def audit_sample(rows: DataFrame, id_col: str) -> DataFrame:
 def upsert_sources(new: DataFrame, source: DataFrame) -> DataFrame:
     """new (url, …) with source_id: the known one of its url, else null for a new row; rows without url are always new."""
     return new.join(source.select("url", "source_id"), "url", "left")
+
+
+def evidence_with_sources(evidence: DataFrame, source: DataFrame) -> DataFrame:
+    return evidence.join(source, "source_id")
+
+
+def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key, as repeated upserts leave it."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """Numbers of applied, refused and uncertain verdicts; anything unknown is uncertain."""
+    known = F.when(F.col("verdict").isin("approve", "reject"), F.col("verdict")).otherwise("uncertain")
+    return verdicts.groupBy(known.alias("verdict"), "applied").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inactive_terms(matches: DataFrame, term: DataFrame, today: Column, months: int = 12) -> DataFrame:
+    """(term_id, last_seen) of active terms without a match in the last months: proposals to deprecate them."""
+    seen = matches.groupBy("term_id").agg(F.max("at").alias("last_seen"))
+    joined = term.where("status = 'active'").join(seen, "term_id", "left")
+    return joined.where(F.col("last_seen").isNull() | (F.col("last_seen") < F.add_months(today, -months))).select("term_id", "last_seen")
+
+
+def disclosed(term: DataFrame, incident: DataFrame) -> DataFrame:
+    """term with incidents: titles of the disclosable ones only, in order."""
+    shown = incident.where("disclosable").groupBy("term_id").agg(F.array_sort(F.collect_set("display_title")).alias("incidents"))
+    return term.join(shown, "term_id", "left").withColumn("incidents", F.coalesce("incidents", F.array().cast("array<string>")))
+
+
+def weekly_distribution(matches: DataFrame) -> DataFrame:
+    """(week, usage_recommendation, n)."""
+    return matches.groupBy(F.date_trunc("week", "at").alias("week"), "usage_recommendation").agg(F.count(F.lit(1)).alias("n"))

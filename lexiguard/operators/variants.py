@@ -119,3 +119,17 @@ def key_ambiguity(words: DataFrame, key) -> DataFrame:  # noqa: ANN001
 
 
 __all__ = ["classify", "collision_rates", "collisions", "generate", "initials_of", "key_ambiguity", "leet_forms", "loadable", "variants_of"]
+
+
+def fuzzy_keys(words: DataFrame, keys: DataFrame, most: int = 1) -> DataFrame:
+    """(word, key, distance) for words within so many letter edits of a key, equal ones left out. keys is a lexicon's short list.
+
+    A pair within `most` edits shares one of most + 1 equal parts of the key, so
+    only words that contain one are compared.
+    """
+    norm = words.select("word", native_normalise(F.col("word")).alias("norm"))
+    size = F.ceil(F.length("key") / (most + 1)).cast("int")
+    parts = keys.select("key", F.explode(F.array_distinct(F.array(*(F.substring(F.col("key"), size * i + 1, size) for i in range(most + 1))))).alias("part")).where("part <> ''")
+    met = norm.join(F.broadcast(parts), F.contains("norm", "part"))
+    near = met.select("word", "key", F.levenshtein("norm", "key", most).alias("distance"))
+    return near.where("distance > 0").distinct()

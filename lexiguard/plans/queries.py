@@ -617,3 +617,98 @@ def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return similar.near_vectors(v, v.where("vec_id < 5"), 0.25).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
+
+
+# ---- further workflow operators --------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
+def j7_evidence_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Lines stand in for evidence, parts for its sources.
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_id"))
+    source = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), "p_brand")
+    return curation.evidence_with_sources(lines, source).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("SELECT id, kind FROM (SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'incident' WHEN 'click' THEN 'new_term' WHEN 'view' THEN 'new_variant' ELSE 'other' END AS kind FROM events) ORDER BY CASE kind WHEN 'new_term' THEN 0 WHEN 'new_marker' THEN 1 WHEN 'new_variant' THEN 2 WHEN 'incident' THEN 3 ELSE 9 END, id LIMIT 500")
+def o3_apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "incident").when(F.col("event_type") == "click", "new_term").when(F.col("event_type") == "view", "new_variant").otherwise("other")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind.alias("kind")).orderBy(*curation.apply_order()).limit(500)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def o9_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.keep_last(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def a12_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'approve' WHEN o_orderpriority = '5-LOW' THEN 'reject' ELSE 'uncertain' END AS verdict, o_orderstatus = 'F' AS applied, count(*) AS n FROM orders GROUP BY ALL")
+def a9_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("o_orderpriority") == "1-URGENT", "approve").when(F.col("o_orderpriority") == "5-LOW", "reject").otherwise(F.col("o_orderpriority"))
+    return curation.verdict_counts(table(spark, sf_dir, "orders").select(verdict.alias("verdict"), (F.col("o_orderstatus") == "F").alias("applied")))
+
+
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type AS rec, count(*) AS n FROM events GROUP BY ALL")
+def weekly_match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("usage_recommendation"))
+    return curation.weekly_distribution(e).select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.col("usage_recommendation").alias("rec"), "n")
+
+
+@query("WITH s AS (SELECT o_custkey, max(o_orderdate) AS last_seen FROM orders GROUP BY o_custkey) SELECT c_custkey AS term_id FROM customer LEFT JOIN s ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND (last_seen IS NULL OR last_seen < TIMESTAMP '1997-08-01')")
+def inactive_term_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Customers stand in for terms, their orders for matches.
+    term = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("term_id"), F.when(F.col("c_mktsegment") == "BUILDING", "active").otherwise("draft").alias("status"))
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("term_id"), F.col("o_orderdate").alias("at"))
+    return curation.inactive_terms(seen, term, F.to_date(F.lit("1998-08-01"))).select("term_id")
+
+
+INCIDENTS = Inline("ic", "term_id int, display_title string, disclosable boolean", [(1, "b", True), (1, "a", True), (1, "hidden", False), (2, "hidden", False)])
+
+
+@query(f"WITH {TERM_ROWS.sql}, {INCIDENTS.sql} SELECT term_id, coalesce((SELECT string_agg(display_title, ',' ORDER BY display_title) FROM ic WHERE ic.term_id = tm.term_id AND disclosable), '') AS incidents FROM tm")
+def disclosed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.disclosed(TERM_ROWS.df(spark), INCIDENTS.df(spark)).select("term_id", F.array_join("incidents", ",").alias("incidents"))
+
+
+CHECKS = Inline("ck", "id int, severity int, legal boolean, done array<boolean>", [(1, 5, False, [True] * 5), (2, 5, False, [True, True, True, True, False]), (3, 2, True, [True] * 4), (4, 2, False, [False]), (5, 3, True, None)])
+
+
+@query(f"WITH {CHECKS.sql} SELECT id, (severity >= 5 OR legal) AND NOT (coalesce(len(done), 0) >= 5 AND NOT list_contains(coalesce(done, []), false)) AS missing FROM ck")
+def p16_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CHECKS.df(spark).select("id", curation.checklist_missing(F.col("severity"), F.col("legal"), F.col("done")).alias("missing"))
+
+
+NESTED = Inline("ne", "term_id int, surface string, term_kind string, status string, form string, variant_kind string", [(1, " aa ", "word", "active", "a1", "leet"), (1, " aa ", "word", "active", "ㄱ", "jamo"), (2, "bb", "word", "watchlist", "b1", "leet"), (3, "cc", "pattern", "active", "c1", "leet"), (4, "a1", "word", "active", "aa", "spacing")])
+
+
+@query(f"WITH {NESTED.sql}, f AS (SELECT trim(surface) AS form FROM ne WHERE status = 'active' AND term_kind <> 'pattern' UNION SELECT form FROM ne WHERE status = 'active' AND term_kind <> 'pattern' AND variant_kind NOT IN ('jamo', 'chosung')) SELECT form, 'NNP' AS tag FROM f WHERE form <> ''")
+def f9_user_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = NESTED.df(spark).groupBy("term_id", "surface", "term_kind", "status").agg(F.collect_list(F.struct(F.col("form").alias("surface"), F.lit("").alias("normalized_key"), "variant_kind")).alias("variants"))
+    return release.user_dictionary(rows).select("form", "tag")
+
+
+@query(f"WITH {NESTED.sql}, v AS (SELECT term_id, count(*) AS n FROM ne GROUP BY term_id) SELECT count(*) AS term_count, CAST(sum(n) AS BIGINT) AS variant_count FROM v")
+def a8_release_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.release_counts(NESTED.df(spark).groupBy("term_id").agg(F.collect_list("form").alias("variants")))
+
+
+@query(f"WITH {MADE.sql} SELECT id FROM md WHERE (variant_kind = 'leet' AND variant <> '') OR (variant_kind = 'chosung' AND length(variant) = 4)")
+def f10_loadable_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.loadable(MADE.df(spark).withColumn("decision", F.lit("verified"))).select("id")
+
+
+@query(f"WITH {VARIANT.sql}, {TERM_ROWS.sql}, v AS (SELECT * FROM (VALUES ('aaa', 'A1A'), ('bbb', 'x'), ('eee', 'y'), ('zzz', 'z')) t(surface, variant)), p AS (SELECT v.*, (SELECT min(term_id) FROM tm WHERE status = 'active' AND normalized_key = v.surface) AS t FROM v) SELECT variant, CASE WHEN t IS NULL THEN 'noparent' WHEN EXISTS (SELECT 1 FROM vr WHERE vr.term_id = t AND vr.variant = p.variant) THEN 'skip' ELSE 'loaded' END AS outcome FROM p")
+def w6_load_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verified = spark.createDataFrame([("aaa", "A1A", "leet"), ("bbb", "x", "leet"), ("eee", "y", "leet"), ("zzz", "z", "leet")], "surface string, variant string, variant_kind string")
+    return release.load_variants(verified, TERM_ROWS.df(spark), VARIANT.df(spark)).select("variant", "outcome")
+
+
+FUZZY = Inline("fz", "key string", [("thread",), ("outland",), ("hation",)])
+
+
+@query(f"WITH {FUZZY.sql}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) SELECT word, key, CAST(levenshtein(word, key) AS INT) AS distance FROM w, fz WHERE levenshtein(word, key) BETWEEN 1 AND 2")
+def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    return variants.fuzzy_keys(words, FUZZY.df(spark), 2)
