@@ -37,10 +37,12 @@ FIT_ROWS = 16_384
 VOCABULARY = 4_096
 K = 15
 BLOCK = 1_024
+#: Similarity that a clean vote has besides the neighbours' own.
+PRIOR = 1.0
 #: Vectors whose neighbours a task remembers; short texts often have equal ones.
 REMEMBERED = 50_000
 #: Least z score of the difference of these shares.
-LEAST_Z = 2.0
+LEAST_Z = 3.0
 #: Least ratio of the shares of documents of either label that have a term.
 LEAST_RATIO = 4.0
 PREFIXES = (4, 5, 6)
@@ -175,9 +177,10 @@ class Index:
         return near
 
     def vote(self, near: list[tuple[int, float]]) -> float:
-        """Share of toxic weight among the neighbours."""
+        """Share of toxic weight among the neighbours and a clean one of similarity PRIOR, so that distant ones say less."""
         w = [s * self.weight_of[j] for j, s in near]
-        return float(sum(x for x, (j, _) in zip(w, near, strict=True) if self.labels[j]) / sum(w))
+        prior = PRIOR * float(np.mean([self.weight_of[j] for j, _ in near]))
+        return float(sum(x for x, (j, _) in zip(w, near, strict=True) if self.labels[j]) / (sum(w) + prior))
 
     def score(self, near: list[tuple[int, float]]) -> float:
         if not near:
