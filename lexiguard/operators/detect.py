@@ -80,10 +80,6 @@ def confidence_of(kind: str | None) -> tuple[float, bool, list[str]]:
     return 0.9, False, []
 
 
-def _is_letter(ch: str) -> bool:
-    return "ㄱ" <= ch <= "ㅣ"
-
-
 def skip_view(norm: str) -> tuple[str, list[int], list[bool]]:
     """The text without runs of up to two separators between Hangul letters; where its characters were; whether a gap with blanks follows each."""
     text, places, blank = [], [], []

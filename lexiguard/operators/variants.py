@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
-from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, hangul_letters, initials_of, native_normalise
+from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, hangul_letters, native_normalise
 
 #: The letters and signs that stand for a round initial and for an upright vowel.
 ROUND_INITIAL, ROUND_SIGNS = "ㅇ", ("0", "o")
@@ -118,7 +118,7 @@ def key_ambiguity(words: DataFrame, key) -> DataFrame:  # noqa: ANN001
     return groups.withColumn("place", rank).where(F.col("place") <= TOP_GROUPS)
 
 
-__all__ = ["classify", "collision_rates", "collisions", "generate", "initials_of", "key_ambiguity", "leet_forms", "loadable", "variants_of"]
+__all__ = ["classify", "collision_rates", "collisions", "generate", "key_ambiguity", "leet_forms", "loadable", "variants_of"]
 
 
 def fuzzy_keys(words: DataFrame, keys: DataFrame, most: int = 1) -> DataFrame:
