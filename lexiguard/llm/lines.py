@@ -50,18 +50,26 @@ VARIABLE = "<*>"
 _KEY, _HIT, _OLD = "_lexiguard_key", "_lexiguard_dropped", "_lexiguard_text"
 
 
+def _not_blank(text: Column) -> Column:
+    return F.trim(text, F.lit(" \t\n\r\f\u000b")) != ""
+
+
 def _masked(line: Column) -> Column:
     """Words of a line joined by single blanks, those with digits or an at sign made variables."""
-    words = F.trim(F.regexp_replace(line, r"\s+", " "))
+    # Only few lines have blanks in a row or tabs, so most are spared the expression.
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\f", "\u000b"):
+        odd = odd | F.contains(line, F.lit(gap))
+    words = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(F.trim(line))
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(words, r"[^ ]*[0-9@][^ ]*", VARIABLE)).otherwise(words)
 
 
 def _line_columns(masked: Column, line: Column) -> list[Column]:
     words = F.split(masked, " ")
-    bare = F.trim(F.replace(masked, F.lit(VARIABLE), F.lit(""))) == ""
+    bare = F.startswith(masked, F.lit(VARIABLE)) & (F.trim(F.replace(masked, F.lit(VARIABLE), F.lit(""))) == "")
     return [
         F.size(words).alias("n_words"),
-        F.when(bare, F.xxhash64(F.lit(1), line)).otherwise(F.xxhash64(F.size(words), F.slice(words, 1, LEADING))).alias("leaf"),
+        F.when(bare, F.xxhash64(F.lit(1), line)).otherwise(F.xxhash64(F.size(words), F.substring_index(masked, " ", LEADING))).alias("leaf"),
         F.when(bare, F.xxhash64(F.lit(2), line)).otherwise(F.xxhash64(F.lit(3), masked)).alias("form"),
     ]
 
@@ -124,7 +132,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k, positions) of the lines to drop; k is the hash of id and text."""
     keyed = docs.select(_key(), "text")
     lines = keyed.select("k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S")).withColumn("masked", _masked(F.col("line")))
+    lines = lines.where(_not_blank(F.col("line"))).withColumn("masked", _masked(F.col("line")))
     table = written(lines.select("k", "pos", *_line_columns(F.col("masked"), F.col("line"))))
     doc = F.col("k")
     leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
@@ -182,7 +190,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     empty table stays empty.
     """
     out = _dropped(docs, min_docs)
-    n_lines = F.coalesce(F.size(F.filter(F.split(_OLD, "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter(F.split(_OLD, "\n"), _not_blank)), F.lit(0))
     # Positions are unique, so their number is the number of lines that go.
     n_dropped = F.when(F.col(_HIT).isNotNull(), F.size(_HIT)).otherwise(0)
     return out.withColumns({"n_lines": n_lines, "n_dropped": n_dropped}).drop(_KEY, _HIT, _OLD)
@@ -190,4 +198,4 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with just its columns; documents of which only blanks are left after dropping go, others that were blank stay."""
-    return _dropped(docs, min_docs).where(F.col(_HIT).isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    return _dropped(docs, min_docs).where(F.col(_HIT).isNull() | _not_blank(F.col("text"))).select(*docs.columns)
