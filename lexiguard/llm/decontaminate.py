@@ -82,6 +82,8 @@ class Items:
         #: What a shingle weighs that no item has.
         self.other = math.log(1 + n) + 1
         self.prints = np.zeros(n, dtype=np.uint64)
+        #: Numbers of words that shingles have: five, and those of shorter items.
+        self.lengths = sorted({x.count(" ") + 1 for x in self.with_shingle})
         self.firsts = {x.split(" ", 1)[0] for x in self.with_shingle}
 
     def fingerprint(self, rows: list[tuple[int, str]]) -> None:
@@ -132,12 +134,13 @@ class Matcher:
         spots: dict[int, set[int]] = defaultdict(set)
         firsts = items.firsts
         n = len(words)
-        last = max(1, n - SHINGLE + 1)
-        for p, w in enumerate(words[:last]):
+        for p, w in enumerate(words):
             if w in firsts:
-                for i in items.with_shingle.get(" ".join(words[p : p + SHINGLE]), ()):
-                    size = min(items.words[i], n)
-                    spots[items.words[i]].update(range(max(0, p + SHINGLE - size), min(p, n - size) + 1))
+                for length in items.lengths:
+                    end = min(p + length, n)
+                    for i in items.with_shingle.get(" ".join(words[p:end]), ()):
+                        size = min(items.words[i], n)
+                        spots[items.words[i]].update(range(max(0, end - size), min(p, n - size) + 1))
         if not spots:
             return []
         bits: dict[str, np.ndarray] = {}
