@@ -22,7 +22,7 @@ INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 MEDIALS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 FINALS = "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
 # Characters that print nothing.
-INVISIBLE = "​‌‍﻿­⁠᠎‎‏"
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad\u2060\u180e\u200e\u200f"
 
 
 def _phonemes() -> dict[str, str]:
