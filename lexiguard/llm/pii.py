@@ -89,15 +89,17 @@ DIGIT_WORDS = {
 _SIGN_WORDS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-", "minus": "-"}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"(?:[ \t]*[-,/]?[ \t]*)"
-_SPELLED_HINT = re.compile(rf"(?:{_DIGIT}){_GAP}(?:(?:{'|'.join(_SIGN_WORDS)}|double|triple){_GAP})?(?:{_DIGIT})(?![a-zß-\u024f])")
 _ITEM = rf"(?:(?:double|triple)[ \t]+)?(?:{_DIGIT}|[0-9]+)|{'|'.join(_SIGN_WORDS)}|\+"
+# A spelled digit and the next item: of the two that _digits_of() asks for, the first has a successor.
+_SPELLED_HINT = re.compile(rf"(?:{_DIGIT}){_GAP}(?:{_ITEM})", re.I)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_ITEM})(?:{_GAP}(?:{_ITEM}))+(?![^\W_])", re.I)
 _SPELLED_ITEM = re.compile(rf"(?:(double|triple)[ \t]+)?({_DIGIT}|[0-9]+)|({'|'.join(_SIGN_WORDS)}|\+)", re.I)
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
-_DISGUISE_HINT = re.compile(rf"{_OPEN}[ \t_-]*(?:[aA][tT]|[dD][oO][tT]|@|\.|[pP][uU][nN][kK][tT]|[aA][rR][rR][oO][bB][aA])[ \t_-]*{_SHUT}|[ _][dD][oO][tT][ _]|[A-Za-z0-9] @|@ [A-Za-z0-9]|[A-Za-z0-9] [aA][tT] [A-Za-z0-9-]+\.[a-z]")
 _AT = rf"(?:[ \t]*{_OPEN}[ \t_-]*(?:at|arroba|@)[ \t_-]*{_SHUT}[ \t]*|[ \t]+@[ \t]*|@[ \t]+|[ \t]+at[ \t]+|_at_|@)"
 _DOT = rf"(?:[ \t]*{_OPEN}[ \t_-]*(?:dot|punkt|punto|\.)[ \t_-]*{_SHUT}[ \t]*|[ \t]+(?:dot|punkt|punto)[ \t]+|_dot_|\.)"
+# What makes an address disguised, so that every match of _MAIL or _NET that is edited holds one: all of _AT and _DOT but a plain sign.
+_DISGUISE_HINT = re.compile(rf"[({{<\[][ \t_-]*(?:at|arroba|@|dot|punkt|punto|\.)[ \t_-]*[\])}}>]|[ \t_]at[ \t_]+[A-Za-z0-9-]+?{_DOT}|[ \t_](?:dot|punkt|punto)[ \t_]|[ \t]@|@[ \t]", re.I)
 _MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9%+-][A-Za-z0-9_%+-]*?(?:{_DOT}[A-Za-z0-9_%+-]+?)*)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
 _DOT_RX = re.compile(_DOT, re.I)
 _NET = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -167,7 +169,7 @@ def normalised(text: str) -> Mapped | None:
         m.replace([(x.start(), x.end(), new) for x in re.finditer("[^\x00-\x7f]", text) if (new := _folded(x[0])) is not None])
     if _DIGITLIKE_HINT.search(m.text):
         m.replace(_lookalike_digits(m.text))
-    if _SPELLED_HINT.search(m.text.lower()):
+    if _SPELLED_HINT.search(m.text):
         m.replace([(x.start() + a, x.start() + b, new) for x in _SPELLED.finditer(m.text) for a, b, new in _digits_of(x[0])])
     if _DISGUISE_HINT.search(m.text):
         m.replace(list(_mail_edits(m.text)))

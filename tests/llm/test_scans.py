@@ -52,6 +52,22 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert (kind, found) in [(k, text[s:e]) for k, s, e in spans]
 
 
+ATS = ["[at]", "(Arroba)", "<@>", " {_at-} ", " @ ", " @", "@ ", "\t@", " at ", "\tAT\t", "_at_", "@"]
+DOTS = ["[dot]", "(punkt)", "{Punto}", "<.>", " dot ", " punkt ", " PUNTO ", "\tdot\t", "_dot_", "."]
+
+
+def test_no_disguise_is_skipped_by_its_hint():
+    for at in ATS:
+        for dot in DOTS:
+            if pii._MAIL.fullmatch(text := f"anna{at}example{dot}com") and (at, dot) != ("@", "."):
+                assert ("email", 0, len(text)) in pii.find(text)[1], text
+    for dot in DOTS[:-1]:
+        text = dot.join(("192", "168", "1", "7"))
+        assert ("ip", 0, len(text)) in pii.find(text)[1], text
+    for text in ("+49 one 7 two 8 three 9 four 1", "+4 dot nine 1 5 double two 3 4 5 six", "+49 15 7 two 8 3 SEVEN 9 1"):
+        assert ("phone", 0, len(text)) in pii.find(text)[1], text
+
+
 def test_ordinary_prose_adds_nothing():
     for text in ("look at this dot", "one two buckle my shoe", "meet me at the station at nine", "", "Er hat acht und neun", "dos o tres"):
         assert pii.find(text) == ([], [])
