@@ -7,14 +7,14 @@ into one template with variables where they differ. Equal lines fall together
 before that, and a large leaf is parsed in blocks whose templates are then
 parsed again, so no task holds an unbounded leaf.
 
-A template recurs if at least MIN_DOCS documents with text of their own have
-it. A document of which nearly all is in other documents too is a copy: it has
-no say here, so that copies are left to near-duplicate removal instead of
-being emptied by it. To tell, documents with half of their words in shared
-lines are compared by runs of three words, which leaves an edited line mostly
-shared. Every line of a recurring template goes,
-in every document, except in one that would keep next to nothing: that one is
-a copy too.
+A template recurs if documents of at least MIN_DOCS groups have it. A group is
+a document with all its copies, so copies have one vote together and do not
+erase each other. Copies are documents whose five-word shingles are alike as
+near-duplicate removal has it, each compared in full with the other, or whose
+lines are all of the same templates. A passage that makes up DOMINANT of a
+document is left out for that, unless nothing else is there: such documents are
+alike by the passage and not by their own text. Every line of a recurring template goes,
+in every document.
 
 Null texts stay null, and blank lines stay and are never templates. Lines of
 variables only are compared as they are. Documents are told apart by id and
@@ -30,17 +30,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiguard.llm import near
 from lexiguard.llm.common import map_rows, written
+from lexiguard.llm.components import components
 
 LEADING = 3
 ALIKE = 0.7
 MIN_DOCS = 3
-#: Share of words in lines that another document has too, from which a document may be a copy.
-LENT_SHARE = 0.5
-#: Share of runs of three words that another document has too, from which it is one.
-COPY_SHARE = 0.88
-#: One in so many runs of three words is compared, for a text as a whole.
-PIECE_SHARE = 2
+#: Share of a document's words from which a passage is left out when it is compared; below that, 0.85 alike is not in reach by it alone.
+DOMINANT = 0.9
 #: A document that would lose more than this share of its words stays as it is: all of it is elsewhere too.
 MOST_LOST = 0.95
 #: Distinct lines of a leaf that one task parses at a time.
@@ -120,12 +118,25 @@ def _templates(distinct: DataFrame) -> DataFrame:
     return first.select("form", "template").join(again, "template").select("form", F.col("final").alias("template"))
 
 
-def _pieces(text: Column) -> Column:
-    """Hashes of every three words in a row, the share that PIECE_SHARE lets through, chosen by the hash itself."""
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    # Arrays outside a lambda are made once a row; inside one they would be made again for every word.
-    runs = F.arrays_zip(words, F.slice(words, 2, F.size(words)), F.slice(words, 3, F.size(words)))
-    return F.filter(F.transform(runs, lambda r: F.xxhash64(r["0"], r["1"], r["2"])), lambda h: F.pmod(h, F.lit(PIECE_SHARE)) == 0)
+def _copies(texts: DataFrame, per: DataFrame, all_of: DataFrame) -> DataFrame:
+    """(k, vote) of documents that hold a template of several: copies have the same vote.
+
+    texts is (k, text), per (k, template, n_words, n_rows, positions, n_docs)
+    with n_docs null for templates of too few documents, all_of (k, all, rows).
+    """
+    widest = F.max(F.when(F.col("n_docs").isNotNull(), F.struct("n_words", "template", "positions"))).alias("widest")
+    form = F.xxhash64(F.array_sort(F.collect_list(F.struct("template", F.size("positions").alias("n"))))).alias("form")
+    shape = per.groupBy("k").agg(widest, form, F.sum("n_rows").alias("n_rows")).where("widest IS NOT NULL").join(all_of, "k")
+    apart = (F.col("widest.n_words") >= DOMINANT * F.col("all")) & (F.col("widest.n_words") < F.col("all"))
+    # Lines that no other document can match are in no template, and no document is of the same form then.
+    shape = written(shape.select("k", F.when(apart, F.col("widest.positions")).alias("left_out"), F.when(F.col("n_rows") == F.col("rows"), F.col("form")).alias("form")))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("left_out", i)), "\n")
+    read = written(texts.join(shape.select("k", "left_out").hint("shuffle_hash"), "k").select(F.col("k").alias("doc_id"), F.when(F.col("left_out").isNull(), F.col("text")).otherwise(rest).alias("text")))
+    alike = near.near_duplicates(read).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group")).distinct()
+    alike = written(alike.join(shape.select("k", "form"), "k"))
+    first = alike.where("form IS NOT NULL").groupBy("form").agg(F.min("group").alias("b"))
+    joined = components(alike.join(first, "form").select(F.col("group").alias("a"), "b"))
+    return alike.join(joined, F.col("group") == F.col("node"), "left").select("k", F.coalesce("component", "group").alias("vote"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -138,33 +149,26 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
     shared = written(table.join(leaves.select("leaf", (F.col("f") != F.col("g")).alias("mixed")), "leaf"))
 
-    common = shared.groupBy("form").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a <> b").select("form")
-    lent = shared.join(common, "form").groupBy("k").agg(F.sum("n_words").alias("lent"))
-    own = table.groupBy("k").agg(F.sum("n_words").alias("all"))
-    suspects = own.join(lent, "k").where(F.col("lent") >= LENT_SHARE * F.col("all")).select("k", F.lit(True).alias("suspect"), F.array().cast("array<struct<pos:int,leaf:long,form:long>>").alias("wanted"))
+    all_of = table.groupBy("k").agg(F.sum("n_words").alias("all"), F.count(F.lit(1)).alias("rows"))
     # One place of each distinct line of a mixed leaf; its words are read from there.
     places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k", "pos")).alias("at"))
-    places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.lit(False).alias("suspect"), F.collect_list(F.struct("pos", "leaf", "form")).alias("wanted"))
-    asked = suspects.unionByName(places).groupBy("k").agg(F.max("suspect").alias("suspect"), F.array_sort(F.flatten(F.collect_list("wanted"))).alias("wanted"))
+    places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "form"))).alias("wanted"))
     # Hashing the small side spares sorting whole texts.
-    texts = keyed.join(asked.withColumn("places", F.col("wanted.pos")).hint("shuffle_hash"), "k")
+    texts = keyed.join(places.withColumn("places", F.col("wanted.pos")).hint("shuffle_hash"), "k")
     # Both in order of position.
     found = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains("places", i))
     lines = F.zip_with("wanted", found, lambda w, x: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(x).alias("masked")))
-    read = written(texts.select("k", F.when(F.col("suspect"), _pieces(F.col("text"))).alias("pieces"), lines.alias("masked")))
-
-    pieces = read.select("k", F.explode("pieces").alias("h")).groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
-    met = pieces.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h", F.lit(True).alias("met"))
-    share = pieces.join(met, "h", "left").groupBy("k").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("met"), F.col("n"))).alias("met"))
-    copies = share.where(F.col("met") >= COPY_SHARE * F.col("all")).select("k")
-
+    read = written(texts.select(lines.alias("masked")))
     distinct = read.select(F.explode("masked").alias("m")).select("m.*").dropDuplicates(["leaf", "form"])
     named = shared.join(_templates(distinct), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
     named = written(named)
-    votes = named.select("template", "k").distinct().join(copies, "k", "left_anti")
-    recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("template")
-    lost = named.join(recurring, "template").groupBy("k").agg(F.sum("n_words").alias("lost"), F.collect_set("pos").alias("positions"))
-    return lost.join(own, "k").where(F.col("lost") <= MOST_LOST * F.col("all")).select("k", "positions")
+    per = named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.collect_set("pos").alias("positions"))
+    wide = per.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    per = written(per.join(wide, "template", "left"))
+    votes = per.where("n_docs IS NOT NULL").select("template", "k").join(_copies(keyed, per, all_of), "k").select("template", "vote").distinct()
+    recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= min_docs).select("template")
+    lost = per.join(recurring, "template").groupBy("k").agg(F.sum("n_words").alias("lost"), F.flatten(F.collect_list("positions")).alias("positions"))
+    return lost.join(all_of, "k").where(F.col("lost") <= MOST_LOST * F.col("all")).select("k", "positions")
 
 
 def _key() -> Column:

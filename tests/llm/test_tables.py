@@ -226,3 +226,21 @@ def test_leaks_against_all_windows(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == docs_of(spark, rows).columns
     assert decontaminate.find_leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs_of(spark, rows).limit(0), bench).count() == 0
+
+
+def n_dropped(spark, rows):
+    return {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
+
+
+def test_a_group_of_copies_has_one_vote(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(plain_words(rng, n))
+    passage, licence, notice = text(60), text(60), text(300)
+    paired = [t for t in (text(45) + "\n" + passage for _ in range(3)) for _ in range(2)]
+    crowd = [licence + "\n" + text(40)] * 30 + [licence + "\n" + text(40) for _ in range(2)]
+    mostly = [notice + "\n" + text(20) for _ in range(4)]
+    near_copies = [text(30) + "\n" + text(30) + "\n" + text(30)] * 2
+    near_copies += [near_copies[0] + " end", "start " + near_copies[0]]
+    rows = list(enumerate(paired + crowd + mostly + near_copies))
+    assert list(n_dropped(spark, rows).values()).count(1) == len(rows) - 4
+    assert all(n_dropped(spark, rows)[i] == 0 for i, t in rows if t in near_copies)
