@@ -244,3 +244,11 @@ def test_a_group_of_copies_has_one_vote(spark):
     rows = list(enumerate(paired + crowd + mostly + near_copies))
     assert list(n_dropped(spark, rows).values()).count(1) == len(rows) - 4
     assert all(n_dropped(spark, rows)[i] == 0 for i, t in rows if t in near_copies)
+
+
+def test_overlap_with_many_documents_makes_no_copy(spark):
+    rng = random.Random(13)
+    passage, pool = " ".join(plain_words(rng, 60)), [plain_words(rng, 60) for _ in range(3)]
+    stitched = [" ".join(w for j in range(3) for w in pool[(i + j) % 3][20 * i : 20 * i + 20]) for i in range(3)]
+    rows = [(i, stitched[i] + "\n" + passage) for i in range(3)] + [(10 + i, " ".join(w)) for i, w in enumerate(pool)]
+    assert n_dropped(spark, rows) == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 12: 0}
