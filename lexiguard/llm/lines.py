@@ -14,7 +14,7 @@ near-duplicate removal has it, each compared in full with the other, or whose
 lines are all of the same templates. A passage that makes up DOMINANT of a
 document is left out for that, unless nothing else is there: such documents are
 alike by the passage and not by their own text. Every line of a recurring template goes,
-in every document.
+in every document, also where nothing else is left.
 
 Null texts stay null, and blank lines stay and are never templates. Lines of
 variables only are compared as they are. Documents are told apart by id and
@@ -39,8 +39,6 @@ ALIKE = 0.7
 MIN_DOCS = 3
 #: Share of a document's words from which a passage is left out when it is compared; below that, 0.85 alike is not in reach by it alone.
 DOMINANT = 0.9
-#: A document that would lose more than this share of its words stays as it is: all of it is elsewhere too.
-MOST_LOST = 0.95
 #: Distinct lines of a leaf that one task parses at a time.
 BLOCK_LINES = 2048
 VARIABLE = "<*>"
@@ -167,8 +165,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     per = written(per.join(wide, "template", "left"))
     votes = per.where("n_docs IS NOT NULL").select("template", "k").join(_copies(keyed, per, all_of), "k").select("template", "vote").distinct()
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= min_docs).select("template")
-    lost = per.join(recurring, "template").groupBy("k").agg(F.sum("n_words").alias("lost"), F.flatten(F.collect_list("positions")).alias("positions"))
-    return lost.join(all_of, "k").where(F.col("lost") <= MOST_LOST * F.col("all")).select("k", "positions")
+    return per.join(recurring, "template").groupBy("k").agg(F.flatten(F.collect_list("positions")).alias("positions"))
 
 
 def _key() -> Column:

@@ -252,3 +252,11 @@ def test_overlap_with_many_documents_makes_no_copy(spark):
     stitched = [" ".join(w for j in range(3) for w in pool[(i + j) % 3][20 * i : 20 * i + 20]) for i in range(3)]
     rows = [(i, stitched[i] + "\n" + passage) for i in range(3)] + [(10 + i, " ".join(w)) for i, w in enumerate(pool)]
     assert n_dropped(spark, rows) == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 12: 0}
+
+
+def test_pages_of_nothing_but_recurring_lines_lose_them(spark):
+    rng = random.Random(12)
+    parts = [" ".join(plain_words(rng, 40)) for _ in range(6)]
+    rows = [(i, "\n".join([parts[i], parts[(i + 1) % 6], parts[(i + 3) % 6]])) for i in range(6)] + [(10, parts[0])]
+    assert n_dropped(spark, rows) == {i: 3 for i in range(6)} | {10: 1}
+    assert lines.without_recurring_lines(docs_of(spark, rows)).count() == 0
