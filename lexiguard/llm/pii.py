@@ -2,9 +2,10 @@
 
 Plain detectors run on the text as it is. A second pass runs them on a
 normalised copy: look-alike characters are folded to ASCII, spelled digits
-become digits, and written-out "at" and "dot" become their signs. Each
-character of the copy remembers the source characters that it came from, so
-what is found there maps back to code points of the source.
+become digits, and written-out "at" and "dot" become their signs. The copy
+keeps the list of its edits, so what is found there maps back to code points
+of the source. Every pattern runs in time linear in the text: runs of blanks,
+digits and host letters are taken whole, and are entered at their start only.
 
 Null text counts as empty and has no spans. Offsets are code points, end
 exclusive. Repeated rows give repeated results.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -88,20 +90,27 @@ DIGIT_WORDS = {
 }
 _SIGN_WORDS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-", "minus": "-"}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_GAP = r"(?:[ \t]*[-,/]?[ \t]*)"
-_ITEM = rf"(?:(?:double|triple)[ \t]+)?(?:{_DIGIT}|[0-9]+)|{'|'.join(_SIGN_WORDS)}|\+"
+_GAP = r"(?:[ \t]*+(?:[-,/][ \t]*+)?)"
+_ITEM = rf"(?:(?:double|triple)[ \t]++)?(?:{_DIGIT}|[0-9]++)|{'|'.join(_SIGN_WORDS)}|\+"
 # A spelled digit and the next item: of the two that _digits_of() asks for, the first has a successor.
 _SPELLED_HINT = re.compile(rf"(?:{_DIGIT}){_GAP}(?:{_ITEM})", re.I)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_ITEM})(?:{_GAP}(?:{_ITEM}))+(?![^\W_])", re.I)
 _SPELLED_ITEM = re.compile(rf"(?:(double|triple)[ \t]+)?({_DIGIT}|[0-9]+)|({'|'.join(_SIGN_WORDS)}|\+)", re.I)
 
+# Blanks before a sign are only entered at their first one.
+_BLANKS = r"(?<![ \t])[ \t]++"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
-_AT = rf"(?:[ \t]*{_OPEN}[ \t_-]*(?:at|arroba|@)[ \t_-]*{_SHUT}[ \t]*|[ \t]+@[ \t]*|@[ \t]+|[ \t]+at[ \t]+|_at_|@)"
-_DOT = rf"(?:[ \t]*{_OPEN}[ \t_-]*(?:dot|punkt|punto|\.)[ \t_-]*{_SHUT}[ \t]*|[ \t]+(?:dot|punkt|punto)[ \t]+|_dot_|\.)"
-# What makes an address disguised, so that every match of _MAIL or _NET that is edited holds one: all of _AT and _DOT but a plain sign.
-_DISGUISE_HINT = re.compile(rf"[({{<\[][ \t_-]*(?:at|arroba|@|dot|punkt|punto|\.)[ \t_-]*[\])}}>]|[ \t_]at[ \t_]+[A-Za-z0-9-]+?{_DOT}|[ \t_](?:dot|punkt|punto)[ \t_]|[ \t]@|@[ \t]", re.I)
-_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9%+-][A-Za-z0-9_%+-]*?(?:{_DOT}[A-Za-z0-9_%+-]+?)*)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
+_AT_SIGN = rf"{_OPEN}[ \t_-]*+(?:at|arroba|@)[ \t_-]*+{_SHUT}[ \t]*+"
+_AT = rf"(?:{_BLANKS}(?:{_AT_SIGN}|@[ \t]*+|at[ \t]++)|{_AT_SIGN}|_at_|@[ \t]*+)"
+_DOT_SIGN = rf"{_OPEN}[ \t_-]*+(?:dot|punkt|punto|\.)[ \t_-]*+{_SHUT}[ \t]*+"
+_DOT_DISGUISED = rf"(?:{_BLANKS}(?:{_DOT_SIGN}|(?:dot|punkt|punto)[ \t]++)|{_DOT_SIGN}|_dot_)"
+_DOT = rf"(?:{_DOT_DISGUISED}|\.)"
+# What makes an address disguised, so that every address or number that is edited holds one: all of _AT and _DOT but a plain sign.
+_DISGUISE_HINT = re.compile(rf"[({{<\[][ \t_-]*+(?:at|arroba|@|dot|punkt|punto|\.)[ \t_-]*+[\])}}>]|[ \t_]at[ \t_]++[A-Za-z0-9-]+?{_DOT}|[ \t_](?:dot|punkt|punto)[ \t_]|[ \t]@|@[ \t]", re.I)
+_AT_RX = re.compile(_AT, re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
 _DOT_RX = re.compile(_DOT, re.I)
+_DOT_DISGUISED_RX = re.compile(_DOT_DISGUISED, re.I)
 _NET = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 # Endings after which "name at host.tld" is read as an address even though its dot is a plain one.
 PLAIN_ENDINGS = frozenset("com org net edu gov info io co de fr es uk eu at ch it nl".split())
@@ -111,26 +120,43 @@ _DIGITLIKE_TO = str.maketrans("OoIl", "0011")
 
 
 class Mapped:
-    """A text whose characters carry the source range that each of them stands for."""
+    """A text and the edits that made it, step by step, so that its spans can be traced to the source."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), False
+        self.text = text
+        #: For each step: the edits' new starts, new ends, old starts and old ends.
+        self.steps: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put new strings for ranges that are in order and apart; each new character stands for the whole range."""
         if not edits:
             return
-        text, start, end, at = [], [], [], 0
+        out, at, size = [], 0, 0
+        step: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
         for a, b, new in edits:
-            text += [self.text[at:a], new]
-            start += self.start[at:a]
-            end += self.end[at:a]
-            if new and b > a:
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
+            out += [self.text[at:a], new]
+            size += a - at + len(new)
+            for part, x in zip(step, (size - len(new), size, a, b), strict=True):
+                part.append(x)
             at = b
-        self.text = "".join([*text, self.text[at:]])
-        self.start, self.end, self.changed = start + self.start[at:], end + self.end[at:], True
+        self.text = "".join([*out, self.text[at:]])
+        self.steps.append(step)
+
+    def _before(self, at: int, step: tuple[list[int], list[int], list[int], list[int]]) -> tuple[int, int]:
+        """The range of the character at a place before one step."""
+        starts, ends, old_starts, old_ends = step
+        i = bisect_right(starts, at) - 1
+        # Deletions leave no character; the last edit that starts here and is not empty counts.
+        if i >= 0 and at < ends[i]:
+            return old_starts[i], old_ends[i]
+        old = at if i < 0 else at - ends[i] + old_ends[i]
+        return old, old + 1
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source range of a span that is not empty."""
+        for step in reversed(self.steps):
+            start, end = self._before(start, step)[0], self._before(end - 1, step)[1]
+        return start, end
 
 
 def _folded(ch: str) -> str | None:
@@ -174,7 +200,7 @@ def normalised(text: str) -> Mapped | None:
     if _DISGUISE_HINT.search(m.text):
         m.replace(list(_mail_edits(m.text)))
         m.replace([(x.start() + d.start(), x.start() + d.end(), ".") for x in _NET.finditer(m.text) for d in _DOT_RX.finditer(x[0]) if d[0] != "."])
-    return m if m.changed else None
+    return m if m.steps else None
 
 
 def _lookalike_digits(text: str) -> list[tuple[int, int, str]]:
@@ -188,17 +214,40 @@ def _lookalike_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _mail_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _MAIL.finditer(text):
-        at, host = m[2].strip(), m[3]
-        disguised_dot = _DOT_RX.sub(".", host) != host
-        if at.lower() == "at" and not (disguised_dot or host.rsplit(".", 1)[-1].lower() in PLAIN_ENDINGS):
+    """Edits around each sign for "at": disguised dots of the name before it, the sign, disguised dots of the host after it.
+
+    A name is followed backwards over its letters and disguised dots, as far as
+    the sign before it, so every character is looked at once.
+    """
+    dots = {m.end(): m.start() for m in _DOT_DISGUISED_RX.finditer(text)}
+    low = 0
+    for m in _AT_RX.finditer(text):
+        (a, b), bound = m.span(), low
+        low = b
+        host = _HOST.match(text, b)
+        if not host:
+            continue
+        at, has_dot = m[0].strip(), _DOT_DISGUISED_RX.search(host[0])
+        if at.lower() == "at" and not (has_dot or host[0].rsplit(".", 1)[-1].lower() in PLAIN_ENDINGS):
+            continue
+        start = a
+        while start > bound:
+            if text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            elif start < a and dots.get(start, -1) >= bound:
+                start = dots[start]
+            else:
+                break
+        name = a
+        while start < name and text[start] in "._ \t":
+            start += 1
+        if start == a:
             continue
-        for a, b in ((m.start(1), m.end(1)), (m.start(3), m.end(3))):
-            if a == m.start(3):
-                yield m.start(2), m.end(2), "@"
-            for d in _DOT_RX.finditer(text, a, b):
-                if d[0] != ".":
-                    yield d.start(), d.end(), "."
+        yield from ((d.start(), d.end(), ".") for d in _DOT_DISGUISED_RX.finditer(text, start, a) if d.start() > start)
+        if m[0] != "@":
+            yield a, b, "@"
+        yield from ((d.start(), d.end(), ".") for d in _DOT_DISGUISED_RX.finditer(text, b, host.end()))
+        low = host.end()
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -212,7 +261,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     added = {
         (k, s, e)
         for k, a, b in detect(copy.text)
-        for s, e in [(copy.start[a], copy.end[b - 1])]
+        for s, e in [copy.source(a, b)]
         if not any(x <= s and e <= y for x, y in have[k])
     }
     return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
