@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,17 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one where all run on one machine; elsewhere an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         set_dir = spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="lexiguard-")
         spark.sparkContext.setCheckpointDir(set_dir)
         set_dir = spark.sparkContext.getCheckpointDir()
     return f"{set_dir.rstrip('/')}/lexiguard-{spark.sparkContext.applicationId}"
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of value, with its classes, so that workers need no copy of this package. A task calls the result once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 _roots: set[str] = set()
 
 

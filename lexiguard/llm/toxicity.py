@@ -2,21 +2,26 @@
 
 Terms are words and word beginnings of four to six letters, each also in
 forms that stand for coming twice, and three times. The vocabulary
-holds the terms whose shares of documents differ most between labels; a document
-is its TF-IDF vector over it, with document frequencies counted over the whole
-corpus. Cosine neighbours are searched block by block: a block is skipped only
-if the sum of its largest weights cannot reach the k-th neighbour found so
-far, so results are exact. Neighbours vote by similarity; a logistic curve
-fitted to leave-one-out votes turns the vote into a probability.
+holds every term of the labelled sample whose shares of documents differ
+between labels beyond chance; a document is its TF-IDF vector over it, with
+document frequencies counted over the whole corpus. Cosine neighbours are
+searched block by block: a block is skipped only if the sum of its largest
+weights cannot reach the k-th neighbour found so far, so results are exact.
+Neighbours vote by similarity; a logistic curve fitted to leave-one-out votes
+turns the vote into a probability.
 
-Bounds, all parameters of fit(): FIT_ROWS labelled rows in all, at most half of
-them of one label, chosen by the hash of their id; VOCABULARY terms; K
-neighbours. Everything kept on the driver or broadcast is bounded by these.
+Over all terms of the sample instead, the same search ranks held-out documents
+worse (see the README), since most words of a text say nothing of its tone.
+
+Bounds, parameters of fit(): FIT_ROWS labelled rows in all, at most half of
+them of one label, chosen by the hash of their id; K neighbours. Everything
+kept on the driver or broadcast is bounded by these rows.
 
 Null texts count as empty. A text without any term of the vocabulary gets the
 smoothed share of toxic rows among such labelled texts. Without rows of both
 labels every score is the share of toxic rows (0 without labels). Repeated
-label rows count once, with their largest mark; null marks count as none.
+label rows count once, with their largest mark; null marks count as none. A
+labelled id that several texts have stands for the largest of them.
 """
 
 from __future__ import annotations
@@ -31,10 +36,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiguard.llm.common import filter_rows, map_rows
+from lexiguard.llm.common import discard, filter_rows, map_rows, shipped, written
 
 FIT_ROWS = 16_384
-VOCABULARY = 4_096
 K = 15
 BLOCK = 1_024
 #: Similarity that a clean vote has besides the neighbours' own.
@@ -121,7 +125,8 @@ class Index:
 
     @classmethod
     def build(cls, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], class_weights: tuple[float, float]) -> Index:
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2]), r[0]))
+        # In order of their vectors, so that neither blocks nor ties depend on ids.
+        rows = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2]), sorted(zip(r[2], r[3], strict=True)), r[1], r[0]))
         n, v = len(rows), len(idf)
         blocks = max(1, -(-n // BLOCK))
         term, example, weight = [], [], []
@@ -141,7 +146,7 @@ class Index:
         return cls(idf, labels, np.array([r[0] for r in rows], dtype=np.int64), np.where(labels == 1, class_weights[1], class_weights[0]), e, w, bounds, maxima)
 
     def neighbours(self, counts: dict[int, int], k: int = K, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0 with their cosines; ties by place in the index."""
+        """The k examples of largest cosine above 0 with their cosines; ties by place in the index, which is by vector."""
         if not counts or not len(self.labels):
             return []
         ids = np.fromiter(counts, dtype=np.int64)
@@ -224,11 +229,12 @@ def training_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFr
     return half[0].unionByName(half[1]), totals
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY) -> tuple[dict[str, int], Index]:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, int], Index]:
     sample, totals = training_labels(labels, fit_rows)
     # At most fit_rows rows of two numbers, so this broadcast is bounded.
     marks = sample.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("mark"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "mark").cache()
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("label_id"))
+    texts = written(met.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("mark").alias("mark")))
 
     def count_terms(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -240,7 +246,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     sizes = {int(r[0]): int(r[1]) for r in texts.groupBy("mark").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        texts.unpersist()
         index = Index.build(np.zeros(0), [], (1.0, 1.0))
         index.bare = totals.get(1, 0) / max(1, sum(totals.values()))
         return {}, index
@@ -249,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     # Terms that are merely commoner in one language or style fail the ratio.
-    chosen = counts.where(F.col("n0") + F.col("n1") >= 3).withColumn("z", z).where((F.greatest(p0 / p1, p1 / p0) >= LEAST_RATIO) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(vocabulary)
+    chosen = counts.where(F.col("n0") + F.col("n1") >= 3).withColumn("z", z).where((F.greatest(p0 / p1, p1 / p0) >= LEAST_RATIO) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term")
     ids = vocabulary_ids([r[0] for r in chosen.select("term").collect()])
     size = sum(i >= 0 for i in ids.values())
 
@@ -260,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
 
     examples = [tuple(r) for r in map_rows(texts, ["doc_id", "text", "mark"], vectors, "doc_id long, mark int, ids array<int>, counts array<int>").collect()]
     examples.sort(key=lambda r: r[0])
-    texts.unpersist()
+    discard(texts)
 
     def frequencies(rows: Iterator[tuple]) -> Iterator[tuple]:
         df: Counter = Counter()
@@ -283,13 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     return ids, index
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted, evidence (nearest examples as id:label:cosine)."""
-    ids, index = fit(docs, labels, fit_rows, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, index))
+    load = shipped(docs.sparkSession, fit(docs, labels, fit_rows))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        ids, index = shared.value
+        ids, index = load()
         for doc_id, text in rows:
             near = index.remembered(vector(text, ids))
             score = index.score(near)
@@ -302,10 +306,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score threshold or more; columns stay, and no row moves to another task."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    load = shipped(docs.sparkSession, fit(docs, labels))
 
     def keep():  # noqa: ANN202
-        ids, index = shared.value
+        ids, index = load()
         return lambda text: index.score(index.remembered(vector(text, ids))) < threshold
 
     return filter_rows(docs, "text", keep)

@@ -7,12 +7,16 @@ captures, and no pairs are formed. Only record ids and headers move; bodies
 stay where they are and are named by the resolved record.
 
 A revisit is resolved if the latest earlier response's validators agree:
-equal entity tags where both have one, else equal payload digests where both
-have one, else equal last-modified values. Permitted headers of the revisit
-replace those of the response; others stay as they were stored.
+equal entity tags where both have one, compared weakly (without the mark W/),
+else equal payload digests where both have one, else equal last-modified
+values. Permitted headers of the revisit replace those of the response; others
+stay as they were stored. Names are the same in any case of letters, and the
+result has each once: of several spellings the first in order of characters, and
+of both records' values the revisit's.
 
 Records with a null or empty address match none. Ties in time are broken by
-record id, the smaller first. Null header maps count as empty.
+record id, the smaller first, then by validators; each row of a repeated revisit
+is answered. Null header maps count as empty.
 """
 
 from __future__ import annotations
@@ -42,9 +46,16 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    stored, fresh = F.coalesce(stored, F.create_map().cast("map<string,string>")), F.coalesce(fresh, F.create_map().cast("map<string,string>"))
-    allowed = F.map_filter(fresh, lambda k, _: F.lower(k).isin(*PERMITTED))
-    return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    old, new = F.coalesce(F.map_entries(stored), empty), F.filter(F.coalesce(F.map_entries(fresh), empty), lambda e: F.lower(e.key).isin(*PERMITTED))
+    both = F.concat(F.array_sort(new), F.array_sort(old))
+    names = F.transform(both, lambda e: F.lower(e.key))
+    return F.map_from_entries(F.filter(both, lambda e, i: F.array_position(names, F.lower(e.key)) == i + 1))
+
+
+def opaque_tag(tag: Column) -> Column:
+    """An entity tag without the mark of a weak one."""
+    return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
 def resolve_revisits(records: DataFrame, slice_width: int = 1) -> DataFrame:
@@ -62,9 +73,10 @@ def resolve_revisits(records: DataFrame, slice_width: int = 1) -> DataFrame:
     ).where(F.col("address").isNotNull() & F.col("at").isNotNull())
     response = F.when(~F.col("is_revisit"), F.struct("record_id", "at", "etag", "last_modified", "digest", "headers"))
     r = r.withColumn("response", response)
-    order = [F.col("at"), F.col("record_id")]
+    ties = ("etag", "last_modified", "digest")
+    order = [F.col("at"), F.col("record_id"), *ties]
     within = Window.partitionBy("address", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    lasts = r.where(~F.col("is_revisit")).groupBy("address", "slice").agg(F.max_by("response", F.struct("at", "record_id")).alias("last_response"))
+    lasts = r.where(~F.col("is_revisit")).groupBy("address", "slice").agg(F.max_by("response", F.struct("at", "record_id", *ties)).alias("last_response"))
     slices = r.groupBy("address", "slice").agg(F.max("is_revisit").alias("has_revisit")).join(lasts, ["address", "slice"], "left")
     before = Window.partitionBy("address").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.select("address", "slice", "has_revisit", F.last("last_response", ignorenulls=True).over(before).alias("carried")).where("has_revisit").drop("has_revisit")
@@ -74,7 +86,7 @@ def resolve_revisits(records: DataFrame, slice_width: int = 1) -> DataFrame:
     def both(name: str) -> Column:
         return F.col(name).isNotNull() & F.col(f"got.{name}").isNotNull()
 
-    agrees = F.when(both("etag"), F.col("etag") == F.col("got.etag")).when(both("digest"), F.col("digest") == F.col("got.digest")).when(both("last_modified"), F.col("last_modified") == F.col("got.last_modified")).otherwise(F.lit(False))
+    agrees = F.when(both("etag"), opaque_tag(F.col("etag")) == opaque_tag(F.col("got.etag"))).when(both("digest"), F.col("digest") == F.col("got.digest")).when(both("last_modified"), F.col("last_modified") == F.col("got.last_modified")).otherwise(F.lit(False))
     status = F.when(F.col("got").isNull(), "missing").when(agrees, "resolved").otherwise("changed")
     kept = found.withColumn("status", status)
     lost = records.where((F.col("kind") == "revisit") & (canonical_url(F.col("url")).isNull() | F.col("at").isNull()))

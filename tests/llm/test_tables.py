@@ -1,9 +1,11 @@
 """Chats, revisits, near-duplicates, lines, fingerprints and leaks on small tables, against plain versions."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def test_chats_keep_maximal_ones(spark):
         (5, 0, "user", None), (5, 1, None, ""), (6, 0, "user", ""), (7, None, "user", "z"), (7, 0, "user", "a"), (8, 0, "user", "a"), (8, 0, "user", "a"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, h1 string")
-    kept = {r.conv_id: r.n_turns for r in chat.maximal_conversations(df).collect()}
+    kept = {r.conv_id: r.n_turns for r in chat.collapse_and_render(df).collect()}
     assert kept == {3: 3, 5: 2, 6: 1, 7: 2, 8: 2}
     out = {r.conv_id: r.rendered for r in chat.collapse_and_render(df).collect()}
     assert out[3] == "<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>\n<|user|>\nc\n<|end|>\n"
@@ -47,12 +49,29 @@ def test_long_chats_are_rendered_in_segments(spark):
     assert re.findall(r"\n(\d+)\n", "".join(r.rendered for r in out)) == [str(i) for i in range(3000)]
 
 
+def test_chats_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rng, rows = random.Random(31), []
+    for c in [*range(40), None]:
+        stem = [("user", f"t{rng.randrange(3)}") for _ in range(rng.randint(1, 6))]
+        rows += [(c, rng.choice([i, i * 10**9, 7, None]), r, t) for i, (r, t) in enumerate(stem)]
+    rows += [(c, i, "user", t) for c in (None, 90, 91) for i, t in enumerate("xyz")]
+    rows += [(100, 1_700_000_000 * (i + 1), "user", str(i)) for i in range(3)] + [(101, 5, "user", None)] * 600 + [(102, 5, None, str(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/c")
+    want = duckdb.connect().sql(chat.COLLAPSE_SQL.replace("FROM conversations", f"FROM read_parquet('{tmp_path}/c/*.parquet')")).fetchall()
+    got = chat.collapse_and_render(df).select("conv_id", "segment", "n_turns", "n_segment_turns", "rendered").collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    assert [(r.segment, r.n_segment_turns) for r in got if r.conv_id == 100] == [(0, 3)]
+
+
 def test_revisits_against_a_plain_search(spark):
     rng = random.Random(3)
     rows = []
     for i in range(400):
         revisit = rng.random() < 0.5
-        tag = rng.choice(["a", "b", None])
+        tag = rng.choice(["a", "b", "W/a", None])
         rows.append((i, rng.choice(["http://www.X.org/p/", "https://x.org/p#f", "http://y.org?utm_source=q&b=1&a=2", None, ""]), rng.randrange(300), "revisit" if revisit else "response", tag, rng.choice(["m", None]), rng.choice(["d", "e", None]), {"ETag": str(i), "date": "1"} if revisit else {"Content-Length": "5", "etag": "0"}, "z"))
     df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, etag string, last_modified string, digest string, headers map<string,string>, near string")
     address = {r.record_id: r.a for r in df.select("record_id", warc.canonical_url(F.col("url")).alias("a")).collect()}
@@ -69,13 +88,20 @@ def test_revisits_against_a_plain_search(spark):
                 continue
             last = max(earlier, key=lambda s: (s[2], s[0]))
             pairs = [(r[c], last[c]) for c in (4, 6, 5) if r[c] is not None and last[c] is not None]
-            ok = bool(pairs) and pairs[0][0] == pairs[0][1]
+            ok = bool(pairs) and pairs[0][0].removeprefix("W/") == pairs[0][1].removeprefix("W/")
             assert got[r[0]] == (("resolved", last[0]) if ok else ("changed", None))
     merged = [r.headers for r in warc.resolve_revisits(df, 17).where("status = 'resolved'").collect()]
     assert all(h["Content-Length"] == "5" and h["date"] == "1" for h in merged)
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_header_names_are_the_same_in_any_case(spark):
+    schema = "record_id long, url string, at long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [(1, "http://a.b/", 1, "response", 'W/"e"', None, None, {"ETag": "old", "Date": "d0", "X-Kept": "k", "x-kept": "second"}), (2, "http://a.b/", 2, "revisit", '"e"', None, None, {"etag": "new", "date": "d1", "Content-Length": "0"}), (2, "http://a.b/", 2, "revisit", '"f"', None, None, None)]
+    out = sorted(warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r.status)
+    assert [(r.status, r.response_id, r.headers) for r in out] == [("changed", None, {}), ("resolved", 1, {"etag": "new", "date": "d1", "X-Kept": "k"})]
+
+
 def plain_groups(rows, percent=85):
     sets = {}
     for i, t in rows:
@@ -200,34 +226,94 @@ def test_fingerprints_estimate_similarity(spark):
     assert weighted.fingerprints(docs_of(spark, [(None, "a"), (3, "b"), (3, "b"), (3, "c")])).count() == 4
 
 
-def test_leaks_against_all_windows(spark):
-    rng = random.Random(8)
-    items = [(i, " ".join(words(rng, rng.choice([3, 15, 40])))) for i in range(12)] + [(98, None), (99, "")]
+def plain_leaks(rows, items, threshold=0.8):
+    """The best window of each document and item by looking at all of them, with shingles as strings."""
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = lambda w: Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    known = {(i, t): cut(t) for i, t in items if t is not None and cut(t)}
+    n, df = len(known), Counter(x for w in known.values() for x in set(shingles(w)))
+    want = {}
+    for d, t in rows:
+        w = cut(t)
+        for (item_id, _), iw in known.items():
+            a, size = shingles(iw), min(len(iw), len(w))
+            for start in range(len(w) - size + 1) if w else ():
+                b = shingles(w[start : start + size])
+                weight = {x: math.log((1 + n) / (1 + (df[x] if x in a else 0))) + 1 for x in a | b}
+                s = sum(weight[x] * min(a[x], b[x]) for x in weight) / sum(weight[x] * max(a[x], b[x]) for x in weight)
+                if s >= threshold and round(s, 9) > want.get((d, item_id), (0, 0))[1]:
+                    want[d, item_id] = (start, round(s, 9))
+    return want
+
+
+def leak_tables(rng):
+    items = [(i, " ".join(words(rng, rng.choice([3, 15, 40, 60])))) for i in range(12)] + [(98, None), (99, "")]
     texts = []
     for i in range(60):
         host, item = words(rng, rng.choice([10, 200])), items[i % 12][1].split()
         if i % 3 == 0 and len(item) > 20:
             item[rng.choice([0, 1, -1])] = "changed"
         texts.append(" ".join(host[:5] + (item if i % 4 else []) + host[5:]))
-    rows = [*enumerate(texts), (100, None), (101, ""), (102, items[3][1]), (103, items[3][1].upper())]
+    return [*enumerate(texts), (100, None), (101, ""), (102, items[3][1]), (103, items[3][1].upper())], items
+
+
+def leaks(spark, rows, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9)) for r in decontaminate.find_leaks(docs_of(spark, rows), bench).collect()}
-    known = decontaminate.Items(items)
-    want = {}
-    for d, t in rows:
-        w = decontaminate.words_of(t)
-        for i, item_id in enumerate(known.ids):
-            size = min(known.words[i], len(w))
-            best = max(((round(known.similarity(i, Counter(decontaminate.shingles_of(w[a : a + size]))), 9), -a) for a in range(len(w) - size + 1)), default=(0, 0))
-            if w and best[0] >= 0.8:
-                want[d, item_id] = (-best[1], best[0])
-    assert got == want and len(want) > 30
+    return {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9)) for r in decontaminate.find_leaks(docs_of(spark, rows), bench).collect()}
+
+
+@pytest.mark.parametrize(("part_bytes", "stretch"), [(8_000_000, 4096), (150, 7)])
+def test_leaks_against_all_windows(spark, monkeypatch, part_bytes, stretch):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+    rows, items = leak_tables(random.Random(8))
+    want = plain_leaks(rows, items)
+    assert leaks(spark, rows, items) == want and len(want) > 30
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
     clean = decontaminate.drop_leaks(docs_of(spark, rows), bench)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == docs_of(spark, rows).columns
+
+
+def test_leaks_of_odd_tables(spark):
+    rng = random.Random(18)
+    item, template = words(rng, 40), words(rng, 30)
+    items = [(1, " ".join(item))] + [(10 + i, " ".join(template + words(rng, 12))) for i in range(6)]
+    long = words(rng, 30_000)
+    rows = [(1, " ".join(long[:20_000] + item + long[20_000:])), (2, " ".join(item)), (2, " ".join(item)), (3, None), (4, " ".join(item[:10])), (5, "\t\n".join(item * 3))]
+    got = leaks(spark, rows, items)
+    assert got == {(1, 1): (20_000, 1.0), (2, 1): (0, 1.0), (5, 1): (0, 1.0)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.find_leaks(docs_of(spark, rows), bench).count() == 4
     assert decontaminate.find_leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs_of(spark, rows).limit(0), bench).count() == 0
 
 
+def test_the_radius_loses_hardly_any_window(spark):
+    rng, far, n = random.Random(28), 0, 0
+    for _ in range(1500):
+        item = words(rng, rng.choice([15, 30, 60]), 40)
+        window = list(item)
+        for _ in range(rng.choice([1, 1, 2])):
+            window[rng.choice([0, 1, -1, -2, rng.randrange(len(item))])] = f"e{rng.randrange(99)}"
+        shift = rng.choice([0, 1, 2])
+        window = words(rng, shift) + window[: len(item) - shift]
+        a, b = Counter(decontaminate.shingles_of([w.encode() for w in item])), Counter(decontaminate.shingles_of([w.encode() for w in window]))
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            prints = [int(decontaminate.pack(sum(decontaminate.word_bits(w.encode()) for w in t)[None, :])[0]) for t in (item, window)]
+            n, far = n + 1, far + ((prints[0] ^ prints[1]).bit_count() > decontaminate.RADIUS)
+    assert n > 400 and far <= 0.005 * n
+
+
+def test_near_blocks_find_all_fingerprints_in_the_radius():
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"a{x}" for x in rng.integers(0, 50, 20))) for i in range(30)]
+    counts = Counter(x for _, t in rows for x in set(decontaminate.shingles_of(decontaminate.words_of(t))))
+    matcher = decontaminate.Matcher(decontaminate.Items(rows, counts, len(rows)), decontaminate.RADIUS, 0.8)
+    prints = np.array([int(p) ^ sum(1 << int(b) for b in rng.choice(64, int(n), replace=False)) for p in matcher.items.prints for n in rng.integers(0, 22, 20)], dtype=np.uint64)
+    want = {(a, i, d) for a, p in enumerate(prints) for i, q in enumerate(matcher.items.prints) if (d := (int(p) ^ int(q)).bit_count()) <= decontaminate.RADIUS}
+    assert set(matcher.near(prints, 20)) == want and len(want) > 300
+
+
 def n_dropped(spark, rows):
     return {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
 
