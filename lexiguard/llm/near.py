@@ -2,32 +2,26 @@
 
 Documents are sets of five-word shingles. Documents with equal sets fall
 together first, so copies cost nothing further. Each class posts itself under
-every (coordinate, value) of its signature of SIGNATURE minima. Classes whose
-likeness reaches the limit agree in LEAST_MATCHES coordinates or more, save
-with a chance of about one in a million at the limit itself. So:
+every (coordinate, value) of its signature of SIGNATURE minima, and collisions
+of two classes are counted. Pairs with LEAST_MATCHES or more are kept; classes
+whose likeness reaches the limit have fewer with a chance of about one in a
+million at the limit itself. So:
 
 * prefix merging: coordinates whose value no other class has cannot be among
   the matches; a class with fewer than LEAST_MATCHES others leaves. Of the rest
   only the SIGNATURE - LEAST_MATCHES + 1 rarest are merged: two classes with
   enough matches meet in one of those.
-* skip merging: the longer lists are skipped; what they would have added is
-  counted in full when a pair is compared.
-
-Every list ties its classes to its smallest one. The clusters so tied hold all
-candidates, and each class's full set goes to its cluster once. Within a
-cluster, sets are merged by their rarest shingles: sets alike enough share one
-of those. Pairs already in one component are not compared again, since a link
-between them changes nothing. A large cluster is cut into blocks, and each pair
-of blocks is one group, so no task holds a whole cluster and none is capped.
-
-Links are confirmed with 100 * common >= percent * united on full sets of
-64-bit shingle hashes.
+* skip merging: the longer lists are skipped; once a pair has met, its
+  collisions in all coordinates are counted on the signatures.
+
+Kept pairs are confirmed with 100 * common >= percent * united on full sets of
+64-bit shingle hashes. A large group of near copies is joined by its heads, and
+only pairs of different components are compared after that: see collide.py.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiguard.llm.common import map_rows, written
+from lexiguard.llm import collide
+from lexiguard.llm.common import join_spread, map_rows, written
 from lexiguard.llm.components import components
 
 SHINGLE = 5
 SIGNATURE = 48
 LEAST_MATCHES = 28
 PERCENT = 85
-#: Shingles of a cluster's block; a task holds two blocks at a time.
-BLOCK_SHINGLES = 400_000
-
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63 - 1, size=(2, SIGNATURE), dtype=np.uint64)
 _MULTIPLY = _SEEDS[0] | np.uint64(1)
@@ -98,52 +90,16 @@ def _keys(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield rep, key
 
 
-def _joined(sets: list[np.ndarray], left: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places whose sets are alike enough, enough of them for the right components.
+def _alike(percent: int):  # noqa: ANN202
+    def fits(a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether two sorted sets are alike enough."""
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        both = np.sort(np.concatenate([a, b]))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= percent * (len(a) + len(b) - common)
 
-    With left > 0 only pairs across that place count, else all.
-    """
-    size = np.array([len(x) for x in sets])
-    _, ids, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    coded = np.split(ids, np.cumsum(size)[:-1])
-    posted: dict[int, list[int]] = {}
-    label = np.arange(len(sets))
-    mark = np.zeros(len(uses), dtype=bool)
-    for i, own in enumerate(coded):
-        n = len(own)
-        prefix = own[np.argsort(uses[own], kind="stable")[: n - -(-percent * n // 100) + 1]]
-        prefix = prefix[uses[prefix] > 1]
-        met = [posted[e] for e in prefix.tolist() if e in posted]
-        for e in prefix.tolist():
-            posted.setdefault(e, []).append(i)
-        if left and i < left or not met:
-            continue
-        near = np.unique(np.concatenate([np.array(x) for x in met]))
-        if left:
-            near = near[near < left]
-        fits = 100 * np.minimum(size[near], n) >= percent * np.maximum(size[near], n)
-        near = near[fits]
-        mark[own] = True
-        for j in near.tolist():
-            if label[i] != label[j]:
-                common = int(np.count_nonzero(mark[coded[j]]))
-                if 100 * common >= percent * (n + size[j] - common):
-                    yield j, i
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
-        mark[own] = False
-
-
-def _linker(percent: int):  # noqa: ANN202
-    def link(rows: Iterator[tuple]) -> Iterator[tuple]:
-        """Rows (cluster, pair of blocks, side, class, set) in order, to links between classes."""
-        for _, group in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
-            members = list(group)
-            left = sum(m[2] < 0 for m in members)
-            sets = [np.frombuffer(m[4], dtype=np.uint64) for m in members]
-            for i, j in _joined(sets, left, percent) if len(members) > 1 and left < len(members) else ():
-                yield members[i][3], members[j][3]
-
-    return link
+    return fits
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,57 +115,52 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(map_rows(docs, ["doc_id", "text"], _sets, "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
     known = rows.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
-    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")))
+    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("n_rows")))
     links = _links(classes, docs, percent)
     # Rows with the same id but other texts tie their classes together.
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     # Within a component only its classes matter; equal sets share their representative.
     tied = known.join(repeated, "doc_id").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(links.unionByName(tied))
-    of_class = classes.select("s1", "s2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("class_component"))
-    out = rows.join(of_class, ["s1", "s2"], "left")
+    of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("s1", F.struct("s2", F.coalesce("component", "rep").alias("component")).alias("c"), "n_rows")
+    # A class is told by both halves of its digest; the first is the key, and of the few classes that share it the right one is picked.
+    picked = written(of_class.groupBy("s1").agg(F.collect_list("c").alias("of"), F.sum("n_rows").alias("n_rows")))
+    found = join_spread(rows.where("s1 IS NOT NULL"), picked, "s1", how="left").withColumn("class_component", F.get(F.filter("of", lambda c: c.s2 == F.col("s2")), F.lit(0)).component)
+    bare = rows.where("s1 IS NULL").withColumn("class_component", F.lit(None).cast("long"))
+    out = found.select("doc_id", "n_shingles", "class_component").unionByName(bare.select("doc_id", "n_shingles", "class_component"))
     component = F.coalesce("class_component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough of them for the right components."""
-    posts = map_rows(classes, ["rep", "sig"], _keys, "rep long, key long")
-    posts = written(posts)
+    posts = written(map_rows(classes, ["rep", "sig"], _keys, "rep long, key long"))
     common = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = posts.join(common, "key")
     # Coordinates that nobody shares are the rarest ones, so they fill the prefix first.
     prefix = SIGNATURE - LEAST_MATCHES + 1
     by_rarity = Window.partitionBy("rep").orderBy("n", "key")
     ranked = met.withColumn("rank", F.row_number().over(by_rarity)).withColumn("n_met", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    lists = ranked.where((F.col("n_met") >= LEAST_MATCHES) & (F.col("rank") <= prefix - (SIGNATURE - F.col("n_met")))).select("key", "rep")
-    lists = written(lists)
-    first = lists.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    tied = components(lists.join(first, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-    sized = tied.join(classes.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "n_shingles")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    lists = written(ranked.where((F.col("n_met") >= LEAST_MATCHES) & (F.col("rank") <= prefix - (SIGNATURE - F.col("n_met")))).select("key", "rep"))
+    # Lists whose other members have left are of no use.
+    several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = lists.join(several, "key").select("rep").distinct()
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for *place, text in rows:
-            yield *place, shingle_hashes(text).tobytes()
+        for rep, text in rows:
+            h = shingle_hashes(text)
+            yield rep, signature(h).astype("<u8").tobytes(), h.tobytes()
 
-    # Hashing the small side spares sorting whole texts.
-    texts = docs.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    full = map_rows(texts, ["rep", "cluster", "blocks", "block", "text"], sets, "rep long, cluster long, blocks int, block int, shingles binary")
-    # A block meets itself and every other one: its rows go to one group for each.
-    spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    side = F.signum(F.col("block") - F.col("other")).cast("int")
-    spread = spread.select("cluster", pair.alias("pair"), side.alias("side"), "rep", "shingles")
-    ordered = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "rep")
-    return written(map_rows(ordered, ["cluster", "pair", "side", "rep", "shingles"], _linker(percent), "a long, b long"))
+    # Hashing the small side spares sorting whole texts. Of the texts with the class's id one is of the class, or else any of them is.
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    members = written(map_rows(texts, ["rep", "text"], sets, "rep long, keys binary, body binary"))
+    return collide.links(members, lists, LEAST_MATCHES, _alike(percent))
 
 
 def keep_one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, that of the smallest id; columns stay.
 
-    Of rows with the same id and text one stays; a row whose id is null stays.
+    Rows with the same id stay or go together; a row whose id is null stays.
     """
     gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_lexiguard_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_lexiguard_gone"), "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, components, decontaminate, lines, near, warc, weighted
+from lexiguard.llm import chat, collide, common, components, decontaminate, lines, near, warc, weighted
 
 DOCS = "doc_id long, text string, k string, positions int, gone_id int, n string, rep string, part string"
 
@@ -137,9 +137,11 @@ def near_rows(seed=5):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [400_000, 300])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(near, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize(("block", "star"), [(400_000, 256), (300, 2)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block, star):
+    monkeypatch.setattr(collide, "BLOCK_SIZE", block)
+    monkeypatch.setattr(collide, "STAR_MEMBERS", star)
+    monkeypatch.setattr(common, "HOT", 3)
     rows = near_rows()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs_of(spark, rows)).collect()}
     assert got == plain_groups(rows)
@@ -148,6 +150,35 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     assert kept.columns == docs_of(spark, rows).columns
 
 
+def test_only_pairs_above_the_match_threshold_are_confirmed():
+    rng, seen = np.random.default_rng(2), []
+
+    def fits(a, b):
+        seen.append(int((near.signature(a) == near.signature(b)).sum()))
+        return True
+
+    bodies = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(6)]
+    bodies += [np.unique(np.concatenate([b[: 200 - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for b in bodies for k in (5, 60, 120)]
+    keys = [near.signature(b).astype(np.uint64) for b in bodies]
+    lists = [k | (np.arange(48, dtype=np.uint64) << np.uint64(32)) for k in keys]
+    links = list(collide.joined(keys, bodies, list(range(len(bodies))), lists, 0, near.LEAST_MATCHES, fits))
+    assert links and min(seen) >= near.LEAST_MATCHES and len(links) == len(seen)
+    matched = {(i, j) for j in range(24) for i in range(j) if (keys[i] == keys[j]).sum() >= near.LEAST_MATCHES}
+    assert set(links) <= matched and {j for _, j in links} == {j for _, j in matched}
+
+
+def test_a_large_group_is_joined_in_linear_work():
+    rng, calls = np.random.default_rng(3), []
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for n in (1000, 4000):
+        bodies = [np.unique(np.append(base[2:], rng.integers(0, 2**63, 2, dtype=np.uint64))) for _ in range(n)]
+        keys = [near.signature(b).astype(np.uint64) for b in bodies]
+        lists = [k | (np.arange(48, dtype=np.uint64) << np.uint64(32)) for k in keys]
+        calls.append([])
+        assert len(list(collide.joined(keys, bodies, list(range(n)), lists, 0, near.LEAST_MATCHES, lambda a, b: not calls[-1].append(1)))) == n - 1
+    assert len(calls[1]) < 6 * len(calls[0])
+
+
 def test_near_duplicates_of_odd_tables(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (2, long + " end"), (None, long), (None, None), (4, "a b c d e f"), (4, "other words are these here now")]
