@@ -2,10 +2,12 @@
 
 Each line is cut into words; words with digits or an at sign become a
 variable. The tree has fixed depth: number of words, then the leading words.
-In a leaf, lines whose words agree in place to a share of at least ALIKE merge
-into one template with variables where they differ. Equal lines fall together
-before that, and a large leaf is parsed in blocks whose templates are then
-parsed again, so no task holds an unbounded leaf.
+In a leaf, lines are of one template if they agree, word by word, in at least
+ALIKE of their places, half of all places being no variables; or if a chain of
+such lines leads from one to the other. So neither the order of lines nor the
+size of a leaf has a say. Such lines are found through an index: of n places at
+most 0.3 n differ, so cut into one part more than that, they agree wholly in
+one part at least, which is its key. Equal lines fall together before that.
 
 A template recurs if documents of at least MIN_DOCS groups have it. A group is
 a document with all its copies, so copies have one vote together and do not
@@ -18,29 +20,29 @@ in every document, also where nothing else is left.
 
 Null texts stay null, and blank lines stay and are never templates. Lines of
 variables only are compared as they are. Documents are told apart by id and
-text, so repeated rows count as one document and are treated alike.
+text, so repeated rows count as one document and are treated alike. Work is
+linear in a document's lines, however many go.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiguard.llm import near
-from lexiguard.llm.common import map_rows, written
+from lexiguard.llm import collide, near
+from lexiguard.llm.common import join_spread, map_rows, written
 from lexiguard.llm.components import components
 
 LEADING = 3
-ALIKE = 0.7
+#: Tenths of a line's places.
+ALIKE = 7
 MIN_DOCS = 3
 #: Share of a document's words from which a passage is left out when it is compared; below that, 0.85 alike is not in reach by it alone.
 DOMINANT = 0.9
-#: Distinct lines of a leaf that one task parses at a time.
-BLOCK_LINES = 2048
 VARIABLE = "<*>"
 # Columns that only live between two steps, under names that tables hardly have.
 _KEY, _HIT, _OLD = "_lexiguard_key", "_lexiguard_dropped", "_lexiguard_text"
@@ -70,50 +72,44 @@ def _line_columns(masked: Column, line: Column) -> list[Column]:
     ]
 
 
-def _parse(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(leaf, block, form, words of a line) sorted by leaf and block, to (leaf, form, template, its words)."""
-    for (leaf, _), group in itertools.groupby(rows, key=lambda r: (r[0], r[1])):
-        lines = [(form, masked.split(" ")) for _, _, form, masked in group]
-        if len(lines) == 1:
-            yield leaf, lines[0][0], lines[0][0], " ".join(lines[0][1])
-            continue
-        codes: dict[str, int] = {VARIABLE: 0}
-        coded = np.array([[codes.setdefault(w, len(codes)) for w in words] for _, words in lines], dtype=np.int32)
-        heads = np.empty_like(coded)
-        names: list[int] = []
-        of: list[int] = []
-        for i, row in enumerate(coded):
-            n = len(names)
-            same = ((heads[:n] == row) & (row != 0)).sum(axis=1) if n else np.zeros(0)
-            fixed = np.maximum((heads[:n] != 0).sum(axis=1), 1) if n else np.ones(0)
-            # A template's variables agree with anything; the share is that of its fixed words, and it must keep some.
-            best = int(np.argmax(same / fixed)) if n else -1
-            if n and same[best] >= ALIKE * max(fixed[best], (row != 0).sum()) and same[best] >= 0.5 * len(row):
-                heads[best] = np.where(heads[best] == row, row, 0)
-                of.append(best)
-            else:
-                heads[n] = row
-                names.append(lines[i][0])
-                of.append(n)
-        back = {v: k for k, v in codes.items()}
-        texts = [" ".join(back[c] for c in h) for h in heads[: len(names)]]
-        for (form, _), t in zip(lines, of, strict=True):
-            yield leaf, form, names[t], texts[t]
-
-
-_PARSED = "leaf long, form long, template long, words string"
+def _parts(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Lines (leaf, form, masked words) with a code for each word, 0 for variables, and a key for each part."""
+    codes: dict[str, int] = {VARIABLE: 0}
+    for leaf, form, masked in rows:
+        if len(codes) > 500_000:
+            codes = {VARIABLE: 0}
+        words = np.array([codes[w] if w in codes else codes.setdefault(w, xxhash.xxh64_intdigest(w)) for w in masked.split(" ")], dtype="<u8")
+        n = len(words)
+        edges = [i * n // (n * (10 - ALIKE) // 10 + 1) for i in range(n * (10 - ALIKE) // 10 + 2)]
+        keys = [xxhash.xxh64_intdigest(words[a:b].tobytes(), (leaf ^ i) & 0xFFFFFFFF) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        yield form, b"", words.tobytes(), np.array(keys, dtype=np.uint64).astype(np.int64).tolist()
+
+
+def of_one_template(a: np.ndarray, b: np.ndarray) -> bool:
+    if len(a) != len(b):
+        return False
+    same = a == b
+    return 10 * int(same.sum()) >= ALIKE * len(a) and 2 * int((same & (a != 0)).sum()) >= len(a)
 
 
 def _templates(distinct: DataFrame) -> DataFrame:
-    """(form, template) for distinct lines (leaf, form, masked) of leaves with several of them."""
-    spread = F.pmod(F.col("form"), F.greatest(F.lit(1), F.ceil(F.col("n_forms") / BLOCK_LINES)))
-    sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_forms"))
-    blocks = distinct.join(sizes, "leaf").withColumn("block", spread)
-    first = map_rows(blocks.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "form"), ["leaf", "block", "form", "masked"], _parse, _PARSED)
-    first = written(first)
-    heads = first.groupBy("leaf", "template").agg(F.first("words").alias("masked")).withColumn("block", F.lit(0))
-    again = map_rows(heads.repartition("leaf").sortWithinPartitions("leaf", "template"), ["leaf", "block", "template", "masked"], _parse, _PARSED).select(F.col("form").alias("template"), F.col("template").alias("final"))
-    return first.select("form", "template").join(again, "template").select("form", F.col("final").alias("template"))
+    """(form, template) of lines (leaf, form, masked) that are of one template with others."""
+    members = written(map_rows(distinct, ["leaf", "form", "masked"], _parts, "rep long, keys binary, body binary, parts array<bigint>"))
+    lists = written(members.select("rep", F.explode("parts").alias("key")))
+    joined = components(collide.links(members.drop("parts"), lists, 1, of_one_template))
+    return written(joined.select(F.col("node").alias("form"), F.col("component").alias("template")))
+
+
+def _chosen(positions: Column) -> Column:
+    """For places in order, the first one 0: a flag for each place up to the last one."""
+    before = lambda i: F.coalesce(F.get(positions, i - 1), F.lit(-1))
+    return F.flatten(F.transform(positions, lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True)))))
+
+
+def _pick(lines: Column, positions: Column, chosen: bool) -> Column:
+    """The lines at places, or the others, in order; one pass over both."""
+    marked = F.zip_with(lines, _chosen(positions), lambda x, f: F.when(F.coalesce(f, F.lit(False)) == chosen, x))
+    return F.filter(marked, lambda x: x.isNotNull())
 
 
 def _copies(texts: DataFrame, per: DataFrame, all_of: DataFrame) -> DataFrame:
@@ -128,7 +124,7 @@ def _copies(texts: DataFrame, per: DataFrame, all_of: DataFrame) -> DataFrame:
     apart = (F.col("widest.n_words") >= DOMINANT * F.col("all")) & (F.col("widest.n_words") < F.col("all"))
     # Lines that no other document can match are in no template, and no document is of the same form then.
     shape = written(shape.select("k", F.when(apart, F.col("widest.positions")).alias("left_out"), F.when(F.col("n_rows") == F.col("rows"), F.col("form")).alias("form")))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("left_out", i)), "\n")
+    rest = F.array_join(_pick(F.split("text", "\n"), F.col("left_out"), False), "\n")
     read = written(texts.join(shape.select("k", "left_out").hint("shuffle_hash"), "k").select(F.col("k").alias("doc_id"), F.when(F.col("left_out").isNull(), F.col("text")).otherwise(rest).alias("text")))
     alike = near.near_duplicates(read).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group")).distinct()
     alike = written(alike.join(shape.select("k", "form"), "k"))
@@ -144,28 +140,28 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lines = lines.where(_not_blank(F.col("line"))).withColumn("masked", _masked(F.col("line")))
     table = written(lines.select("k", "pos", *_line_columns(F.col("masked"), F.col("line"))))
     doc = F.col("k")
-    leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
-    shared = written(table.join(leaves.select("leaf", (F.col("f") != F.col("g")).alias("mixed")), "leaf"))
+    leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g"), F.count(F.lit(1)).alias("n_rows")).where("a <> b")
+    leaves = written(leaves.select("leaf", (F.col("f") != F.col("g")).alias("mixed"), "n_rows"))
+    shared = written(join_spread(table, leaves, "leaf"))
 
     all_of = table.groupBy("k").agg(F.sum("n_words").alias("all"), F.count(F.lit(1)).alias("rows"))
     # One place of each distinct line of a mixed leaf; its words are read from there.
     places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k", "pos")).alias("at"))
     places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "form"))).alias("wanted"))
     # Hashing the small side spares sorting whole texts.
-    texts = keyed.join(places.withColumn("places", F.col("wanted.pos")).hint("shuffle_hash"), "k")
-    # Both in order of position.
-    found = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains("places", i))
+    texts = keyed.join(places.hint("shuffle_hash"), "k")
+    found = _pick(F.split("text", "\n"), F.transform("wanted", lambda w: w.pos), True)
     lines = F.zip_with("wanted", found, lambda w, x: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(x).alias("masked")))
-    read = written(texts.select(lines.alias("masked")))
-    distinct = read.select(F.explode("masked").alias("m")).select("m.*").dropDuplicates(["leaf", "form"])
+    distinct = texts.select(F.explode(lines).alias("m")).select("m.*")
     named = shared.join(_templates(distinct), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
-    named = written(named)
-    per = named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.collect_set("pos").alias("positions"))
-    wide = per.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    per = written(per.join(wide, "template", "left"))
+    per = written(named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("pos")).alias("positions")))
+    wide = written(per.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
+    per = written(join_spread(per, wide.withColumn("n_here", F.col("n_docs")), "template", "n_here", "left"))
     votes = per.where("n_docs IS NOT NULL").select("template", "k").join(_copies(keyed, per, all_of), "k").select("template", "vote").distinct()
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= min_docs).select("template")
-    return per.join(recurring, "template").groupBy("k").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    recurring = written(recurring.join(wide, "template"))
+    lost = join_spread(per.select("k", "template", "positions"), recurring, "template", "n_docs")
+    return lost.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def _key() -> Column:
@@ -176,7 +172,7 @@ def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
     """docs with text without its recurring lines, and _KEY, _HIT: a hash, and the positions of the dropped lines or null."""
     drop = recurring_lines(docs, min_docs).select(F.col("k").alias(_KEY), F.col("positions").alias(_HIT))
     joined = docs.withColumn(_KEY, _key()).join(drop.hint("shuffle_hash"), _KEY, "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(_HIT, i))
+    kept = _pick(F.split("text", "\n"), F.col(_HIT), False)
     hit = F.col(_HIT).isNotNull()
     out = joined.withColumn(_OLD, F.col("text")).withColumn("text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

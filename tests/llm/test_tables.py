@@ -377,3 +377,78 @@ def test_pages_of_nothing_but_recurring_lines_lose_them(spark):
     rows = [(i, "\n".join([parts[i], parts[(i + 1) % 6], parts[(i + 3) % 6]])) for i in range(6)] + [(10, parts[0])]
     assert n_dropped(spark, rows) == {i: 3 for i in range(6)} | {10: 1}
     assert lines.without_recurring_lines(docs_of(spark, rows)).count() == 0
+
+
+def plain_lines(rows, min_docs=3):
+    """Kept lines of each document by direct reading of the rules, for documents without dominant passages."""
+    texts = {i: (t or "").split("\n") for i, t in rows}
+    mask = lambda x: ["<*>" if re.search("[0-9@]", w) else w for w in x.split()]
+    lines = {(i, p): mask(x) for i, t in texts.items() for p, x in enumerate(t) if x.strip()}
+    lines = {at: tuple(w) if set(w) != {"<*>"} else ("bare", *texts[at[0]][at[1]].split()) for at, w in lines.items()}
+    forms = sorted(set(lines.values()))
+    root = {f: f for f in forms}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in forms:
+        for b in forms:
+            if a < b and len(a) == len(b) and a[:3] == b[:3] and "bare" not in (a[0], b[0]):
+                same = [x for x, y in zip(a, b, strict=True) if x == y]
+                if len(same) >= 0.7 * len(a) and sum(x != "<*>" for x in same) >= 0.5 * len(a):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    groups = {i: c for i, (_, c) in plain_groups(rows).items()}
+    shape: dict = {}
+    for (i, _), w in lines.items():
+        shape.setdefault(i, []).append(find(w))
+    docs_of_template: dict = {}
+    for i, f in shape.items():
+        for x in f:
+            docs_of_template.setdefault(x, set()).add(i)
+    first: dict = {}
+    for i in sorted(shape):
+        if any(len(docs_of_template[x]) >= min_docs for x in shape[i]):
+            form = tuple(sorted(shape[i]))
+            groups = {k: (first.setdefault(form, groups[i]) if g == groups[i] else g) for k, g in groups.items()}
+    drop = {x for x, d in docs_of_template.items() if len({groups[i] for i in d}) >= min_docs}
+    return {i: [x for p, x in enumerate(t) if (i, p) not in lines or find(lines[i, p]) not in drop] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize(("block", "star"), [(400_000, 256), (60, 2)])
+def test_lines_against_a_plain_reading(spark, monkeypatch, block, star):
+    monkeypatch.setattr(collide, "BLOCK_SIZE", block)
+    monkeypatch.setattr(collide, "STAR_MEMBERS", star)
+    monkeypatch.setattr(common, "HOT", 3)
+    rng = random.Random(21)
+    bases = [plain_words(rng, rng.choice([1, 2, 4, 6, 9, 14])) for _ in range(14)]
+
+    def line():
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice([f"v{rng.randrange(99)}", "".join(rng.choice("xyz") for _ in range(4))])
+        return "  ".join(w) if rng.random() < 0.1 else " ".join(w)
+
+    rows = []
+    for i in range(60):
+        own = [" ".join(plain_words(rng, 30)) for _ in range(3)]
+        text = own + [line() for _ in range(rng.choice([0, 1, 3]))] + [rng.choice(["", " ", "7 8", "9"])]
+        rng.shuffle(text)
+        rows.append((i, "\n".join(text)))
+    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200, None), (201, ""), (202, "\n".join("12 words and more" for _ in range(3000)))]
+    want = plain_lines(rows)
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert {i: (t or "").split("\n") for i, t in got.items()} == {i: x or [""] for i, x in want.items()}
+    assert sum(len(x) < len((t or "").split("\n")) for (_, t), x in zip(rows, want.values(), strict=True)) > 15
+
+
+def test_a_document_of_very_many_lines(spark):
+    rng = random.Random(22)
+    shared = [" ".join(plain_words(rng, 8)) for _ in range(400)]
+    long = "\n".join(x for i in range(20_000) for x in ([shared[i % 400]] if i % 2 else [f"{i} own"]))
+    rows = [(1, long), (1, long)] + [(2 + i, "\n".join([*shared[40 * i : 40 * i + 40], " ".join(plain_words(rng, 60))])) for i in range(10)] * 1
+    rows += [(20 + i, "\n".join([*shared[40 * i : 40 * i + 40], " ".join(plain_words(rng, 70))])) for i in range(10)]
+    out = {r.doc_id: r for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert out[1].n_dropped == 10_000 and out[2].n_dropped == 20 and len(out[1].text.split("\n")) == 10_000
