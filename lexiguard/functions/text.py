@@ -67,6 +67,26 @@ def normalise(text: str | None) -> tuple[str, list[int]]:
     return "".join(out), offsets
 
 
+class _Plain(dict):
+    """Characters that the exact form merely lower-cases, wherever they stand; each is looked into once."""
+
+    def __missing__(self, ch: str) -> bool:
+        # A final sigma's lower case depends on what is around it.
+        plain = self[ch] = ch != "\u03a3" and not unicodedata.combining(ch) and normalise(ch) == (ch.lower(), [0])
+        return plain
+
+
+def normalise_fast(text: str, plain: dict[str, bool]) -> tuple[str, list[int] | None]:
+    """normalise(), with None for the offsets where each character keeps its place, which is told from the set of characters. plain: plain_characters()."""
+    if text.isascii() or all(map(plain.__getitem__, set(text))):
+        return text.lower(), None
+    return normalise(text)
+
+
+def plain_characters() -> dict[str, bool]:
+    return _Plain()
+
+
 def characters(text: Column) -> Column:
     """Code points as an array; the empty text has none."""
     return F.filter(F.split(text, ""), lambda c: c != "")

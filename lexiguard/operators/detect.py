@@ -2,15 +2,17 @@
 
 A document stays one row from the scan to the recommendation, its matches an
 array column, so nothing is shuffled. The scan is one pass of an automaton over
-Arrow batches, its cost not growing with the lexicon; all later stages are
-native expressions on the array. For up to a few hundred keys,
-scan_literal_keys() gives the same occurrences in generated code.
+Arrow batches, its cost not growing with the lexicon; what a match has from its
+entry is looked up for a whole batch at once. The scan hands over each match's
+text and the characters beside it, so all later stages are native expressions
+on the array that never go back to the whole text. For up to a few hundred
+keys, scan_literal_keys() gives the same occurrences in generated code.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexiguard.functions.text import normalise, occurrences
+from lexiguard.functions.text import normalise_fast, occurrences, plain_characters
 
 SAFE_WINDOW = 20
 QUOTE_WINDOW = 15
@@ -34,7 +36,7 @@ QUOTE_MARKS = "'\"「『‘“」』’”"
 META_WORDS = ("표현", "멸칭", "용어", "단어", "혐오 표현", "차별", "비하", "보도", "보고서", "강의", "논문", "기사", "비판", "사례", "인용")
 STAGES = ("skip_char", "jamo_boundary", "morpheme_boundary", "safe_context", "pattern", "combination", "quotation")
 
-MATCH = "struct<start:int,end:int,ns:int,ne:int,stage:int,seq:int,term_id:bigint,surface:string,term_kind:string,severity:int,ambiguity:string,status:string,dogwhistle:boolean,variant_kind:string,categories:array<string>,safe:array<string>,triggers:array<bigint>,rule_hit:boolean,confidence:double,cap:boolean,flags:array<string>,start_ok:boolean>"
+MATCH = "struct<start:int,end:int,ns:int,ne:int,stage:int,seq:int,term_id:bigint,surface:string,term_kind:string,severity:int,ambiguity:string,status:string,dogwhistle:boolean,variant_kind:string,categories:array<string>,safe:array<string>,triggers:array<bigint>,rule_hit:boolean,confidence:double,cap:boolean,flags:array<string>,start_ok:boolean,text:string,left:string,right:string>"
 
 
 @dataclass(frozen=True)
@@ -97,16 +99,27 @@ def skip_view(norm: str) -> tuple[str, list[int], list[bool]]:
     return "".join(text), places, blank
 
 
+#: Kinds of matches' flags, as the scan numbers them.
+_FLAGS = ([], ["chosung_variant"], ["skip_char"], ["pattern_fallback_literal"])
+_OWN = ("start", "end", "ns", "ne", "stage", "seq", "rule_hit", "confidence", "cap", "start_ok", "text", "left", "right")
+_OF_ENTRY = ("term_id", "surface", "term_kind", "severity", "ambiguity", "status", "dogwhistle", "categories", "safe", "triggers")
+
+
 class Scanner:
-    """One worker's automaton and compiled patterns."""
+    """One worker's automaton and compiled patterns. Found matches are kept as columns."""
 
     def __init__(self, lexicon: Lexicon, skip: bool, patterns: bool) -> None:
         import ahocorasick
 
         self.lexicon, self.skip = lexicon, skip
-        grouped: dict[str, list[tuple[int, str | None]]] = {}
+        self.plain = plain_characters()
+        grouped: dict[str, list[tuple[int, int]]] = {}
+        self.kinds: list[str | None] = [None]
         for key, i, kind in lexicon.keys:
-            grouped.setdefault(key, []).append((i, kind))
+            if kind not in self.kinds:
+                self.kinds.append(kind)
+            grouped.setdefault(key, []).append((i, self.kinds.index(kind)))
+        self.told = [confidence_of(k) for k in self.kinds]
         self.automaton = None
         if grouped:
             self.automaton = ahocorasick.Automaton()
@@ -116,53 +129,86 @@ class Scanner:
         self.patterns = []
         for i, e in enumerate(lexicon.entries) if patterns else ():
             if e.term_kind == "pattern":
-                self.patterns.append((re.compile(e.pattern or re.escape(e.surface)), i, [] if e.pattern else ["pattern_fallback_literal"]))
+                self.patterns.append((re.compile(e.pattern or re.escape(e.surface)), i, 0 if e.pattern else 3))
         self.rules = {i: [re.compile(r.trigger_pattern) for r in e.rules if r.trigger_pattern] for i, e in enumerate(lexicon.entries) if e.term_kind == "number"}
-
-    def _match(self, text: str, i: int, kind: str | None, span: tuple[int, int, int, int], stage: int, seq: int, confidence: float, cap: bool, flags: list[str], start_ok: bool) -> dict:
-        e = self.lexicon.entries[i]
-        return {
-            "start": span[0], "end": span[1], "ns": span[2], "ne": span[3], "stage": stage, "seq": seq, "term_id": e.term_id, "surface": e.surface, "term_kind": e.term_kind, "severity": e.severity,
-            "ambiguity": e.ambiguity, "status": e.status, "dogwhistle": e.dogwhistle, "variant_kind": kind, "categories": list(e.categories), "safe": [s for s in e.safe_contexts if s],
-            "triggers": [t for r in e.rules for t in r.trigger_terms], "rule_hit": any(p.search(text) for p in self.rules.get(i, ())), "confidence": confidence, "cap": cap, "flags": flags, "start_ok": start_ok,
+        es = lexicon.entries
+        self.of_entry = {
+            "term_id": [e.term_id for e in es], "surface": [e.surface for e in es], "term_kind": [e.term_kind for e in es], "severity": [e.severity for e in es], "ambiguity": [e.ambiguity for e in es], "status": [e.status for e in es],
+            "dogwhistle": [e.dogwhistle for e in es], "categories": [list(e.categories) for e in es], "safe": [[x for x in e.safe_contexts if x] for e in es], "triggers": [[t for r in e.rules for t in r.trigger_terms] for e in es],
         }
+        self.clear()
 
-    def scan(self, text: str | None) -> list[dict]:
-        text = text or ""
-        norm, off = normalise(text)
-        out: list[dict] = []
-        seen: set[tuple[int, int]] = set()
+    def clear(self) -> None:
+        self.sizes: list[int] = [0]
+        self.rows: list[tuple] = []
 
-        def span(ns: int, ne: int) -> tuple[int, int, int, int]:
-            last = off[ne - 1]
-            while ne < len(off) and off[ne] == last:
-                ne += 1
-            return off[ns], last + 1, ns, ne
+    def _add(self, text: str, i: int, kind: int, flag: int, span: tuple[int, int, int, int], stage: int, seq: int, confidence: float, cap: bool, start_ok: bool) -> None:
+        start, end = span[:2]
+        hit = any(p.search(text) for p in self.rules[i]) if i in self.rules else False
+        self.rows.append((i, kind, flag, *span, stage, seq, hit, confidence, cap, start_ok, text[start:end], text[max(0, start - SAFE_WINDOW) : start], text[end : end + SAFE_WINDOW]))
 
-        for end, (size, found) in self.automaton.iter(norm) if self.automaton and norm else ():
-            at = span(end - size + 1, end + 1)
+    def scan(self, text: str | None) -> None:
+        """Adds the matches of one more text."""
+        text = text or ""
+        norm, off = normalise_fast(text, self.plain)
+        first = len(self.rows)
+        if self.automaton and norm:
+            seen = self._scan_keys(text, norm, off, first)
+            # Gaps are between Hangul letters, which a text with plain characters only can have in itself.
+            if self.skip:
+                self._scan_gaps(text, norm, off if off is not None else range(len(norm)), first, seen)
+        for pattern, i, flag in self.patterns:
+            for m in pattern.finditer(text):
+                self._add(text, i, 0, flag, (*m.span(), *m.span()), 2, len(self.rows) - first, 1.0, False, True)
+        self.sizes.append(len(self.rows))
+
+    def _scan_keys(self, text: str, norm: str, off: list[int] | None, first: int) -> set[tuple[int, int]]:
+        seen: set[tuple[int, int]] = set()
+        for end, (size, found) in self.automaton.iter(norm):
+            at = (end - size + 1, end + 1, end - size + 1, end + 1) if off is None else _span(off, end - size + 1, end + 1)
             seen.add(at[:2])
+            start_ok = off is None or at[2] == 0 or off[at[2]] != off[at[2] - 1]
             for i, kind in found:
-                confidence, cap, flags = confidence_of(kind)
-                out.append(self._match(text, i, kind, at, 0, len(out), confidence, cap, flags, at[2] == 0 or off[at[2]] != off[at[2] - 1]))
-        if self.skip and self.automaton:
-            view, places, blank = skip_view(norm)
-            for end, (size, found) in self.automaton.iter(view) if view != norm else ():
-                first = end - size + 1
-                if places[end] + 1 - places[first] == size:
-                    continue
-                at = span(places[first], places[end] + 1)
-                if at[:2] in seen:
-                    continue
-                for i, kind in found:
-                    if kind is None:
-                        out.append(self._match(text, i, kind, at, 1, len(out), 0.8, any(blank[first:end]), ["skip_char"], at[2] == 0 or off[at[2]] != off[at[2] - 1]))
-        for pattern, i, flags in self.patterns:
-            for m in pattern.finditer(text):
-                out.append(self._match(text, i, None, (*m.span(), *m.span()), 2, len(out), 1.0, False, list(flags), True))
+                confidence, cap, flags = self.told[kind]
+                self._add(text, i, kind, _FLAGS.index(flags), at, 0, len(self.rows) - first, confidence, cap, start_ok)
+        return seen
+
+    def _scan_gaps(self, text: str, norm: str, off: Sequence[int], first: int, seen: set[tuple[int, int]]) -> None:
+        view, places, blank = skip_view(norm)
+        for end, (size, found) in self.automaton.iter(view) if view != norm else ():
+            start = end - size + 1
+            if places[end] + 1 - places[start] == size:
+                continue
+            at = _span(off, places[start], places[end] + 1)
+            if at[:2] in seen:
+                continue
+            for i, kind in found:
+                if self.kinds[kind] is None:
+                    self._add(text, i, kind, 2, at, 1, len(self.rows) - first, 0.8, any(blank[start:end]), at[2] == 0 or off[at[2]] != off[at[2] - 1])
+
+    def taken(self, kind: pa.ListType) -> pa.Array:
+        """The matches since the last call as one list for each text."""
+        columns = list(zip(*self.rows, strict=True)) or [()] * (3 + len(_OWN))
+        entry, kinds, flags = (pa.array(c, pa.int32()) for c in columns[:3])
+        types = {f.name: f.type for f in kind.value_type}
+        made = {name: pa.array(self.of_entry[name], types[name]).take(entry) for name in _OF_ENTRY}
+        made |= {name: pa.array(c, types[name]) for name, c in zip(_OWN, columns[3:], strict=True)}
+        made["variant_kind"] = pa.array(self.kinds, types["variant_kind"]).take(kinds)
+        made["flags"] = pa.array(_FLAGS, types["flags"]).take(flags)
+        fields = list(kind.value_type)
+        out = pa.ListArray.from_arrays(pa.array(self.sizes, pa.int32()), pa.StructArray.from_arrays([made[f.name] for f in fields], fields=fields), type=kind)
+        self.clear()
         return out
 
 
+def _span(off: Sequence[int], ns: int, ne: int) -> tuple[int, int, int, int]:
+    """Source and normalised range of normalised places, taken to the end of the last source character."""
+    last = off[ne - 1]
+    while ne < len(off) and off[ne] == last:
+        ne += 1
+    return off[ns], last + 1, ns, ne
+
+
 def scan(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bool = True, text_col: str = "text") -> DataFrame:
     """docs with an array column m of all occurrences in scan order: keys, then keys across gaps, then patterns."""
     schema = T.StructType([*docs.schema.fields, T.StructField("m", T._parse_datatype_string(f"array<{MATCH}>"))])
@@ -170,9 +216,12 @@ def scan(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon, skip_char, patterns)
         arrow = to_arrow_schema(schema)
-        for b in batches:
-            found = pa.array([scanner.scan(t) for t in b.column(text_col).to_pylist()], arrow.field("m").type)
-            yield pa.RecordBatch.from_arrays([*b.columns, found], schema=arrow)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                for t in b.column(text_col).to_pylist():
+                    scanner.scan(t)
+                yield pa.RecordBatch.from_arrays([*b.columns, scanner.taken(arrow.field("m").type)], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -205,8 +254,7 @@ def edge_tokens(docs: DataFrame, tokens: str = "base_tokens") -> DataFrame:
     """Word matches next to a Hangul syllable: kept if no token crosses that edge; kept with a cap if all crossing ones are unknown words; else dropped."""
 
     def crossing(x: Column) -> Column:
-        before, after = F.substring("text", x.start, 1), F.substring("text", x.end + 1, 1)
-        left, right = (x.start > 0) & before.rlike("[가-힣]"), after.rlike("[가-힣]")
+        left, right = F.right(x.left, F.lit(1)).rlike("[가-힣]"), F.left(x.right, F.lit(1)).rlike("[가-힣]")
         cut = lambda t, edge: (t.s < edge) & (edge < t.e)
         return F.when(x.term_kind != "word", F.array().cast("array<boolean>")).otherwise(F.transform(F.filter(tokens, lambda t: (left & cut(t, x.start)) | (right & cut(t, x.end))), lambda t: t.oov))
 
@@ -223,8 +271,8 @@ def word_containment(docs: DataFrame) -> DataFrame:
     word = r"[\p{L}\p{N}]"
 
     def inside(x: Column) -> Column:
-        beside = ((x.start > 0) & F.substring("text", x.start, F.lit(1)).rlike(word)) | F.substring("text", x.end + 1, F.lit(1)).rlike(word)
-        return beside & F.substring("text", x.start + 1, x.end - x.start).rlike(rf"^{word}+$")
+        beside = F.right(x.left, F.lit(1)).rlike(word) | F.left(x.right, F.lit(1)).rlike(word)
+        return beside & x.text.rlike(rf"^{word}+$")
 
     return docs.withColumn("m", F.filter("m", lambda x: x.term_kind.isin("pattern", "number") | (x.stage == 2) | ~inside(x)))
 
@@ -232,16 +280,20 @@ def word_containment(docs: DataFrame) -> DataFrame:
 def safe_context(docs: DataFrame) -> DataFrame:
     """Drops ambiguous matches with a safe word within 20 characters; there, all key matches are masked. Patterns see their text unmasked."""
     spans = F.filter("m", lambda x: x.stage < 2)
-    masked = F.aggregate(spans, F.col("text"), lambda t, x: F.overlay(t, F.repeat(F.lit("\u0000"), x.end - x.start), x.start + 1, x.end - x.start))
-    base = docs.withColumn("masked", F.when(F.size(spans) > 0, masked).otherwise(F.col("text")))
 
     def window(x: Column) -> Column:
-        low = F.greatest(x.start - SAFE_WINDOW, F.lit(0))
-        high = x.end + SAFE_WINDOW
-        return F.when(x.stage == 2, F.substring("text", low + 1, high - low)).otherwise(F.substring("masked", low + 1, high - low))
+        """The match and 20 characters on both sides, with the parts of matches masked."""
+        around, low = F.concat(x.left, x.text, x.right), x.start - F.length(x.left)
+        size = F.length(around)
+        beside = F.filter(spans, lambda y: (y.end > low) & (y.start < low + size))
+        # A span's part of the window, from its start there.
+        first = lambda y: F.greatest(y.start - low, F.lit(0))
+        part = lambda y: F.least(y.end - low, size) - first(y)
+        masked = F.aggregate(beside, around, lambda t, y: F.overlay(t, F.repeat(F.lit("\u0000"), part(y)), first(y) + 1, part(y)))
+        return F.when(x.stage == 2, around).otherwise(masked)
 
-    drop = lambda x: (x.ambiguity != "unambiguous") & F.exists(x.safe, lambda s: F.instr(window(x), s) > 0)
-    return base.withColumn("m", F.filter("m", lambda x: ~drop(x))).drop("masked")
+    drop = lambda x: (x.ambiguity != "unambiguous") & (F.size(x.safe) > 0) & F.exists(F.transform(F.array(window(x)), lambda w: F.exists(x.safe, lambda s: F.instr(w, s) > 0)), lambda hit: hit)
+    return docs.withColumn("m", F.filter("m", lambda x: ~drop(x)))
 
 
 def combination(docs: DataFrame) -> DataFrame:
@@ -257,9 +309,8 @@ def quotation(docs: DataFrame) -> DataFrame:
     marks = "[" + re.escape(QUOTE_MARKS) + "]"
 
     def is_quoted(x: Column) -> Column:
-        low = F.greatest(x.start - QUOTE_WINDOW, F.lit(0))
-        around = F.concat(F.substring("text", low + 1, x.start - low), F.substring("text", x.end + 1, F.lit(QUOTE_WINDOW)))
-        wrapped = (x.start > 0) & F.substring("text", x.start, F.lit(1)).rlike(marks) & F.substring("text", x.end + 1, F.lit(1)).rlike(marks)
+        around = F.concat(F.right(x.left, F.lit(QUOTE_WINDOW)), F.left(x.right, F.lit(QUOTE_WINDOW)))
+        wrapped = F.right(x.left, F.lit(1)).rlike(marks) & F.left(x.right, F.lit(1)).rlike(marks)
         return wrapped | around.rlike("|".join(META_WORDS))
 
     return docs.withColumn("m", F.transform("m", lambda x: F.when(is_quoted(x), with_match(x, cap=F.lit(True), flags=F.array_append(x.flags, "quotation_heuristic"))).otherwise(x)))
@@ -292,7 +343,7 @@ def score(docs: DataFrame) -> DataFrame:
         risk = risk_score(x.severity, x.confidence, context)
         rec = recommendation(x.status, F.array_contains(x.flags, "composite_unsatisfied"), x.severity, risk, x.dogwhistle, x.cap, x.ambiguity, context)
         return F.struct(
-            x.start.alias("start"), x.end.alias("end"), x.stage.alias("stage"), x.seq.alias("seq"), F.substring("text", x.start + 1, x.end - x.start).alias("matched_text"), x.surface.alias("surface"), x.term_id.alias("term_id"),
+            x.start.alias("start"), x.end.alias("end"), x.stage.alias("stage"), x.seq.alias("seq"), x.text.alias("matched_text"), x.surface.alias("surface"), x.term_id.alias("term_id"),
             x.categories.alias("categories"), x.severity.alias("severity"), x.ambiguity.alias("ambiguity"), x.confidence.alias("match_confidence"), context.alias("context_score"), risk.alias("risk_score"), rec.alias("usage_recommendation"), x.flags.alias("flags"),
         )
 

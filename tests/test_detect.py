@@ -38,6 +38,13 @@ def test_normalise_holds_its_promises(t):
     assert tx.normalise(unicodedata.normalize("NFKC", t))[0] == norm
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(max_size=30) | st.text("aBİΣσßㄱㅏ가é\u0301\u200bＡﬁ ", max_size=12))
+def test_the_fast_form_is_the_exact_one(t):
+    norm, off = tx.normalise_fast(t, tx.plain_characters())
+    assert (norm, list(range(len(norm))) if off is None else off) == tx.normalise(t)
+
+
 def test_normalise_examples():
     assert tx.normalise(None) == ("", []) == tx.normalise("")
     assert tx.normalise("각A​") == ("ㄱㅏㄱa", [0, 0, 0, 1])
