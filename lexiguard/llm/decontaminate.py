@@ -149,13 +149,15 @@ class Matcher:
 
     def _stretches(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """Ranges of words, in order and apart, outside which no window has a shingle of an item."""
-        codes = np.fromiter((self.items.code.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        codes = np.fromiter(map(self.items.code.get, words, itertools.repeat(0)), dtype=np.uint64, count=len(words))
         places = []
         for length, known in self.items.known.items():
             if len(words) >= length:
                 runs = _runs(codes, length)
                 some = np.flatnonzero(runs)
-                places.append(some[np.isin(runs[some], known)])
+                # known is sorted; looking up few numbers in it is cheaper than sorting both.
+                at = np.searchsorted(known, runs[some])
+                places.append(some[known[np.minimum(at, len(known) - 1)] == runs[some]])
         hits = np.unique(np.concatenate(places)) if places else np.zeros(0, dtype=np.int64)
         if not len(hits):
             return
