@@ -16,8 +16,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 from pyspark.sql import DataFrame
 
 from lexiguard.llm.common import Span, map_rows, spans_sha, spans_text
@@ -79,7 +80,6 @@ LOOKALIKES = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "օ": "o", "ո": "n", "ս": "u", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "·": ".", "∙": ".", "⁺": "+",
 }
 _DROPPED = "\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff"
-_UNUSUAL = re.compile("[^\x00-\u024f\u2018-\u201f\u2026]|[\u00a0\u00ad\u00b7\u0131]")
 
 # Words for the digits in the corpus's languages.
 DIGIT_WORDS = {
@@ -92,10 +92,11 @@ _SIGN_WORDS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"(?:[ \t]*+(?:[-,/][ \t]*+)?)"
 _ITEM = rf"(?:(?:double|triple)[ \t]++)?(?:{_DIGIT}|[0-9]++)|{'|'.join(_SIGN_WORDS)}|\+"
-# A spelled digit and the next item: of the two that _digits_of() asks for, the first has a successor.
-_SPELLED_HINT = re.compile(rf"(?:{_DIGIT}){_GAP}(?:{_ITEM})", re.I)
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_ITEM})(?:{_GAP}(?:{_ITEM}))+(?![^\W_])", re.I)
-_SPELLED_ITEM = re.compile(rf"(?:(double|triple)[ \t]+)?({_DIGIT}|[0-9]+)|({'|'.join(_SIGN_WORDS)}|\+)", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_ITEM})(?:{_GAP}(?:{_ITEM}))+(?![^\W_])")
+_WORD = re.compile(r"[^\W\d_]+")
+# A word of nothing but items; of runs, _digits_of() wants two digits.
+_ITEMS_ONLY = re.compile(rf"(?:double|triple|{'|'.join(_SIGN_WORDS)}|{_DIGIT})+")
+_SPELLED_ITEM = re.compile(rf"(?:(double|triple)[ \t]+)?({_DIGIT}|[0-9]+)|({'|'.join(_SIGN_WORDS)}|\+)")
 
 # Blanks before a sign are only entered at their first one.
 _BLANKS = r"(?<![ \t])[ \t]++"
@@ -106,14 +107,21 @@ _DOT_SIGN = rf"{_OPEN}[ \t_-]*+(?:dot|punkt|punto|\.)[ \t_-]*+{_SHUT}[ \t]*+"
 _DOT_DISGUISED = rf"(?:{_BLANKS}(?:{_DOT_SIGN}|(?:dot|punkt|punto)[ \t]++)|{_DOT_SIGN}|_dot_)"
 _DOT = rf"(?:{_DOT_DISGUISED}|\.)"
 # What makes an address disguised, so that every address or number that is edited holds one: all of _AT and _DOT but a plain sign.
-_DISGUISE_HINT = re.compile(rf"[({{<\[][ \t_-]*+(?:at|arroba|@|dot|punkt|punto|\.)[ \t_-]*+[\])}}>]|[ \t_]at[ \t_]++[A-Za-z0-9-]+?{_DOT}|[ \t_](?:dot|punkt|punto)[ \t_]|[ \t]@|@[ \t]", re.I)
-_AT_RX = re.compile(_AT, re.I)
-_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
-_DOT_RX = re.compile(_DOT, re.I)
-_DOT_DISGUISED_RX = re.compile(_DOT_DISGUISED, re.I)
-_NET = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+# Each comes with strings of which a text that it matches has one.
+_DISGUISES = (
+    (tuple("[({<"), re.compile(rf"[({{<\[][ \t_-]*+(?:at|arroba|@|dot|punkt|punto|\.)[ \t_-]*+[\])}}>]")),
+    ((" at", "\tat", "_at"), re.compile(rf"[ \t_]at[ \t_]++[a-z0-9-]+?{_DOT}")),
+    (("dot", "punkt", "punto"), re.compile(r"[ \t_](?:dot|punkt|punto)[ \t_]")),
+    (("@",), re.compile(r"[ \t]@|@[ \t]")),
+)
+_AT_RX = re.compile(_AT)
+_HOST = re.compile(rf"[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)+")
+_DOT_RX = re.compile(_DOT)
+_DOT_DISGUISED_RX = re.compile(_DOT_DISGUISED)
+_NET = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 # Endings after which "name at host.tld" is read as an address even though its dot is a plain one.
 PLAIN_ENDINGS = frozenset("com org net edu gov info io co de fr es uk eu at ch it nl".split())
+_ANY_DIGIT = re.compile("[0-9]")
 _DIGITLIKE_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 _DIGITLIKE = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[ .()-]{0,2}[0-9OoIl])+(?![A-Za-z0-9])")
 _DIGITLIKE_TO = str.maketrans("OoIl", "0011")
@@ -188,18 +196,75 @@ def _digits_of(run: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def normalised(text: str) -> Mapped | None:
+def _lowered(text: str) -> str:
+    """The text in lower case, each character in its place."""
+    low = text.lower()
+    # Only the capital I with a dot becomes two characters.
+    return low if len(low) == len(text) else text.replace("\u0130", "i").lower()
+
+
+class _Known(dict):
+    """What a test says of a string, which is looked into once."""
+
+    def __init__(self, test: Callable[[str], bool]) -> None:
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, x: str) -> bool:
+        said = self.test(x)
+        if len(x) <= 32:
+            if len(self) > 200_000:
+                self.clear()
+            self[x] = said
+        return said
+
+
+_SPELLED_WORDS = _Known(lambda word: _ITEMS_ONLY.fullmatch(word) is not None)
+_FOLDED_CHARS = _Known(lambda ch: _folded(ch) is not None)
+
+
+def digit_words() -> ahocorasick.Automaton:
+    """Finds the words for digits, wherever they stand, with their lengths."""
+    a = ahocorasick.Automaton()
+    for w in DIGIT_WORDS:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def _has_spelled(low: str, digits: ahocorasick.Automaton) -> bool:
+    """Whether a word of nothing but spelled digits and signs is there, which every run of _SPELLED with a spelled digit has. A very long word counts as one."""
+    for end, size in digits.iter(low):
+        start = end - size + 1
+        while start and low[start - 1].isalpha():
+            start -= 1
+            if end - start > 32:
+                return True
+        word = _WORD.match(low, start, start + 64)
+        if word and (len(word[0]) == 64 or _SPELLED_WORDS[word[0]]):
+            return True
+    return False
+
+
+def _disguised(low: str) -> bool:
+    return any(any(x in low for x in parts) and rx.search(low) for parts, rx in _DISGUISES)
+
+
+def normalised(text: str, digits: ahocorasick.Automaton) -> Mapped | None:
     """The text after all transducers, or None where none of them changes it."""
     m = Mapped(text)
-    if _UNUSUAL.search(text):
+    if not text.isascii() and any(map(_FOLDED_CHARS.__getitem__, set(text))):
         m.replace([(x.start(), x.end(), new) for x in re.finditer("[^\x00-\x7f]", text) if (new := _folded(x[0])) is not None])
-    if _DIGITLIKE_HINT.search(m.text):
+    if _ANY_DIGIT.search(m.text) and _DIGITLIKE_HINT.search(m.text):
         m.replace(_lookalike_digits(m.text))
-    if _SPELLED_HINT.search(m.text):
-        m.replace([(x.start() + a, x.start() + b, new) for x in _SPELLED.finditer(m.text) for a, b, new in _digits_of(x[0])])
-    if _DISGUISE_HINT.search(m.text):
-        m.replace(list(_mail_edits(m.text)))
-        m.replace([(x.start() + d.start(), x.start() + d.end(), ".") for x in _NET.finditer(m.text) for d in _DOT_RX.finditer(x[0]) if d[0] != "."])
+    low = _lowered(m.text)
+    if _has_spelled(low, digits):
+        m.replace([(x.start() + a, x.start() + b, new) for x in _SPELLED.finditer(low) for a, b, new in _digits_of(x[0])])
+        low = _lowered(m.text)
+    if _disguised(low):
+        m.replace(list(_mail_edits(low)))
+        low = _lowered(m.text)
+        m.replace([(x.start() + d.start(), x.start() + d.end(), ".") for x in _NET.finditer(low) for d in _DOT_RX.finditer(x[0]) if d[0] != "."])
     return m if m.steps else None
 
 
@@ -214,7 +279,7 @@ def _lookalike_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _mail_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    """Edits around each sign for "at": disguised dots of the name before it, the sign, disguised dots of the host after it.
+    """Edits of a lower-cased text around each sign for "at": disguised dots of the name before it, the sign, disguised dots of the host after it.
 
     A name is followed backwards over its letters and disguised dots, as far as
     the sign before it, so every character is looked at once.
@@ -250,11 +315,11 @@ def _mail_edits(text: str) -> Iterator[tuple[int, int, str]]:
         low = host.end()
 
 
-def find(text: str | None) -> tuple[list[Span], list[Span]]:
+def find(text: str | None, digits: ahocorasick.Automaton | None = None) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans with those behind disguises, both by kind as listed, then start and end."""
     text = text or ""
     base = detect(text)
-    copy = normalised(text)
+    copy = normalised(text, digits or digit_words())
     if copy is None:
         return base, base
     have: dict[str, list[tuple[int, int]]] = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
@@ -286,8 +351,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        digits = digit_words()
         for doc_id, text in rows:
-            base, spans = find(text)
+            base, spans = find(text, digits)
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
             yield (doc_id, *n, spans_sha(base), spans_text(spans), len(spans) - len(base))
 
