@@ -11,9 +11,13 @@ is for, it works character by character and stays in generated code.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 NORMALISER_VERSION = "1.0.0"
 
@@ -87,6 +91,25 @@ def plain_characters() -> dict[str, bool]:
     return _Plain()
 
 
+def normalised(rows: DataFrame, column: str, norm: str = "norm", offsets: str | None = None) -> DataFrame:
+    """rows with the exact normalised form of a column and, if named, its offsets; null counts as empty."""
+    fields = [T.StructField(norm, T.StringType()), *([T.StructField(offsets, T.ArrayType(T.IntegerType()))] if offsets else [])]
+    schema = T.StructType([*rows.schema.fields, *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, plain = to_arrow_schema(schema), plain_characters()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                made = [normalise_fast(t or "", plain) for t in b.column(column).to_pylist()]
+                added = [pa.array([n for n, _ in made], pa.string())]
+                if offsets:
+                    added.append(pa.array([range(len(n)) if o is None else o for n, o in made], arrow.field(offsets).type))
+                yield pa.RecordBatch.from_arrays([*b.columns, *added], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def characters(text: Column) -> Column:
     """Code points as an array; the empty text has none."""
     return F.filter(F.split(text, ""), lambda c: c != "")

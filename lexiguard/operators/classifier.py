@@ -2,14 +2,19 @@
 
 Features are rows (id, idx, val), so weights are joined like any table; a
 model is the weights (idx, w) with a bias and a temperature. Weight tables hold
-at most 2 ** 18 + 5 rows, which bounds what is sent to executors.
+at most 2 ** 18 + 5 rows, which bounds what is sent to executors. For the check,
+whose documents stay where they are, Dense has the same weights as one array
+and scores a text for several surfaces at once.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +67,66 @@ class Model:
         return score(features(rows, id_col), rows.select(id_col), self.weights, self.bias, self.temperature, id_col)
 
 
+    def dense(self) -> Dense:
+        """The weights as an array, which passes through the driver."""
+        w = np.zeros(DIM + 5)
+        for r in self.weights.where(F.col("idx").between(0, DIM + 4)).collect():
+            w[int(r["idx"])] += float(r["w"])
+        return Dense(w, float(self.bias), float(self.temperature))
+
+
+_WHITE = re.compile(r"\s+")
+
+
+def _hashed(start: int, codes: np.ndarray, n: int) -> np.ndarray:
+    """fnv_index() of all runs of n codes, from the hash of what stands before them."""
+    h = np.full(max(0, len(codes) - n + 1), start, dtype=np.uint64)
+    for i in range(n):
+        h = ((h ^ codes[i : i + len(h)]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return (h & np.uint64(DIM - 1)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def _start(namespace: str) -> int:
+    h = 2166136261
+    for c in namespace + "\u001f":
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+@dataclass
+class Dense:
+    """A model for one text at a time, with the features of features()."""
+
+    weights: np.ndarray
+    bias: float
+    temperature: float = 1.0
+
+    def scores(self, text: str, surfaces: list[str]) -> list[float]:
+        t = text.replace("\n", " ").strip()
+        codes, w = _codes(t.replace(" ", "_")), self.weights
+        z = self.bias
+        for n in (2, 3):
+            start = _start(f"c{n}")
+            runs = _hashed(start, codes, n) if len(codes) >= n else _hashed(start, codes, len(codes))[: len(codes)]
+            z += float(w[runs].sum())
+        for word, n in Counter(x for x in _WHITE.split(t) if x).items():
+            z += n * float(w[_hashed(_start("w"), _codes(word), len(_codes(word)))[0]])
+        z += sum(float(w[DIM + j]) for j, found in enumerate((META, COUNTER, CONTEMPT)) if any(x in t for x in found))
+        out = []
+        for s in surfaces:
+            own = z + float(w[_hashed(_start("surf"), _codes(s), len(s))[0]] if s else 0.0)
+            if re.search(f"[{QUOTES}]{re.escape(s)}[{QUOTES}]", t):
+                own += float(w[DIM + 3])
+            if t.count(s) >= 2:
+                own += float(w[DIM + 4])
+            out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, own / self.temperature)))))
+        return out
+
+
 def score(feats: DataFrame, ids: DataFrame, weights: DataFrame, bias: float, temperature: float = 1.0, id_col: str = "id") -> DataFrame:
     sums = feats.join(weights, "idx").groupBy(id_col).agg(F.sum(F.col("val") * F.col("w")).alias("z"))
     z = (F.lit(float(bias)) + F.coalesce("z", F.lit(0.0))) / F.lit(float(temperature))

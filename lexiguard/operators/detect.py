@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexiguard.functions.text import normalise_fast, occurrences, plain_characters
+from lexiguard.operators.classifier import Dense
 
 SAFE_WINDOW = 20
 QUOTE_WINDOW = 15
@@ -99,6 +100,12 @@ def skip_view(norm: str) -> tuple[str, list[int], list[bool]]:
     return "".join(text), places, blank
 
 
+def native_skip_view(norm: Column) -> Column:
+    """The text of skip_view(), in generated code."""
+    separators = "".join("\\" + c if c in ".*-" else c for c in SEPARATORS)
+    return F.regexp_replace(norm, f"(?<=[ㄱ-ㅣ])[{separators}]{{1,{LONGEST_RUN}}}(?=[ㄱ-ㅣ])", "")
+
+
 #: Kinds of matches' flags, as the scan numbers them.
 _FLAGS = ([], ["chosung_variant"], ["skip_char"], ["pattern_fallback_literal"])
 _OWN = ("start", "end", "ns", "ne", "stage", "seq", "rule_hit", "confidence", "cap", "start_ok", "text", "left", "right")
@@ -335,19 +342,46 @@ def rank_of(rec: Column) -> Column:
     return F.when(rec == "revise_recommended", 3).when(rec == "review_recommended", 2).when(rec == "monitor", 1).otherwise(0)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """m becomes the scored matches, by start, end and scan order."""
+def classify(docs: DataFrame, model: Dense) -> DataFrame:
+    """docs with an array column ctx beside m: the classifier's score of ambiguous matches that are no patterns, null for the others."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("ctx", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            m = b.column("m")
+            flat = m.flatten()
+            asked = [a != "unambiguous" and k != "pattern" for a, k in zip(*(flat.field(n).to_pylist() for n in ("ambiguity", "term_kind")), strict=True)]
+            surfaces = flat.field("surface").to_pylist()
+            out, at = [], 0
+            for n, text in zip(m.value_lengths().to_pylist(), b.column("text").to_pylist(), strict=True):
+                wanted = sorted({surfaces[i] for i in range(at, at + (n or 0)) if asked[i]})
+                known = dict(zip(wanted, model.scores(text, wanted), strict=True)) if wanted else {}
+                out.append([known[surfaces[i]] if asked[i] else None for i in range(at, at + (n or 0))])
+                at += n or 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow.field("ctx").type)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Dense | None = None) -> DataFrame:
+    """m becomes the scored matches, by start, end and scan order. With a model, the scores of ambiguous matches are its own, and unsure ones are flagged."""
 
-    def one(x: Column) -> Column:
-        context = context_score(x.ambiguity, x.term_kind == "pattern")
+    def one(x: Column, classified: Column | None) -> Column:
+        context = context_score(x.ambiguity, x.term_kind == "pattern", classified)
         risk = risk_score(x.severity, x.confidence, context)
+        unsure = F.lit(False) if classified is None else classified.isNotNull() & classified.between(*CONTEXT_UNSURE)
+        flags = F.when(unsure, F.array_append(x.flags, "context_low_confidence")).otherwise(x.flags)
         rec = recommendation(x.status, F.array_contains(x.flags, "composite_unsatisfied"), x.severity, risk, x.dogwhistle, x.cap, x.ambiguity, context)
         return F.struct(
             x.start.alias("start"), x.end.alias("end"), x.stage.alias("stage"), x.seq.alias("seq"), x.text.alias("matched_text"), x.surface.alias("surface"), x.term_id.alias("term_id"),
-            x.categories.alias("categories"), x.severity.alias("severity"), x.ambiguity.alias("ambiguity"), x.confidence.alias("match_confidence"), context.alias("context_score"), risk.alias("risk_score"), rec.alias("usage_recommendation"), x.flags.alias("flags"),
+            x.categories.alias("categories"), x.severity.alias("severity"), x.ambiguity.alias("ambiguity"), x.confidence.alias("match_confidence"), context.alias("context_score"), risk.alias("risk_score"), rec.alias("usage_recommendation"), flags.alias("flags"),
         )
 
-    scored = docs.withColumn("m", F.array_sort(F.transform("m", one)))
+    if model is None:
+        scored = docs.withColumn("m", F.array_sort(F.transform("m", lambda x: one(x, None))))
+    else:
+        scored = classify(docs, model).withColumn("m", F.array_sort(F.zip_with("m", "ctx", one))).drop("ctx")
     top = F.array_max(F.transform("m", lambda x: rank_of(x.usage_recommendation)))
     overall = F.when(top == 3, "revise_recommended").when(top == 2, "review_recommended").when(top == 1, "monitor").otherwise("none")
     return scored.withColumn("overall_recommendation", overall)

@@ -36,6 +36,42 @@ def pass_rates(scored: DataFrame, by: str = "slot") -> DataFrame:
     return scored.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).alias("rate"))
 
 
+def recall_by_kind(scored: DataFrame) -> DataFrame:
+    """(evasion_kind, n, rate) by kind ('?' where it is unknown) and, with a null kind, over all; deferred rows do not count. scored: ok, evasion_kind, bucket."""
+    due = scored.where("bucket IS NULL").withColumn("evasion_kind", F.coalesce("evasion_kind", F.lit("?")))
+    return pass_rates(due, "evasion_kind")
+
+
+def must_pass(checked: DataFrame) -> DataFrame:
+    """(slot, n, rate, review_hits) by slot and, with a null slot, over all; deferred rows do not count. checked: slot, grade, recommendation, bucket.
+
+    Ambiguous sentences fail if a revision is recommended, others if anything was matched.
+    """
+    ok = F.when(F.col("grade") == "ambiguous", F.col("recommendation") != "revise_recommended").otherwise(F.col("recommendation") == "none")
+    hit = (F.col("grade") == "ambiguous") & (F.col("recommendation") == "review_recommended")
+    return checked.where("bucket IS NULL").rollup("slot").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("rate"), F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("review_hits"))
+
+
+def golden_report(scored: DataFrame) -> DataFrame:
+    """(line, value): recall with counts, the number of deferred rows, and what each missed row expected. scored: id, expected, ok, bucket."""
+    due = F.col("bucket").isNull()
+    n, hit = F.count(F.when(due, 1)), F.count(F.when(due & F.col("ok"), 1))
+    share = F.format_string("%.1f%% (%d/%d)", F.when(n == 0, 100.0).otherwise(hit * 100.0 / n), hit, n)
+    totals = scored.agg(share.alias("a"), F.count(F.when(~due, 1)).cast("string").alias("b"))
+    lines = totals.select(F.explode(F.array(F.struct(F.lit("recall").alias("line"), F.col("a").alias("value")), F.struct(F.lit("deferred").alias("line"), F.col("b").alias("value")))).alias("x")).select("x.*")
+    missed = scored.where(due & ~F.col("ok")).select(F.concat(F.lit("missed "), F.col("id").cast("string")).alias("line"), F.array_join("expected", ", ").alias("value"))
+    return lines.unionByName(missed)
+
+
+def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A small report's rows as a Markdown table; a longer one ends in a note."""
+    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n| {' | '.join('---' for _ in rows.columns)} |\n"
+    shown = rows.limit(most + 1).collect()
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    body = "".join(f"| {' | '.join(map(cell, r))} |\n" for r in shown[:most])
+    return head + body + ("\nOnly the first rows are shown.\n" if len(shown) > most else "")
+
+
 def passes(grade: Column, recommendation: Column) -> Column:
     """Ambiguous sentences may be reviewed, strict and marketing ones at most observed."""
     return F.when(grade == "ambiguous", recommendation != "revise_recommended").otherwise(recommendation.isin("none", "monitor"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiguard.operators import detect
+from lexiguard.operators.classifier import Dense
 from lexiguard.operators.detect import Lexicon
 
 #: What is advised for each recommendation, and the notice that goes with every response.
@@ -13,14 +18,27 @@ ADVICE = {"revise_recommended": "표현 수정 검토를 권고합니다.", "rev
 NOTICE = "본 결과는 리스크 자문 의견이며 사실 판정이 아닙니다. 특정인에 대한 의도 추정·인사 조치의 근거로 사용하지 마십시오. 최종 판단과 책임은 이용 고객에게 있습니다."
 
 
-def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, text_col: str = "text") -> DataFrame:
+#: The status of an answer while no release is loaded.
+UNAVAILABLE = 503
+
+
+class Unavailable(Exception):
+    """No release is loaded; the first argument is the answer's status."""
+
+    @property
+    def status(self) -> int:
+        return self.args[0]
+
+
+def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, text_col: str = "text", model: Dense | None = None) -> DataFrame:
     """docs with m, the scored matches, and overall_recommendation. Stages are on unless switched off; unknown names are ignored.
 
     docs must have a column text (or text_col, which is read as text) and none
     of the names m, overall_recommendation. Its columns tokens and base_tokens,
     arrays of (s, e, oov) from a tokenizer, are used if there are any: without
     tokens, runs of letters and digits are the tokens; without base_tokens there
-    is no edge check. No row moves between tasks.
+    is no edge check. With a model, ambiguous matches have its scores; without,
+    a fixed one. No row moves between tasks.
     """
     on = dict.fromkeys(detect.STAGES, True) | (stages or {})
     docs = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
@@ -38,12 +56,12 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
         found = detect.combination(found)
     if on["quotation"]:
         found = detect.quotation(found)
-    return detect.score(found)
+    return detect.score(found, model)
 
 
-def check(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, id_col: str = "doc_id") -> DataFrame:
+def check(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, id_col: str = "doc_id", model: Dense | None = None) -> DataFrame:
     """One row a match, with the document's id."""
-    return check_documents(docs, lexicon, stages).select(id_col, F.explode("m").alias("x")).select(id_col, "x.*")
+    return check_documents(docs, lexicon, stages, model=model).select(id_col, F.explode("m").alias("x")).select(id_col, "x.*")
 
 
 def advice(rec):  # noqa: ANN001, ANN201
@@ -62,7 +80,53 @@ def responses(checked: DataFrame, lexicon: Lexicon, id_col: str = "doc_id") -> D
     return checked.select(id_col, F.to_json(body).alias("response"))
 
 
-def check_text(spark, text: str, lexicon: Lexicon, stages: dict[str, bool] | None = None) -> str:  # noqa: ANN001
-    """The JSON answer for one text."""
+def check_text(spark, text: str, lexicon: Lexicon | None, stages: dict[str, bool] | None = None, model: Dense | None = None) -> str:  # noqa: ANN001
+    """The JSON answer for one text. Without a loaded lexicon there is none, but an error that a service answers with UNAVAILABLE."""
+    if lexicon is None:
+        raise Unavailable(UNAVAILABLE, "no release loaded")
     docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
-    return responses(check_documents(docs, lexicon, stages), lexicon).first()["response"]
+    return responses(check_documents(docs, lexicon, stages, model=model), lexicon).first()["response"]
+
+
+class Service:
+    """Checks of single texts over HTTP: POST /v1/check/text with {"text": …} answers as check_text() does, and with times by step."""
+
+    def __init__(self, spark, lexicon: Lexicon | None, model: Dense | None = None) -> None:  # noqa: ANN001
+        self.spark, self.lexicon, self.model = spark, lexicon, model
+
+    def answer(self, path: str, body: bytes) -> tuple[int, str]:
+        if path != "/v1/check/text":
+            return 404, '{"detail": "no such path"}'
+        try:
+            asked = json.loads(body)
+            text = asked["text"]
+            if not isinstance(text, str):
+                raise ValueError(text)
+        except (ValueError, KeyError, TypeError):
+            return 422, '{"detail": "text is missing"}'
+        began = time.perf_counter()
+        try:
+            out = json.loads(check_text(self.spark, text, self.lexicon, asked.get("stages"), self.model))
+        except Unavailable as e:
+            return e.status, json.dumps({"detail": e.args[1]})
+        out["debug"]["timings_ms"] = {"total": (time.perf_counter() - began) * 1000}
+        return 200, json.dumps(out, ensure_ascii=False)
+
+    def serve(self, host: str = "127.0.0.1", port: int = 0) -> HTTPServer:
+        """A server for the caller to run; with port 0 it takes a free one."""
+        answer = self.answer
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self) -> None:
+                status, text = answer(self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+                raw = text.encode()
+                self.send_response(status)
+                self.send_header("Content-Type", "application/json; charset=utf-8")
+                self.send_header("Content-Length", str(len(raw)))
+                self.end_headers()
+                self.wfile.write(raw)
+
+            def log_message(self, *_: object) -> None:
+                pass
+
+        return HTTPServer((host, port), Handler)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +11,7 @@ from lexiguard.operators.detect import Entry, Lexicon, Rule
 from lexiguard.plans import similar
 from lexiguard.plans.check import ADVICE, advice, check, check_documents
 from lexiguard.plans.inline import Inline, sql_value
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from lexiguard.plans.registry import query, table
 
 # A neutral lexicon: parts of the tables' invented words. None of these keys overlaps itself.
 KEYS = Inline("k", "term_id int, surface string, variant_kind string, severity int, ambiguity string, status string, dogwhistle boolean", [
@@ -89,10 +70,10 @@ def n_hangul_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HANGUL.df(spark).select("id", tx.native_normalise(F.col("t")).alias("norm"))
 
 
-@query(f"WITH {HANGUL.sql}, c AS (SELECT id, i, substring(t, i, 1) AS ch FROM h, unnest(range(1, length(t) + 1)) AS u(i)), w AS (SELECT id, i, length({letters_sql('ch')}) AS n FROM c) SELECT id, string_agg(repeat(CAST(i - 1 AS VARCHAR) || ',', n), '' ORDER BY i) AS offsets FROM w GROUP BY id")
+@query(f"WITH {HANGUL.sql}, c AS (SELECT id, i, substring(t, i, 1) AS ch FROM h, unnest(range(1, length(t) + 1)) AS u(i)), w AS (SELECT id, i, length({letters_sql('ch')}) AS n FROM c) SELECT h.id, coalesce(string_agg(repeat(CAST(i - 1 AS VARCHAR) || ',', n), '' ORDER BY i), '') AS offsets FROM h LEFT JOIN w ON h.id = w.id GROUP BY h.id")
 def n_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.array_join(F.transform(tx.native_offsets(F.col("t")), lambda i: F.concat(i.cast("string"), F.lit(","))), "")
-    return HANGUL.df(spark).where("t <> ''").select("id", joined.alias("offsets"))
+    return HANGUL.df(spark).select("id", joined.alias("offsets"))
 
 
 # ---- scans -----------------------------------------------------------------
@@ -155,9 +136,7 @@ def j3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NORMED_SQL} SELECT id, regexp_replace(regexp_replace(norm, '([ㄱ-ㅣ])[. _-]([ㄱ-ㅣ])', '\\1\\2', 'g'), '([ㄱ-ㅣ])[. _-][. _-]([ㄱ-ㅣ])', '\\1\\2', 'g') AS skip_text FROM nt")
 def j4_skip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    separators = "".join("\\" + c if c in ".*-" else c for c in detect.SEPARATORS)
-    gap = f"(?<=[ㄱ-ㅣ])[{separators}]{{1,{detect.LONGEST_RUN}}}(?=[ㄱ-ㅣ])"
-    return SEA.df(spark).select("id", F.regexp_replace(tx.native_normalise(F.col("t")), gap, "").alias("skip_text"))
+    return SEA.df(spark).select("id", detect.native_skip_view(tx.native_normalise(F.col("t"))).alias("skip_text"))
 
 
 @query(f"WITH {SEA.sql}, g(gap) AS (VALUES ('. '), (' '), ('-_')) SELECT id, CAST(strpos(t, '바' || gap || '다') - 1 AS INT) AS start_pos, '바' || gap || '다' AS matched_text, CAST(0.8 AS DOUBLE) AS confidence, 'skip_char' AS flags, CASE WHEN contains(gap, ' ') THEN 'review_recommended' ELSE 'revise_recommended' END AS rec FROM s, g WHERE contains(t, '바' || gap || '다')")
@@ -318,7 +297,7 @@ def p11_license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.license_gate(EVIDENCE.df(spark))
 
 
-_TERM = '{"surface":"ABC 가","term_kind":"word","meaning":"m","severity":3,"ambiguity":"unambiguous","categories":["c1"],"evidence":[{"url":"u","title":"t","source_type":"wiki","evidence_type":"origin","reliability":3},{"url":"u2","title":"t2","source_type":"news","evidence_type":"incident","reliability":2}],"negative_examples":["x"],"related_incidents":[{"title":"i","occurred_at":"2020","medium":"web"}]}'
+_TERM = '{"surface":"ABC 가","term_kind":"word","meaning":"m","origin_story":"o","severity":3,"ambiguity":"unambiguous","categories":["age"],"evidence":[{"url":"u","title":"t","source_type":"wiki","evidence_type":"origin","reliability":3},{"url":"u2","title":"t2","source_type":"news","evidence_type":"incident","reliability":2}],"negative_examples":["x"],"related_incidents":[{"title":"i","occurred_at":"2020","medium":"sns","source_url":"u"}]}'
 CANDIDATES = Inline("ca", "id int, json string", [
     (1, '{"kind":"new_term","collector":"c","payload":' + _TERM + "}"),
     (2, _TERM),
@@ -326,12 +305,16 @@ CANDIDATES = Inline("ca", "id int, json string", [
     (4, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace('"word"', '"number"') + "}"),
     (5, '{"kind":"new_variant","collector":"c","payload":{"variant":"A1","variant_kind":"leet","source_url":"u","parent_surface":"a"}}'),
     (6, '{"kind":"new_variant","collector":"c","payload":{"variant":"A1","variant_kind":"leet","source_url":"u"}}'),
-    (7, '{"kind":"incident","collector":"c","payload":{"title":"T","occurred_at":"2021-05","medium":"web","source_url":"u","related_surface":"a"}}'),
-    (8, '{"kind":"incident","collector":"c","payload":{"title":"T","medium":"web","source_url":"u"}}'),
+    (7, '{"kind":"incident","collector":"c","payload":{"title":"T","occurred_at":"2021-05","medium":"sns","source_url":"u","related_surface":"a"}}'),
+    (8, '{"kind":"incident","collector":"c","payload":{"title":"T","medium":"sns","source_url":"u"}}'),
     (9, '{"kind":"deprecation","collector":"c","payload":{"target_surface":"a","inactivity_basis":"b"}}'),
     (10, '{"kind":"odd","payload":{}}'),
     (11, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace('"severity":3', '"severity":7') + "}"),
-    (12, '{"kind":"new_marker","collector":"c","payload":{"name":"N","marker_kind":"sign","origin_note":"o","source_url":"u","license_note":"l"}}'),
+    (12, '{"kind":"new_marker","collector":"c","payload":{"name":"N","marker_kind":"symbol","origin_note":"o","source_url":"u","license_note":"l"}}'),
+    (13, '{"kind":"new_term","collector":"c","payload":' + _TERM.replace('"age"', '"odd"').replace('"wiki"', '"odd"').replace('"unambiguous"', '"odd"').replace('"sns"', '"odd"') + "}"),
+    (14, '{"kind":"new_variant","collector":"c","payload":{"variant":"A1","variant_kind":"odd","source_url":"u","parent_term_id":"7"}}'),
+    (15, '{"kind":"new_marker","collector":"c","payload":{"name":"N","marker_kind":"odd","origin_note":"o","source_url":"u","license_note":"l"}}'),
+    (16, '{"kind":"incident","collector":"c","payload":{"title":"T","occurred_at":"2021","medium":"odd","source_url":"u","related_surface":"a"}}'),
 ])
 _J = "json_extract_string(j, '$.payload.{}')".format
 _CAND_SQL = f"{CANDIDATES.sql}, w AS (SELECT id, CASE WHEN json_extract_string(json, '$.kind') IS NULL AND json_extract_string(json, '$.surface') IS NOT NULL THEN '{{\"kind\":\"new_term\",\"collector\":\"manual:legacy-file\",\"payload\":' || json || '}}' ELSE json END AS j FROM ca), k AS (SELECT *, json_extract_string(j, '$.kind') AS kind FROM w)"
@@ -341,14 +324,45 @@ def _candidates(spark: SparkSession) -> DataFrame:
     return curation.parse(CANDIDATES.df(spark))
 
 
-@query(f"""WITH {_CAND_SQL} SELECT id, array_to_string(list_filter([
- CASE WHEN kind IS NULL OR json_extract_string(j, '$.collector') IS NULL OR json_extract(j, '$.payload') IS NULL THEN 'top_level' END,
- CASE WHEN kind NOT IN ('new_term', 'new_variant', 'new_marker', 'incident', 'deprecation') THEN 'kind' END,
- CASE WHEN kind = 'new_term' AND coalesce(json_array_length(j, '$.payload.negative_examples'), 0) = 0 THEN 'negative_examples' END,
- CASE WHEN kind = 'new_term' AND ({_J('term_kind')} = 'number' OR {_J('ambiguity')} = 'common') AND coalesce(json_array_length(j, '$.payload.combination_rules'), 0) = 0 THEN 'combination_rules' END,
- CASE WHEN kind = 'new_variant' AND {_J('parent_surface')} IS NULL AND {_J('parent_term_id')} IS NULL THEN 'variant_fields' END,
- CASE WHEN kind = 'incident' AND ({_J('occurred_at')} IS NULL OR ({_J('related_surface')} IS NULL AND {_J('related_marker')} IS NULL)) THEN 'incident_fields' END,
- CASE WHEN TRY_CAST({_J('severity')} AS INT) NOT BETWEEN 1 AND 5 THEN 'severity' END], lambda x: x IS NOT NULL), ',') AS errors FROM k""")
+def _names(where: str, names: tuple[str, ...]) -> str:
+    """Whether a value in the payload is none of the names."""
+    return f"json_extract_string(j, '$.payload.{where}') NOT IN ({', '.join(map(sql_value, names))})"
+
+
+def _any_name(where: str, names: tuple[str, ...]) -> str:
+    return f"len(list_filter(coalesce(CAST(json_extract_string(j, '$.payload.{where}') AS VARCHAR[]), []), lambda x: x NOT IN ({', '.join(map(sql_value, names))}))) > 0"
+
+
+#: Each rule's name, place and condition in SQL, for the candidates at hand.
+_RULES_SQL = [
+    ("top_level", "(root)", "kind IS NULL OR json_extract_string(j, '$.collector') IS NULL OR json_extract(j, '$.payload') IS NULL"),
+    ("kind", "kind", "kind NOT IN ('new_term', 'new_variant', 'new_marker', 'incident', 'deprecation')"),
+    ("negative_examples", "payload/negative_examples", "kind = 'new_term' AND coalesce(json_array_length(j, '$.payload.negative_examples'), 0) = 0"),
+    ("combination_rules", "payload/combination_rules", f"kind = 'new_term' AND ({_J('term_kind')} = 'number' OR {_J('ambiguity')} = 'common') AND coalesce(json_array_length(j, '$.payload.combination_rules'), 0) = 0"),
+    ("variant_fields", "payload", f"kind = 'new_variant' AND {_J('parent_surface')} IS NULL AND {_J('parent_term_id')} IS NULL"),
+    ("incident_fields", "payload", f"kind = 'incident' AND ({_J('occurred_at')} IS NULL OR ({_J('related_surface')} IS NULL AND {_J('related_marker')} IS NULL))"),
+    ("severity", "payload/severity", f"TRY_CAST({_J('severity')} AS INT) NOT BETWEEN 1 AND 5"),
+    ("ambiguity", "payload/ambiguity", "kind = 'new_term' AND " + _names("ambiguity", curation.AMBIGUITIES)),
+    ("categories", "payload/categories", "kind = 'new_term' AND " + _any_name("categories[*]", curation.CATEGORIES)),
+    ("evidence_names", "payload/evidence", "kind = 'new_term' AND " + _any_name("evidence[*].source_type", curation.SOURCE_TYPES)),
+    ("related_incidents", "payload/related_incidents", _any_name("related_incidents[*].medium", curation.MEDIA)),
+    ("variant_kind", "payload/variant_kind", "kind = 'new_variant' AND " + _names("variant_kind", curation.VARIANT_KINDS)),
+    ("marker_kind", "payload/marker_kind", "kind = 'new_marker' AND " + _names("marker_kind", curation.MARKER_KINDS)),
+    ("medium", "payload/medium", "kind = 'incident' AND " + _names("medium", curation.MEDIA)),
+]
+
+
+def _broken_sql(shown: str) -> str:
+    cases = ", ".join(f"CASE WHEN {bad} THEN '{shown.format(name=name, place=place)}' END" for name, place, bad in _RULES_SQL)
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {_CAND_SQL} SELECT id, array_to_string(list_slice(list_sort({_broken_sql('{place}: {name}')}), 1, 10), '; ') AS report FROM k")
+def s6_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark).select("id", F.array_join(curation.error_report(F.col("c")), "; ").alias("report"))
+
+
+@query(f"WITH {_CAND_SQL} SELECT id, array_to_string({_broken_sql('{name}')}, ',') AS errors FROM k")
 def v_validate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark).select("id", F.array_join(curation.validation_errors(F.col("c")), ",").alias("errors"))
 
@@ -473,11 +487,6 @@ def g1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(F.col("variant_kind") == "jamo", F.lower("variant")).otherwise(F.col("variant")).alias("variant"), "variant_kind")
 
 
-@query()
-def g4_leet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.generate(SURFACES.df(spark)).where("variant_kind = 'leet'").select("id", "pos", "variant")
-
-
 MADE = Inline("md", "id int, surface_key string, variant string, variant_kind string", [(1, "abc", "ABC", "jamo"), (2, "abc", "abd", "jamo"), (3, "xyz", "xy", "chosung"), (4, "xyz", "xyz", "chosung"), (5, "x", "word", "leet"), (6, "x", "w0rd", "leet"), (7, "x", "", "leet")])
 COMMON = Inline("cm", "word string", [("Word",), ("other",), ("WORD",)])
 
@@ -496,11 +505,11 @@ def a6_fp_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.collision_rates(variants.collisions(made, COMMON.df(spark))).select(F.coalesce("variant_kind", F.lit("all")).alias("kind"), "n", "n_hit", "rate")
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), k AS (SELECT word, regexp_replace(word, '[aeiou]', '', 'g') AS key, length(word) AS len FROM w WHERE length(word) BETWEEN 3 AND 9),
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), k AS (SELECT word, regexp_replace(word, '[aeiou]', '', 'g') AS key, length(word) AS len FROM w),
 g AS (SELECT len, key, count(*) AS n, min(word) AS first_word FROM k GROUP BY len, key HAVING count(*) >= 2)
 SELECT CAST(len AS INT) AS len, key, n, first_word, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY n DESC, key) AS place FROM g) WHERE place <= 8""")
 def a7_key_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct().where(F.length("word").between(3, 9))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
     return variants.key_ambiguity(words, F.translate("word", "aeiou", "")).select("len", "key", "n", "first_word", "place")
 
 
@@ -605,33 +614,34 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- vectors and bit patterns ----------------------------------------------
-@query("WITH h AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS phash FROM embeddings) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM h a, h b WHERE b.vec_id % 25 = 0 AND bit_count(xor(a.phash, b.phash)) <= 8")
+@query("WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS phash FROM embeddings) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM h a, h b WHERE b.vec_id % 100 = 0 AND bit_count(xor(a.phash, b.phash)) <= 8")
 def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A bit for the sign of each of 32 components stands in for an image's hash.
+    # A bit for the sign of each of 32 components stands in for an image's hash; every hundredth image is asked for.
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda v, i: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda s, b: s + b)
     h = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), bits.alias("phash"))
-    return similar.near_hashes(h.select(F.col("vec_id").alias("image_id"), "phash"), h.where("vec_id % 25 = 0").select(F.col("vec_id").alias("marker_id"), "phash"))
+    return similar.near_hashes(h.select(F.col("vec_id").alias("image_id"), "phash"), h.where("vec_id % 100 = 0").select(F.col("vec_id").alias("marker_id"), "phash"))
 
 
-@query("WITH r AS (SELECT vec_id AS ref_id, embedding AS ref FROM embeddings WHERE vec_id < 5), p AS (SELECT vec_id, ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(ref AS DOUBLE[])) AS s FROM embeddings, r WHERE vec_id <> ref_id) SELECT vec_id, ref_id, round(s, 6) AS similarity FROM p WHERE s >= 0.25")
+@query("WITH r AS (SELECT vec_id AS ref_id, embedding AS ref FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT vec_id, ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(ref AS DOUBLE[])) AS s FROM embeddings, r WHERE vec_id <> ref_id) SELECT vec_id, ref_id, round(s, 6) AS similarity FROM p WHERE s >= 0.92")
 def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every hundredth vector is asked for, against all.
     v = table(spark, sf_dir, "embeddings")
-    return similar.near_vectors(v, v.where("vec_id < 5"), 0.25).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
+    return similar.near_vectors(v, v.where("vec_id % 100 = 0")).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
 
 
 # ---- further workflow operators --------------------------------------------
-@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 def j7_evidence_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Lines stand in for evidence, parts for its sources.
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_id"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_id"))
     source = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), "p_brand")
     return curation.evidence_with_sources(lines, source).select("l_orderkey", "l_linenumber", "p_brand")
 
 
-@query("SELECT id, kind FROM (SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'incident' WHEN 'click' THEN 'new_term' WHEN 'view' THEN 'new_variant' ELSE 'other' END AS kind FROM events) ORDER BY CASE kind WHEN 'new_term' THEN 0 WHEN 'new_marker' THEN 1 WHEN 'new_variant' THEN 2 WHEN 'incident' THEN 3 ELSE 9 END, id LIMIT 500")
+@query("SELECT id, kind FROM (SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'incident' WHEN 'click' THEN 'new_term' WHEN 'view' THEN 'new_variant' ELSE 'other' END AS kind FROM events) ORDER BY CASE kind WHEN 'new_term' THEN 0 WHEN 'new_marker' THEN 1 WHEN 'new_variant' THEN 2 WHEN 'incident' THEN 3 ELSE 9 END, id ")
 def o3_apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "incident").when(F.col("event_type") == "click", "new_term").when(F.col("event_type") == "view", "new_variant").otherwise("other")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind.alias("kind")).orderBy(*curation.apply_order()).limit(500)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind.alias("kind")).orderBy(*curation.apply_order())
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")

@@ -31,8 +31,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: References that one row of the vectors is compared with at a time; a block of them is one row.
+REFERENCE_BLOCK = 64
+
+
 def near_vectors(vectors: DataFrame, references: DataFrame, least: float = COSINE) -> DataFrame:
-    """(vec_id, ref_id, similarity) of at least that cosine. references is a short list of known markers and is sent to all executors."""
-    refs = references.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
-    pairs = vectors.join(F.broadcast(refs), F.col("vec_id") != F.col("ref_id"))
-    return pairs.select("vec_id", "ref_id", cosine(F.col("embedding"), F.col("ref")).alias("similarity")).where(F.col("similarity") >= least)
+    """(vec_id, ref_id, similarity) of at least that cosine; a vector is not its own reference.
+
+    Exact: every vector is compared with every stated reference. References are
+    packed into blocks; a block meets the vectors in as many tasks as a shuffle
+    has, so neither side needs to fit one machine. Vectors without length or of
+    another dimension are near nothing.
+    """
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda df, id_col: df.withColumn("size", size).where("size > 0").select(F.col("vec_id").alias(id_col), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "size")
+    refs = unit(references, "ref_id")
+    n_blocks = max(1, -(-references.count() // REFERENCE_BLOCK))
+    blocks = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks))).groupBy("block").agg(F.collect_list(F.struct("ref_id", "v", "size")).alias("refs"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread = unit(vectors, "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = lambda r: F.struct(r.ref_id.alias("ref_id"), (dot(F.col("v"), r.v) / (F.col("size") * r["size"])).alias("similarity"))
+    met = spread.join(blocks.hint("shuffle_hash"), ["block", "part"]).select("vec_id", F.explode(F.filter(F.transform("refs", near), lambda x: x.similarity >= least)).alias("n"))
+    return met.select("vec_id", "n.ref_id", "n.similarity").where("vec_id <> ref_id")

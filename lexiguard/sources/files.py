@@ -7,6 +7,9 @@ Small artifacts (a manifest, a lexicon) pass through the driver.
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiguard.functions.text import NORMALISER_VERSION, normalise
 from lexiguard.operators import curation
-from lexiguard.operators.classifier import Model
+from lexiguard.operators.classifier import Dense, Model
 from lexiguard.operators.detect import Entry, Lexicon, Rule
 from lexiguard.operators.release import CONTRACT_VERSION, release_counts, user_dictionary
 
@@ -28,6 +31,37 @@ MODEL = "feature_version string, bias double, temperature double, weights map<st
 FEATURE_VERSION = "1"
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    """The path and its file system, whichever store it is in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below the one that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lexiguard-files/{uuid.uuid4().hex}"
+
+
+def register_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
+    """Parquet tables of a folder as views, for spark.sql()."""
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+
+
 def read_terms(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(TERMS).json(f"{folder}/terms")
 
@@ -36,12 +70,13 @@ def write_release(terms: DataFrame, folder: str, version: str) -> dict:
     """terms (as nested_terms() makes them), the user dictionary, and the manifest with counts and content digests."""
     ordered = terms.orderBy("term_id")
     ordered.write.mode("errorifexists").json(f"{folder}/terms", ignoreNullFields=True)
-    user_dictionary(terms).write.mode("errorifexists").csv(f"{folder}/user_dict", sep="\t")
+    forms = user_dictionary(terms)
+    forms.write.mode("errorifexists").csv(f"{folder}/user_dict", sep="\t")
     counts = release_counts(terms).first()
-    digest = terms.select(F.sha2(F.to_json(F.struct("*")), 256).alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256)).first()[0]
+    digest = lambda rows: rows.select(F.sha2(F.to_json(F.struct("*")), 256).alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256)).first()[0]
     manifest = {
         "release_version": version, "contract_version": CONTRACT_VERSION, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "normalizer_code_version": NORMALISER_VERSION,
-        "term_count": counts["term_count"], "variant_count": counts["variant_count"], "checksums": {"terms": digest},
+        "term_count": counts["term_count"], "variant_count": counts["variant_count"], "checksums": {"terms": digest(terms), "user_dict": digest(forms)},
     }
     terms.sparkSession.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
     return manifest
@@ -69,7 +104,7 @@ def read_user_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(form, tag, score); blank lines and comments are left out, the tag is NNP unless given."""
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     parts = F.split("value", "\t")
-    return lines.select(F.trim(F.get(parts, F.lit(0))).alias("form"), F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), F.lit("NNP")).alias("tag"), F.get(parts, F.lit(2)).cast("double").alias("score"))
+    return lines.select(F.trim(F.get(parts, F.lit(0))).alias("form"), F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), F.lit("NNP")).alias("tag"), F.get(parts, F.lit(2)).try_cast("double").alias("score"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -79,11 +114,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_candidates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a file: path, c, dedup_key, signal_score, errors; unreadable files and broken rules are errors, not failures.
 
-    Folders are searched through for *.json in order of path.
+    Folders are searched through for *.json; a file that is named counts whatever its ending. In order of path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(paths)
-    parsed = curation.parse(files.select("path", F.decode("content", "UTF-8").alias("json")))
-    errors = F.when(F.col("parse_error").isNotNull(), F.array("parse_error")).otherwise(curation.validation_errors(F.col("c")))
+    given = [paths] if isinstance(paths, str) else list(paths)
+    is_folder = {p: bool(fs.getFileStatus(at).isDirectory()) for p in given for at, fs in [_path(spark, p)] if fs.exists(at)}
+    binary = lambda: spark.read.format("binaryFile")
+    found = []
+    if folders := [p for p, yes in is_folder.items() if yes]:
+        found.append(binary().option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folders))
+    if named := [p for p, yes in is_folder.items() if not yes]:
+        found.append(binary().load(named))
+    missing = spark.createDataFrame([(p,) for p in given if p not in is_folder], "path string").select("path", F.lit(None).cast("string").alias("json"))
+    read = missing
+    for f in found:
+        read = read.unionByName(f.select("path", F.decode("content", "UTF-8").alias("json")))
+    parsed = curation.parse(read)
+    errors = F.when(F.col("json").isNull(), F.array(F.lit("no such file"))).when(F.col("parse_error").isNotNull(), F.array("parse_error")).otherwise(curation.validation_errors(F.col("c")))
     return parsed.select("path", "c", curation.dedup_key(F.col("c")).alias("dedup_key"), curation.signal_score(F.col("c.payload")).alias("signal_score"), errors.alias("errors")).orderBy("path")
 
 
@@ -101,3 +147,16 @@ def read_model(spark: SparkSession, path: str) -> Model:
         raise ValueError("model made for other features")
     weights = row.select(F.explode("weights").alias("k", "w")).select(F.col("k").cast("long").alias("idx"), "w")
     return Model(weights, head["bias"], head["temperature"])
+
+
+MODEL_VARIABLE = "LEXIGUARD_CONTEXT_MODEL"
+
+
+def context_model(spark: SparkSession, path: str | None = None) -> Dense | None:
+    """The classifier for the check: of the path, which must exist, else of the one that MODEL_VARIABLE names, if it exists; else none."""
+    if path is not None:
+        if not exists(spark, path):
+            raise ValueError(f"no model at {path}")
+        return read_model(spark, path).dense()
+    named = os.environ.get(MODEL_VARIABLE)
+    return read_model(spark, named).dense() if named and exists(spark, named) else None

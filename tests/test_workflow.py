@@ -1,17 +1,20 @@
 """Variants, classifier, curation, releases, evaluation, files and the stream."""
 
 import json
+import threading
+import urllib.request
 from datetime import date
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiguard.functions import text as tx
-from lexiguard.operators import classifier, curation, evaluate, release, variants
+from lexiguard.operators import classifier, curation, evaluate, release, variants, workflow
 from lexiguard.operators.detect import Entry, Lexicon
-from lexiguard.plans import queries, similar
+from lexiguard.plans import check, queries, similar
 from lexiguard.sources import files
 from lexiguard.streaming import check as stream
 
@@ -85,7 +88,7 @@ def test_plans_of_candidates(spark):
     plan = curation.term_plan(c.where("id = 1"))
     assert {k: v.count() for k, v in plan.items()} == {"term": 1, "evidence": 2, "category": 1, "rule": 0, "incident": 1}
     assert plan["term"].first().status == "in_review" and str(plan["incident"].first().occurred_at) == "2020-01-01"
-    assert {k: v.count() for k, v in curation.other_plans(c).items()} == {"variant": 2, "marker": 1, "incident": 2, "deprecation": 1}
+    assert {k: v.count() for k, v in curation.other_plans(c).items()} == {"variant": 3, "marker": 2, "incident": 3, "deprecation": 1}
 
 
 def test_approval_and_rejection(spark):
@@ -161,3 +164,67 @@ def test_stream_answers_each_text_once(spark, tmp_path):
         q.awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted(r.doc_id for r in out) == [0, 1, 2] and all(json.loads(r.response)["matches"] for r in out)
+
+
+def test_dense_scores_are_those_of_the_features(spark):
+    texts = ["", "a", "ab", "the 'code' word", "code code 표현 규탄", "  spaced\nout  ", "수준 “code”", "é😀x"]
+    df = spark.createDataFrame([(i, t, "code") for i, t in enumerate(texts)], "id long, text string, surface string")
+    weights = spark.range(classifier.DIM + 5).select(F.col("id").alias("idx"), (((F.col("id") % 13) - 6) / F.lit(10.0)).alias("w"))
+    model = classifier.Model(weights, 0.1, 0.8)
+    dense = model.dense()
+    for r in model.score(df).collect():
+        assert abs(r.score - dense.scores(texts[r.id], ["code"])[0]) < 1e-9, texts[r.id]
+
+
+def test_the_check_takes_a_models_scores(spark):
+    lexicon = Lexicon((Entry(1, "code", (("code", None),), ambiguity="ambiguous", severity=5), Entry(2, "word", (("word", None),), severity=5)))
+    df = spark.createDataFrame([(1, "code word"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    weights = np.zeros(classifier.DIM + 5)
+    sure, unsure = ({r.term_id: r for r in check.check(df, lexicon, {"quotation": False}, model=classifier.Dense(weights, b)).collect()} for b in (4.0, 0.1))
+    assert sure[1].context_score > 0.95 and sure[1].flags == [] and sure[1].usage_recommendation == "revise_recommended"
+    assert unsure[1].flags == ["context_low_confidence"] and unsure[1].usage_recommendation == "review_recommended" and unsure[2].context_score == 1.0 and unsure[2].flags == []
+
+
+def test_the_service_answers(spark, tmp_path, monkeypatch):
+    lexicon = Lexicon((Entry(1, "code", (("code", None),), severity=5),), "2026.01.01-1")
+    service = check.Service(spark, lexicon)
+    status, body = service.answer("/v1/check/text", json.dumps({"text": "a code"}).encode())
+    assert status == 200 and json.loads(body)["matches"][0]["surface"] == "code" and json.loads(body)["debug"]["timings_ms"]["total"] > 0
+    assert [service.answer(*x)[0] for x in (("/other", b"{}"), ("/v1/check/text", b"{"), ("/v1/check/text", b'{"text": 1}'), ("/v1/check/text", b"[]"))] == [404, 422, 422, 422]
+    assert check.Service(spark, None).answer("/v1/check/text", b'{"text": "a"}')[0] == check.UNAVAILABLE
+    server = service.serve()
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/v1/check/text", b'{"text": ""}') as r:
+        assert json.load(r)["overall_recommendation"] == "none"
+    server.server_close()
+    monkeypatch.delenv(files.MODEL_VARIABLE, raising=False)
+    assert files.context_model(spark) is None
+    with pytest.raises(ValueError, match="no model"):
+        files.context_model(spark, f"{tmp_path}/gone")
+    monkeypatch.setenv(files.MODEL_VARIABLE, f"{tmp_path}/gone")
+    assert files.context_model(spark) is None
+
+
+def test_decisions_on_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, reviewer string, done array<boolean>")
+    tables, outcomes = workflow.approve({}, none)
+    assert outcomes.count() == 0 and all(t.count() == 0 for t in tables.values()) and set(tables) == set(workflow.SCHEMAS)
+    assert workflow.approve({}, spark.createDataFrame([(1, "ann", None)], none.schema))[1].collect()[0].outcome == "unknown"
+
+
+def test_reports_as_markdown(spark):
+    df = spark.createDataFrame([(1, "a|b"), (2, None), (3, "c")], "id int, t string").coalesce(1)
+    assert evaluate.markdown(df, "T") == "# T\n\n| id | t |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n| 3 | c |\n"
+    assert evaluate.markdown(df, "T", 1).endswith("Only the first rows are shown.\n")
+
+
+def test_near_vectors_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "REFERENCE_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 4))
+    rows = [(i, [float(x) for x in np.float32(r)]) for i, r in enumerate(v)] + [(100, [0.0] * 4), (101, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(60) for j in range(0, 60, 5) if i != j and unit[i] @ unit[j] >= 0.8}
+    got = similar.near_vectors(df, df.where("vec_id % 5 = 0"), 0.8).collect()
+    assert {(r.vec_id, r.ref_id) for r in got} == want and all(abs(r.similarity - unit[r.vec_id] @ unit[r.ref_id]) < 1e-5 for r in got)
