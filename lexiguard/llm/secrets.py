@@ -39,6 +39,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
+_SIGNED_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
 _SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 
@@ -95,6 +96,9 @@ def find(text: str | None, keywords: ahocorasick.Automaton) -> tuple[list[Span],
             m = _SIGNED.match(text, at)
             if m and _signed_header(m[1]):
                 added.append((kind, *m.span()))
+            elif not m and (run := _SIGNED_RUN.match(text, at)):
+                # No later start in this run does better.
+                past[kind] = run.end()
         if m:
             past[kind] = m.end()
     by_start = lambda x: (x[1], _ORDER[x[0]], x[2])

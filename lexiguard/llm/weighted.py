@@ -18,9 +18,11 @@ a1 is needed, and its rank is the hash itself.
 A sample (term, t) has one a, so it is kept as TAG_BITS bits of a hash of both; so unlike samples agree with a chance of 2 to
 the power of -TAG_BITS.
 
-Neighbours in descending doc_id order are found in ranges of ids. Each range
-gets the first text of the following range as a last row, so no task sees more
-than a range. Null ids come last; equal ids are in order of their texts.
+Neighbours in descending doc_id order are found in ranges of ids, which end at
+quantiles of the ids, so gaps between ids do not matter. Each range gets the
+first text of the following range as a last row, so no task sees more than a
+range. Null ids come last; equal ids are in order of a hash of their texts, then
+of the texts, and many rows of one id, or of none, have ranges of that hash.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SAMPLES = 64
 TAG_BITS = 20
 #: Least number of rows in a range of ids; beyond, ranges hold about as many rows as there are ranges.
 RANGE_ROWS = 256
+#: Quantiles that bound ranges, and ids that have ranges of their own because each has more than this part of all rows; ranges between two of them are of equal width.
+BOUNDS = 1000
 _A_BITS = 63 - TAG_BITS
 
 
@@ -72,22 +76,48 @@ def _samples(h: Column, log_weight: Column) -> list[Column]:
     return out
 
 
+def _parts(base: DataFrame, n: int) -> Column:
+    """A number for the range of a row (doc_id, h), growing with descending ids, nulls last, then with h."""
+    size = max(RANGE_ROWS, math.isqrt(n))
+    ranges = max(1, n // size)
+    steps = min(BOUNDS, ranges)
+    low, high, cuts = base.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / steps for i in range(1, steps)] or [0.5], 10_000)).first()
+    many = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(size, n // BOUNDS)).collect()
+    rows_of = {r["doc_id"]: -(-r["n"] // size) for r in many}
+    if low is None:
+        low = high = 0
+    bounds = sorted({max(low - 1, -(2**63)), min(high + 1, 2**63 - 1), *(cuts or ()), *(i for i in rows_of if i is not None)}, reverse=True)
+    own = sorted(((i, k) for i, k in rows_of.items() if i is not None), reverse=True)
+    within = -(-ranges // steps)
+    wide = max([within, *rows_of.values()]) + 1
+    table, id_ = F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("doc_id").cast("long")
+    above = F.size(F.filter(table, lambda b: b > id_))
+    upper, lower = F.get(table, above - 1).cast("double"), F.get(table, above).cast("double")
+    by_id = F.coalesce(F.least(F.floor((upper - id_.cast("double")) / (upper - lower) * F.lit(within)), F.lit(within - 1)), F.lit(0)).cast("long")
+    share = F.shiftrightunsigned("h", 1).cast("double") / F.lit(2.0**63)
+    by_hash = lambda k: F.least(F.floor(share * F.lit(k)), F.lit(k - 1)).cast("long")
+    part = above.cast("long") * 2 * wide + by_id
+    if own:
+        ids, ks = F.array(*(F.lit(i).cast("long") for i, _ in own)), F.array(*(F.lit(k) for _, k in own))
+        at = F.array_position(ids, F.col("doc_id").cast("long"))
+        part = F.when(at > 0, (above.cast("long") * 2 + 1) * wide + F.least(F.floor(share * F.get(ks, (at - 1).cast("int"))), F.get(ks, (at - 1).cast("int")) - 1).cast("long")).otherwise(part)
+    return F.when(F.col("doc_id").isNull(), F.lit((len(bounds) + 1) * 2 * wide).cast("long") + by_hash(rows_of.get(None, 1))).otherwise(part)
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """part, at (place in it), doc_id, t, n, and of the following document next_t, next_part, next_at."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = max(1, n // max(RANGE_ROWS, math.isqrt(n)))
-    low, high = (low, high) if low is not None else (0, 0)
-    width = (high - low) // ranges + 1
-    part = F.coalesce(((F.lit(high).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"), F.lit(ranges + 1).cast("long"))
-    rows = base.select(part.alias("part"), "doc_id", "t", F.lit(False).alias("guest"), F.lit(None).cast("long").alias("home"))
-    # One row a range, so a task can hold them: about the square root of the number of rows.
-    heads = rows.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("o"), "t")).alias("head"))
+    # Upper bits of the hash are compared as a number without sign.
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    part = _parts(base, int(base.agg(F.count(F.lit(1))).first()[0]))
+    place = F.shiftrightunsigned("h", 1)
+    rows = base.select(part.alias("part"), "doc_id", place.alias("h"), "t", F.lit(False).alias("guest"), F.lit(None).cast("long").alias("home"))
+    first = rows.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("o"), "h", "t")).alias("head"))
+    # Only the ranges' numbers pass one task, about the square root of the number of rows.
     in_order = Window.orderBy("part")
     everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = F.coalesce(F.lead(F.struct("part", "head")).over(in_order), F.first(F.struct("part", "head")).over(everything))
-    guests = heads.select("part", follows.alias("f")).select("part", (-F.col("f.head.o")).alias("doc_id"), F.col("f.head.t").alias("t"), F.lit(True).alias("guest"), F.col("f.part").alias("home"))
-    w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "t")
+    chain = rows.select("part").distinct().select("part", F.coalesce(F.lead("part").over(in_order), F.first("part").over(everything)).alias("home"))
+    guests = chain.join(first.withColumnRenamed("part", "home"), "home").select("part", (-F.col("head.o")).alias("doc_id"), F.col("head.h").alias("h"), F.col("head.t").alias("t"), F.lit(True).alias("guest"), "home")
+    w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "h", "t")
     placed = rows.unionByName(guests).withColumn("at", F.row_number().over(w)).withColumn("next", F.lead(F.struct("t", "home")).over(w)).where("NOT guest")
     return placed.select("part", "at", "doc_id", "t", F.length("t").alias("n"), F.col("next.t").alias("next_t"), F.coalesce("next.home", "part").alias("next_part"), F.when(F.col("next.home").isNotNull(), F.lit(1)).otherwise(F.col("at") + 1).alias("next_at"))
 

@@ -257,6 +257,22 @@ def test_fingerprints_estimate_similarity(spark):
     assert weighted.fingerprints(docs_of(spark, [(None, "a"), (3, "b"), (3, "b"), (3, "c")])).count() == 4
 
 
+@pytest.mark.parametrize("ids", [list(range(900)), [5] * 500 + [10**15] + list(range(-200, 199)), [None] * 400 + [7] * 300 + [9_223_372_036_854_775_807, -9_223_372_036_854_775_807] * 100])
+def test_following_documents_in_any_spread_of_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 8)
+    rng = random.Random(17)
+    rows = [(i, f"t{rng.randrange(10**9)}") for i in ids]
+    rng.shuffle(rows)
+    placed = weighted._with_next(docs_of(spark, rows)).collect()
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    following = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    assert {(r.doc_id, r.t): r.next_t for r in placed} == following
+    by_place = {(r.part, r.at): r.t for r in placed}
+    assert all(by_place[r.next_part, r.next_at] == r.next_t for r in placed)
+    assert max(Counter(r.part for r in placed).values()) <= 120
+
+
 def plain_leaks(rows, items, threshold=0.8):
     """The best window of each document and item by looking at all of them, with shingles as strings."""
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
