@@ -40,11 +40,23 @@ LEAST_MATCHES = 28
 PERCENT = 85
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63 - 1, size=(2, SIGNATURE), dtype=np.uint64)
-_MULTIPLY = _SEEDS[0] | np.uint64(1)
-_ADD = _SEEDS[1]
+_MULTIPLY = (_SEEDS[0] >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+_ADD = (_SEEDS[1] >> np.uint64(31)).astype(np.uint32)
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+class Digests(dict):
+    """Words' hashes, made when first asked for; it forgets all when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        digest = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+def shingle_hashes(text: str | None, digests: Digests | None = None) -> np.ndarray:
     """The sorted set of a text's shingles as 64-bit hashes; A-Z are lower-cased, and words end at blanks and ASCII controls from tab to return."""
     # bytes.split() without arguments splits at exactly these six characters, and UTF-8 has them in no longer sequence.
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -52,8 +64,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], dtype=np.uint64)
+    digests = Digests() if digests is None else digests
+    h = np.fromiter(map(digests.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(words) - SHINGLE + 1
     mixed = np.zeros(n, dtype=np.uint64)
     for i in range(SHINGLE):
@@ -63,18 +75,20 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least 32-bit value of each of SIGNATURE hash functions over the set."""
+    """The least value of each of SIGNATURE 32-bit hash functions over the upper halves of the set."""
     out = np.full(SIGNATURE, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096, None] * _MULTIPLY[None, :]
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), 512):
+        part = upper[at : at + 512, None] * _MULTIPLY[None, :]
         part += _ADD[None, :]
-        np.minimum(out, (part >> np.uint64(32)).astype(np.uint32).min(axis=0), out=out)
+        np.minimum(out, part.min(axis=0), out=out)
     return out
 
 
 def _sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+    digests = Digests()
     for doc_id, text in rows:
-        h = shingle_hashes(text)
+        h = shingle_hashes(text, digests)
         if len(h):
             d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
             yield doc_id, len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), signature(h).astype("<u4").tobytes()
@@ -147,8 +161,9 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = lists.join(several, "key").select("rep").distinct()
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        digests = Digests()
         for rep, text in rows:
-            h = shingle_hashes(text)
+            h = shingle_hashes(text, digests)
             yield rep, signature(h).astype("<u8").tobytes(), h.tobytes()
 
     # Hashing the small side spares sorting whole texts. Of the texts with the class's id one is of the class, or else any of them is.
