@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiguard.llm.common import join_spread, map_rows, written
+from lexiguard.llm.common import discard, join_spread, map_rows, written
 from lexiguard.llm.components import components
 
 #: Members that are compared with one head in one group.
@@ -120,7 +120,7 @@ def _cluster(least: int, fits: Fits):  # noqa: ANN202
 def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataFrame:
     """Links (a, b). members: rep (long; of several rows with one each counts), keys, body (binary, 64-bit numbers); lists: (key, rep) of the keys to meet in.
 
-    Both are read several times, so they should be written tables.
+    Both are read several times, so they should be written tables. The result is a written one, so they may go then.
     """
     size = (F.length("body") / 8).cast("long")
     first = lists.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
@@ -136,6 +136,8 @@ def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataF
     labelled = lists.join(components(near), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("rep").alias("b"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key", "b")
     rest = written(labelled.join(mixed, "key"))
+    if rest.isEmpty():
+        return near
     tied = components(rest.where("rep <> b").select(F.col("rep").alias("a"), "b"))
     open_ = rest.groupBy("rep").agg(F.min("label").alias("label"), F.collect_list("key").alias("listed"))
     sized = written(open_.join(tied, F.col("rep") == F.col("node")).join(members.select("rep", size.alias("n")), "rep").select("rep", "label", "listed", "n", F.col("component").alias("cluster")))
@@ -148,4 +150,7 @@ def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataF
     side = F.signum(F.col("block") - F.col("other")).cast("int")
     spread = spread.select("cluster", pair.alias("pair"), side.alias("side"), "rep", "label", "keys", "listed", "body")
     ordered = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "rep")
-    return near.unionByName(written(map_rows(ordered, ["cluster", "pair", "side", "rep", "label", "keys", "listed", "body"], _cluster(least, fits), _LINKS)))
+    more = written(map_rows(ordered, ["cluster", "pair", "side", "rep", "label", "keys", "listed", "body"], _cluster(least, fits), _LINKS))
+    for done in (best, rest, sized, blocks, tied):
+        discard(done)
+    return near.unionByName(more)

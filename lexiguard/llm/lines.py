@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiguard.llm import collide, near
-from lexiguard.llm.common import join_spread, map_rows, written
+from lexiguard.llm.common import discard, join_spread, map_rows, written
 from lexiguard.llm.components import components
 
 LEADING = 3
@@ -97,7 +97,9 @@ def _templates(distinct: DataFrame) -> DataFrame:
     members = written(map_rows(distinct, ["leaf", "form", "masked"], _parts, "rep long, keys binary, body binary, parts array<bigint>"))
     lists = written(members.select("rep", F.explode("parts").alias("key")))
     joined = components(collide.links(members.drop("parts"), lists, 1, of_one_template))
-    return written(joined.select(F.col("node").alias("form"), F.col("component").alias("template")))
+    discard(members)
+    discard(lists)
+    return joined.select(F.col("node").alias("form"), F.col("component").alias("template"))
 
 
 def _chosen(positions: Column) -> Column:
@@ -154,12 +156,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lines = F.zip_with("wanted", found, lambda w, x: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(x).alias("masked")))
     distinct = texts.select(F.explode(lines).alias("m")).select("m.*")
     named = shared.join(_templates(distinct), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
-    per = written(named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("pos")).alias("positions")))
-    wide = written(per.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
-    per = written(join_spread(per, wide.withColumn("n_here", F.col("n_docs")), "template", "n_here", "left"))
+    counted = written(named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("pos")).alias("positions")))
+    wide = written(counted.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
+    per = written(join_spread(counted, wide.withColumn("n_here", F.col("n_docs")), "template", "n_here", "left"))
     votes = per.where("n_docs IS NOT NULL").select("template", "k").join(_copies(keyed, per, all_of), "k").select("template", "vote").distinct()
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= min_docs).select("template")
     recurring = written(recurring.join(wide, "template"))
+    for done in (table, leaves, shared, counted, wide):
+        discard(done)
     lost = join_spread(per.select("k", "template", "positions"), recurring, "template", "n_docs")
     return lost.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiguard.llm import collide
-from lexiguard.llm.common import join_spread, map_rows, written
+from lexiguard.llm.common import discard, join_spread, map_rows, written
 from lexiguard.llm.components import components
 
 SHINGLE = 5
@@ -169,7 +169,10 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     # Hashing the small side spares sorting whole texts. Of the texts with the class's id one is of the class, or else any of them is.
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
     members = written(map_rows(texts, ["rep", "text"], sets, "rep long, keys binary, body binary"))
-    return collide.links(members, lists, LEAST_MATCHES, _alike(percent))
+    links = collide.links(members, lists, LEAST_MATCHES, _alike(percent))
+    for done in (posts, lists, members):
+        discard(done)
+    return links
 
 
 def keep_one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

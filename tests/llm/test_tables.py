@@ -187,7 +187,9 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
