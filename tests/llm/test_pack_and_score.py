@@ -2,7 +2,10 @@
 
 import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +118,40 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Scores and leaks from a folder in which workers cannot import the package."""
+    repo = Path(__file__).resolve().parents[2]
+    (tmp_path / "run.py").write_text(f"""
+import sys
+sys.path.append({str(repo)!r})
+from pyspark.sql import SparkSession
+from lexiguard.llm import decontaminate, toxicity
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(i, "nasty one" if i % 2 else "plain one two three four five") for i in range(40)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+print("rows", toxicity.score_documents(docs, labels).count(), toxicity.drop_toxic(docs, labels).count(), decontaminate.find_leaks(docs, items).count(), decontaminate.drop_leaks(docs, items).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 40 20 20 20" in out.stdout, out.stderr[-2000:]
+
+
+def test_scores_do_not_depend_on_ids(spark):
+    rng = random.Random(6)
+    texts = [f"{rng.choice(['plain', 'calm'])} words {rng.choice('abc')} here" for _ in range(40)] + [f"nasty {rng.choice(['mean', 'rude'])} words" for _ in range(40)]
+    scores = []
+    for shift in (0, 7_000_000):
+        # Ids whose remainder keeps every row in the sample.
+        ids = [i for i in range(shift, shift + 1000) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+        order = ids if not shift else ids[::-1]
+        docs = spark.createDataFrame(list(zip(order, texts, strict=True)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(t.startswith("nasty"))) for i, t in zip(order, texts, strict=True)], "doc_id long, toxic int")
+        scored = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+        scores.append([round(scored[i], 12) for i in order])
+    assert scores[0] == scores[1]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_stages_on_their_own_inputs(spark):
     import corpus_pipeline
@@ -151,3 +188,22 @@ def test_pipeline_catches_what_was_planted(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r[0]: r[1] for r in corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.max("doc_tokens")).collect()}
     assert set(kept) == set(range(60)) | set(range(200, 205)) | {300}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    long = prose(30_000)
+    rows = [(1, None), (2, ""), (3, " \n\t"), (None, prose(40)), (5, long), (6, long), (7, "same words stay here now"), (7, "same words stay here now"), (8, prose(50)), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k string, template long, rep long"
+    docs = spark.createDataFrame([(i, t, None, None, None, "k", 1, 2) for i, t in rows], schema)
+    for name, df in (("full", docs), ("empty", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(8, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x y"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/full").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    # Blank documents stay, of the copies the first one does; rows that share an id stay together.
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3, 5, 7, 8}
+    assert {r.doc_id: r.n for r in packed}[1] == 1 and corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
