@@ -153,6 +153,17 @@ def fnv_index(namespace: Column, token: Column) -> Column:
     return h.bitwiseAND(F.lit(262143).cast("long"))
 
 
+#: Keys that may be sent to all executors to be looked for one by one.
+MOST_KEYS = 10_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """keys, if they are few enough to be sent to all executors; else an error."""
+    if keys.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys: use an automaton")
+    return keys
+
+
 def quoted(literal: Column) -> Column:
     """A regular expression that matches the literal."""
     return F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

@@ -180,11 +180,23 @@ def confusion_metrics(scored: DataFrame, at: float = 0.5) -> DataFrame:
     return s.select(*(F.bround(v, 4).alias(k) for k, v in out.items()))
 
 
+#: Quantiles that cut the scores into ranges.
+RANGES = 1000
+
+
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the curve by mean ranks of ties; NaN with one class. Scores are summed up by value first, so ties never gather."""
+    """Area under the curve by mean ranks of ties; NaN with one class.
+
+    Scores are summed up by value first, so ties never gather, and ranked in
+    ranges between quantiles, so no task orders them all.
+    """
     by_score = scored.groupBy("score").agg(F.sum(F.when(F.col("label") == 1, 1.0).otherwise(0.0)).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    lower = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = by_score.select("pos", "n", (lower + (F.col("n") + 1) / 2).alias("rank"))
+    cuts = by_score.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts"))
+    placed = by_score.crossJoin(F.broadcast(cuts)).select("score", "pos", "n", F.size(F.filter("cuts", lambda c: c < F.col("score"))).alias("range"))
+    totals = placed.groupBy("range").agg(F.sum("n").alias("here"))
+    before = totals.select("range", F.coalesce(F.sum("here").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = placed.withColumn("lower", lower).join(F.broadcast(before), "range").select("pos", "n", (F.col("before") + F.col("lower") + (F.col("n") + 1) / 2).alias("rank"))
     s = ranked.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).otherwise(F.lit(math.nan)).alias("auc"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexiguard.functions.text import normalise_fast, occurrences, plain_characters
+from lexiguard.functions.text import bounded, normalise_fast, occurrences, plain_characters
 from lexiguard.operators.classifier import Dense
 
 SAFE_WINDOW = 20
@@ -234,8 +234,8 @@ def scan(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bo
 
 
 def scan_literal_keys(docs: DataFrame, id_col: str, text: Column, keys: DataFrame) -> DataFrame:
-    """(id, key columns, pos) of every occurrence. keys: key (not empty) and any further columns; small, so it is sent to all executors."""
-    joined = docs.select(id_col, text.alias("norm")).join(F.broadcast(keys), F.contains(F.col("norm"), F.col("key")))
+    """(id, key columns, pos) of every occurrence. keys: key (not empty) and any further columns, MOST_KEYS of them at most, which are sent to all executors; beyond, scan() has no limit."""
+    joined = docs.select(id_col, text.alias("norm")).join(F.broadcast(bounded(keys)), F.contains(F.col("norm"), F.col("key")))
     return joined.select(id_col, *keys.columns, F.explode(occurrences(F.col("norm"), F.col("key"))).alias("pos"))
 
 

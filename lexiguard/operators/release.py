@@ -21,7 +21,7 @@ def eligible(term: DataFrame) -> DataFrame:
 
 def nested_terms(term: DataFrame, term_category: DataFrame, category: DataFrame, variant: DataFrame, rule: DataFrame) -> DataFrame:
     """The artifact's rows: eligible terms with sorted category codes, verified variants and active rules by id; empty arrays where there are none."""
-    codes = term_category.join(F.broadcast(category.select("category_id", "code")), "category_id").groupBy("term_id").agg(F.array_sort(F.collect_list("code")).alias("categories"))
+    codes = term_category.join(category.select("category_id", "code"), "category_id").groupBy("term_id").agg(F.array_sort(F.collect_list("code")).alias("categories"))
     kept = variant.where("verified").groupBy("term_id").agg(F.array_sort(F.collect_list(F.struct("variant_id", F.col("variant").alias("surface"), native_normalise(F.col("variant")).alias("normalized_key"), "variant_kind"))).alias("vs"))
     rules = rule.where("status = 'active'").groupBy("term_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "trigger_kind", "trigger_terms", "trigger_pattern", "proximity_window", "base_severity", "severity_delta"))).alias("rs"))
     joined = eligible(term).join(codes, "term_id", "left").join(kept, "term_id", "left").join(rules, "term_id", "left")

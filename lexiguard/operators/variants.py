@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
-from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, hangul_letters, native_normalise
+from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, bounded, hangul_letters, native_normalise
 
 #: The letters and signs that stand for a round initial and for an upright vowel.
 ROUND_INITIAL, ROUND_SIGNS = "ㅇ", ("0", "o")
@@ -80,9 +80,9 @@ def generate(surfaces: DataFrame, column: str = "surface") -> DataFrame:
 
 
 def collisions(variants: DataFrame, common_words: DataFrame) -> DataFrame:
-    """variants with hits: the common words (column word) of the same key, in order. The word list is a small reference table."""
+    """variants with hits: the common words (column word) of the same key, in order."""
     words = common_words.select(native_normalise(F.col("word")).alias("key"), "word").groupBy("key").agg(F.array_sort(F.collect_set("word")).alias("hits"))
-    return variants.join(F.broadcast(words), F.col("normalized_key") == F.col("key"), "left").drop("key").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    return variants.join(words, F.col("normalized_key") == F.col("key"), "left").drop("key").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
 
 def classify(variants: DataFrame, common_words: DataFrame, surface_key: str = "surface_key") -> DataFrame:
@@ -118,15 +118,13 @@ def key_ambiguity(words: DataFrame, key) -> DataFrame:  # noqa: ANN001
     return groups.withColumn("place", rank).where(F.col("place") <= TOP_GROUPS)
 
 
-__all__ = ["classify", "collision_rates", "collisions", "generate", "key_ambiguity", "leet_forms", "loadable", "variants_of"]
-
-
 def fuzzy_keys(words: DataFrame, keys: DataFrame, most: int = 1) -> DataFrame:
-    """(word, key, distance) for words within so many letter edits of a key, equal ones left out. keys is a lexicon's short list.
+    """(word, key, distance) for words within so many letter edits of a key, equal ones left out. keys is a lexicon's short list, of MOST_KEYS at most.
 
     A pair within `most` edits shares one of most + 1 equal parts of the key, so
     only words that contain one are compared.
     """
+    keys = bounded(keys)
     norm = words.select("word", native_normalise(F.col("word")).alias("norm"))
     size = F.ceil(F.length("key") / (most + 1)).cast("int")
     parts = keys.select("key", F.explode(F.array_distinct(F.array(*(F.substring(F.col("key"), size * i + 1, size) for i in range(most + 1))))).alias("part")).where("part <> ''")
