@@ -294,7 +294,7 @@ b AS (SELECT term_id, coalesce(cs, []) AS cs, list_filter(coalesce(cs, []), lamb
 SELECT term_id, len(cs) > 0 AND len(bad) = 0 AS passes, array_to_string(bad, ',') AS blocking, CASE WHEN list_contains(cs, 'share_alike') THEN 'CC BY-SA 4.0' ELSE '자체' END AS effective_license,
 CASE WHEN len(cs) = 0 OR len(bad) > 0 THEN 'restricted_eval_only' WHEN list_contains(cs, 'share_alike') THEN 'share_alike_core' ELSE 'permissive_core' END AS provenance_class FROM b""")
 def p11_license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.license_gate(EVIDENCE.df(spark))
+    return curation.license_gate(EVIDENCE.df(spark)).drop("reason")
 
 
 _TERM = '{"surface":"ABC 가","term_kind":"word","meaning":"m","origin_story":"o","severity":3,"ambiguity":"unambiguous","categories":["age"],"evidence":[{"url":"u","title":"t","source_type":"wiki","evidence_type":"origin","reliability":3},{"url":"u2","title":"t2","source_type":"news","evidence_type":"incident","reliability":2}],"negative_examples":["x"],"related_incidents":[{"title":"i","occurred_at":"2020","medium":"sns","source_url":"u"}]}'
