@@ -124,8 +124,9 @@ def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataF
     """
     size = (F.length("body") / 8).cast("long")
     first = lists.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    met = lists.join(first, "key").where("rep <> b")
-    best = met.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("o"))).alias("m"))
+    # Keys of one member alone are of no use from here on.
+    met = written(lists.join(first.hint("shuffle_hash"), "key").select("key", "rep", "b"))
+    best = met.where("rep <> b").groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("b")).alias("o"))).alias("m"))
     best = written(best.select("rep", (-F.col("m.o")).alias("head")))
     heads = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR_MEMBERS).cast("int").alias("parts"))
     rows = members.join(best.join(heads, "head").hint("shuffle_hash"), "rep").select("head", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(True).alias("is_member"), "rep", "keys", "body")
@@ -133,9 +134,11 @@ def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataF
     starred = rows.unionByName(centres).repartition("head", "part").sortWithinPartitions("head", "part", "is_member")
     near = written(map_rows(starred, ["head", "part", "is_member", "rep", "keys", "body"], _star(least, fits), _LINKS))
 
-    labelled = lists.join(components(near), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("rep").alias("b"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key", "b")
-    rest = written(labelled.join(mixed, "key"))
+    labelled = met.join(components(near).hint("shuffle_hash"), F.col("rep") == F.col("node"), "left").select("key", "rep", "b", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
+    rest = written(labelled.join(mixed.hint("shuffle_hash"), "key"))
+    for done in (met, best):
+        discard(done)
     if rest.isEmpty():
         return near
     tied = components(rest.where("rep <> b").select(F.col("rep").alias("a"), "b"))
@@ -151,6 +154,6 @@ def links(members: DataFrame, lists: DataFrame, least: int, fits: Fits) -> DataF
     spread = spread.select("cluster", pair.alias("pair"), side.alias("side"), "rep", "label", "keys", "listed", "body")
     ordered = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "rep")
     more = written(map_rows(ordered, ["cluster", "pair", "side", "rep", "label", "keys", "listed", "body"], _cluster(least, fits), _LINKS))
-    for done in (best, rest, sized, blocks, tied):
+    for done in (rest, sized, blocks, tied):
         discard(done)
     return near.unionByName(more)

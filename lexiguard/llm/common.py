@@ -80,15 +80,16 @@ def join_spread(rows: DataFrame, one: DataFrame, key: str, count: str = "n_rows"
     """rows joined with one, which has a row for each key and how many of rows have it, in the column count, which goes.
 
     Keys of more than a HOT-th of all rows, at most HOT of them, are sent to all
-    executors, so that no task gets all rows of such a key. Both are read
-    several times. Null keys match nothing.
+    executors, so that no task gets all rows of such a key. The others are
+    hashed, which spares sorting rows. Both are read several times. Null keys
+    match nothing.
     """
     total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     is_hot = F.col(count) > max(1000, total // HOT)
     hot, cold = one.where(is_hot).drop(count), one.where(~is_hot).drop(count)
     names = hot.select(F.col(key).alias("_lexiguard_hot"))
     spread = rows.join(F.broadcast(hot), key)
-    return spread.unionByName(rows.join(F.broadcast(names), F.col(key) == F.col("_lexiguard_hot"), "left_anti").join(cold, key, how))
+    return spread.unionByName(rows.join(F.broadcast(names), F.col(key) == F.col("_lexiguard_hot"), "left_anti").join(cold.hint("shuffle_hash"), key, how))
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType | str) -> DataFrame:

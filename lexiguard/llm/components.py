@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiguard.llm.common import discard, written
 
 #: Edges up to which a round is one task's work, with nothing to shuffle; more are dealt out. Both give the same.
-FEW_EDGES = 20_000
+FEW_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:

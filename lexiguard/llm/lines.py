@@ -6,8 +6,10 @@ In a leaf, lines are of one template if they agree, word by word, in at least
 ALIKE of their places, half of all places being no variables; or if a chain of
 such lines leads from one to the other. So neither the order of lines nor the
 size of a leaf has a say. Such lines are found through an index: of n places at
-most 0.3 n differ, so cut into one part more than that, they agree wholly in
-one part at least, which is its key. Equal lines fall together before that.
+most 0.3 n differ, none of them a leading one, so if the others are cut into one
+part more than that, lines agree wholly in one part at least, which is its key.
+The leading words are in no part, since all lines of a leaf would meet in it.
+Equal lines fall together before that.
 
 A template recurs if documents of at least MIN_DOCS groups have it. A group is
 a document with all its copies, so copies have one vote together and do not
@@ -43,46 +45,73 @@ ALIKE = 7
 MIN_DOCS = 3
 #: Share of a document's words from which a passage is left out when it is compared; below that, 0.85 alike is not in reach by it alone.
 DOMINANT = 0.9
-VARIABLE = "<*>"
+VARIABLE = b"<*>"
+_SIGNS = b"0123456789@"
+_NO_SIGNS = bytes(c for c in range(256) if c not in _SIGNS and c != 10)
+# Blanks that words may have between them besides single ones.
+_GAPS = (b"  ", b"\t", b"\r", b"\f", b"\v")
 # Columns that only live between two steps, under names that tables hardly have.
 _KEY, _HIT, _OLD = "_lexiguard_key", "_lexiguard_dropped", "_lexiguard_text"
 
 
 def _not_blank(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t\n\r\f\u000b")) != ""
+    # Most lines begin with a letter, so few are trimmed.
+    return (F.ascii(text) > 32) | (F.trim(text, F.lit(" \t\n\r\f\u000b")) != "")
 
 
-def _masked(line: Column) -> Column:
-    """Words of a line joined by single blanks, those with digits or an at sign made variables."""
-    # Only few lines have blanks in a row or tabs, so most are spared the expression.
-    odd = F.lit(False)
-    for gap in ("  ", "\t", "\r", "\f", "\u000b"):
-        odd = odd | F.contains(line, F.lit(gap))
-    words = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(F.trim(line))
-    return F.when(line.rlike("[0-9@]"), F.regexp_replace(words, r"[^ ]*[0-9@][^ ]*", VARIABLE)).otherwise(words)
+def _words(line: bytes) -> list[bytes]:
+    """Words of a line, those with digits or an at sign made variables."""
+    # bytes.split() without arguments splits at blanks and ASCII controls from tab to return.
+    return [VARIABLE if w.translate(None, _NO_SIGNS) else w for w in line.split()]
 
 
-def _line_columns(masked: Column, line: Column) -> list[Column]:
-    words = F.split(masked, " ")
-    bare = F.startswith(masked, F.lit(VARIABLE)) & (F.trim(F.replace(masked, F.lit(VARIABLE), F.lit(""))) == "")
-    return [
-        F.size(words).alias("n_words"),
-        F.when(bare, F.xxhash64(F.lit(1), line)).otherwise(F.xxhash64(F.size(words), F.substring_index(masked, " ", LEADING))).alias("leaf"),
-        F.when(bare, F.xxhash64(F.lit(2), line)).otherwise(F.xxhash64(F.lit(3), masked)).alias("form"),
-    ]
+def _signed(hashes: list[int]) -> list[int]:
+    return np.array(hashes, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Texts (k, text) to the places, numbers of words, leaves and forms of their lines that are not blank."""
+    hashed = xxhash.xxh64_intdigest
+    for k, text in rows:
+        if text is None:
+            continue
+        odd = any(gap in text for gap in _GAPS)
+        places, sizes, leaves, forms = [], [], [], []
+        for at, (line, signs) in enumerate(zip(text.split(b"\n"), text.translate(None, _NO_SIGNS).split(b"\n"), strict=True)):
+            masked = b" ".join(_words(line)) if odd or signs else line.strip(b" ")
+            if not masked:
+                continue
+            n = masked.count(b" ") + 1
+            if masked.startswith(VARIABLE) and not masked.replace(VARIABLE, b"").strip(b" "):
+                leaves.append(hashed(line, 1))
+                forms.append(hashed(line, 2))
+            else:
+                leaves.append(hashed(b" ".join(masked.split(b" ", LEADING)[:LEADING]), n + 2))
+                forms.append(hashed(masked, 3))
+            places.append(at)
+            sizes.append(n)
+        yield k, places, sizes, _signed(leaves), _signed(forms)
+
+
+class Codes(near.Digests):
+    """Codes of words, 0 for variables."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        return bytes(8) if word == VARIABLE else super().__missing__(word)
 
 
 def _parts(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Lines (leaf, form, masked words) with a code for each word, 0 for variables, and a key for each part."""
-    codes: dict[str, int] = {VARIABLE: 0}
-    for leaf, form, masked in rows:
-        if len(codes) > 500_000:
-            codes = {VARIABLE: 0}
-        words = np.array([codes[w] if w in codes else codes.setdefault(w, xxhash.xxh64_intdigest(w)) for w in masked.split(" ")], dtype="<u8")
-        n = len(words)
-        edges = [i * n // (n * (10 - ALIKE) // 10 + 1) for i in range(n * (10 - ALIKE) // 10 + 2)]
-        keys = [xxhash.xxh64_intdigest(words[a:b].tobytes(), (leaf ^ i) & 0xFFFFFFFF) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-        yield form, b"", words.tobytes(), np.array(keys, dtype=np.uint64).astype(np.int64).tolist()
+    """Texts (text, places, leaves, forms of wanted lines) to lines with a code for each word and a key for each part."""
+    codes = Codes()
+    for text, places, leaves, forms in rows:
+        lines = text.split(b"\n")
+        for at, leaf, form in zip(places, leaves, forms, strict=True):
+            body = codes.of(_words(lines[at])).tobytes()
+            n = len(body) // 8
+            rest, parts = n - LEADING, n * (10 - ALIKE) // 10 + 1
+            # Lines too short for that many parts all meet.
+            edges = [LEADING + i * rest // parts for i in range(parts + 1)] if rest >= parts else [n, n]
+            yield form, b"", body, _signed([xxhash.xxh64_intdigest(body[8 * a : 8 * b], (leaf ^ i) & 0xFFFFFFFFFFFFFFFF) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
 def of_one_template(a: np.ndarray, b: np.ndarray) -> bool:
@@ -92,9 +121,9 @@ def of_one_template(a: np.ndarray, b: np.ndarray) -> bool:
     return 10 * int(same.sum()) >= ALIKE * len(a) and 2 * int((same & (a != 0)).sum()) >= len(a)
 
 
-def _templates(distinct: DataFrame) -> DataFrame:
-    """(form, template) of lines (leaf, form, masked) that are of one template with others."""
-    members = written(map_rows(distinct, ["leaf", "form", "masked"], _parts, "rep long, keys binary, body binary, parts array<bigint>"))
+def _templates(texts: DataFrame) -> DataFrame:
+    """(form, template) of the wanted lines (text, places, leaves, forms) that are of one template with others."""
+    members = written(map_rows(texts, ["text", "places", "leaves", "forms"], _parts, "rep long, keys binary, body binary, parts array<bigint>"))
     lists = written(members.select("rep", F.explode("parts").alias("key")))
     joined = components(collide.links(members.drop("parts"), lists, 1, of_one_template))
     discard(members)
@@ -138,9 +167,9 @@ def _copies(texts: DataFrame, per: DataFrame, all_of: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k, positions) of the lines to drop; k is the hash of id and text."""
     keyed = docs.select(_key(), "text")
-    lines = keyed.select("k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(_not_blank(F.col("line"))).withColumn("masked", _masked(F.col("line")))
-    table = written(lines.select("k", "pos", *_line_columns(F.col("masked"), F.col("line"))))
+    raw = keyed.select("k", F.col("text").cast("binary").alias("text"))
+    lines = map_rows(raw, ["k", "text"], _line_rows, "k long, pos array<int>, n_words array<int>, leaf array<bigint>, form array<bigint>")
+    table = written(lines.select("k", F.inline(F.arrays_zip("pos", "n_words", "leaf", "form"))))
     doc = F.col("k")
     leaves = table.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g"), F.count(F.lit(1)).alias("n_rows")).where("a <> b")
     leaves = written(leaves.select("leaf", (F.col("f") != F.col("g")).alias("mixed"), "n_rows"))
@@ -151,11 +180,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k", "pos")).alias("at"))
     places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "form"))).alias("wanted"))
     # Hashing the small side spares sorting whole texts.
-    texts = keyed.join(places.hint("shuffle_hash"), "k")
-    found = _pick(F.split("text", "\n"), F.transform("wanted", lambda w: w.pos), True)
-    lines = F.zip_with("wanted", found, lambda w, x: F.struct(w.leaf.alias("leaf"), w.form.alias("form"), _masked(x).alias("masked")))
-    distinct = texts.select(F.explode(lines).alias("m")).select("m.*")
-    named = shared.join(_templates(distinct), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
+    texts = raw.join(places.hint("shuffle_hash"), "k").select("text", *[F.col(f"wanted.{c}").alias(name) for c, name in (("pos", "places"), ("leaf", "leaves"), ("form", "forms"))])
+    named = shared.join(_templates(texts).hint("shuffle_hash"), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
     counted = written(named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("pos")).alias("positions")))
     wide = written(counted.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
     per = written(join_spread(counted, wide.withColumn("n_here", F.col("n_docs")), "template", "n_here", "left"))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,16 +45,19 @@ _ADD = (_SEEDS[1] >> np.uint64(31)).astype(np.uint32)
 
 
 class Digests(dict):
-    """Words' hashes, made when first asked for; it forgets all when it has grown large."""
+    """Words' hashes, eight bytes each, made when first asked for; it forgets all when it has grown large."""
 
-    def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh64_intdigest(word)
+    def __missing__(self, word: bytes) -> bytes:
+        digest = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
         if len(word) <= 32:
             if len(self) >= 500_000:
                 self.clear()
             self[word] = digest
         return digest
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
+
 
 def shingle_hashes(text: str | None, digests: Digests | None = None) -> np.ndarray:
     """The sorted set of a text's shingles as 64-bit hashes; A-Z are lower-cased, and words end at blanks and ASCII controls from tab to return."""
@@ -65,13 +68,15 @@ def shingle_hashes(text: str | None, digests: Digests | None = None) -> np.ndarr
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], dtype=np.uint64)
     digests = Digests() if digests is None else digests
-    h = np.fromiter(map(digests.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = digests.of(words)
     n = len(words) - SHINGLE + 1
     mixed = np.zeros(n, dtype=np.uint64)
     for i in range(SHINGLE):
-        mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= h[i : i + n]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -79,9 +84,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     out = np.full(SIGNATURE, 0xFFFFFFFF, dtype=np.uint32)
     upper = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(upper), 512):
-        part = upper[at : at + 512, None] * _MULTIPLY[None, :]
-        part += _ADD[None, :]
-        np.minimum(out, part.min(axis=0), out=out)
+        part = _MULTIPLY[:, None] * upper[None, at : at + 512]
+        part += _ADD[:, None]
+        np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
@@ -96,12 +101,9 @@ def _sets(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield doc_id, 0, None, None, None
 
 
-def _keys(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """A class under a 64-bit key for each coordinate and its value."""
-    place = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)
-    for rep, sig in rows:
-        for key in (np.frombuffer(sig, dtype="<u4").astype(np.uint64) | place).astype(np.int64).tolist():
-            yield rep, key
+def _keys(sig: Column) -> Column:
+    """A 64-bit key for each coordinate of a signature and its value."""
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(sig, 4 * i + 1, 4)) for i in range(SIGNATURE)])
 
 
 def _alike(percent: int):  # noqa: ANN202
@@ -148,9 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough of them for the right components."""
-    posts = written(map_rows(classes, ["rep", "sig"], _keys, "rep long, key long"))
+    posts = classes.select("rep", F.explode(_keys(F.col("sig"))).alias("key"))
     common = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = posts.join(common, "key")
+    met = posts.join(common.hint("shuffle_hash"), "key")
     # Coordinates that nobody shares are the rarest ones, so they fill the prefix first.
     prefix = SIGNATURE - LEAST_MATCHES + 1
     by_rarity = Window.partitionBy("rep").orderBy("n", "key")
@@ -170,7 +172,7 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
     members = written(map_rows(texts, ["rep", "text"], sets, "rep long, keys binary, body binary"))
     links = collide.links(members, lists, LEAST_MATCHES, _alike(percent))
-    for done in (posts, lists, members):
+    for done in (lists, members):
         discard(done)
     return links
 

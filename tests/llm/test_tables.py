@@ -470,3 +470,23 @@ def test_a_document_of_very_many_lines(spark):
     rows += [(20 + i, "\n".join([*shared[40 * i : 40 * i + 40], " ".join(plain_words(rng, 70))])) for i in range(10)]
     out = {r.doc_id: r for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
     assert out[1].n_dropped == 10_000 and out[2].n_dropped == 20 and len(out[1].text.split("\n")) == 10_000
+
+
+def test_lines_of_a_leaf_do_not_all_meet():
+    rng = random.Random(23)
+    leaf = [["this", "page", "was", *plain_words(rng, 17)] for _ in range(300)]
+    edited = [list(w) for w in leaf]
+    for w in edited:
+        for at in rng.sample(range(3, 20), 6):
+            w[at] = "changed"
+    text = "\n".join(" ".join(w) for w in leaf + edited).encode()
+    keys = [set(r[3]) for r in lines._parts(iter([(text, list(range(600)), [5] * 600, list(range(600)))]))]
+    assert all(keys[i] & keys[300 + i] for i in range(300))
+    listed = {}
+    for i, own in enumerate(keys):
+        for k in own:
+            listed.setdefault(k, []).append(i)
+    assert max(map(len, listed.values())) < 100
+    short = b"a b c d\na b c e"
+    first, second = (set(r[3]) for r in lines._parts(iter([(short, [0, 1], [5, 5], [0, 1])])))
+    assert first & second
