@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, decontaminate, lines, middle, near, packing, pii, secrets, toxicity, warc, weighted
+from lexiguard.llm import chat, decontaminate, lines, middle, near, packing, pii, secrets, toxicity, trie, warc, weighted
 from lexiguard.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_revisits": op9_revisits,
     "op10_decontaminate": op10_decontaminate,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pii_base_spans": pii_base_spans,
     "secret_base_spans": secret_base_spans,
@@ -136,6 +141,7 @@ SQL: dict[str, str] = {
     "op3_chat": chat.COLLAPSE_SQL,
     "op4_near_duplicates": NEAR_SQL,
     "op9_revisits": warc.RESOLVE_SQL,
+    "op12_conversation_trie": trie.TRIE_SQL,
     "op13_fill_in_middle": middle.MIDDLE_SQL,
     "pii_base_spans": PII_SQL,
     "secret_base_spans": SECRET_SQL,
