@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiguard.llm import chat, decontaminate, lines, middle, near, packing, pii, secrets, toxicity, trie, warc, weighted
+from lexiguard.llm import chat, decontaminate, extract, lines, middle, near, packing, pii, secrets, toxicity, trie, warc, weighted
 from lexiguard.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_revisits": op9_revisits,
     "op10_decontaminate": op10_decontaminate,
+    "op11_main_text": op11_main_text,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pii_base_spans": pii_base_spans,
