@@ -59,7 +59,7 @@ def detect(text: str) -> list[Span]:
     for run in _NUMERIC.finditer(text):
         a, b = run.span()
         for m in _IP.finditer(text, a, b):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                 out.append(("ip", *m.span()))
         if b - a >= 16:
             for m in _CARD.finditer(text, a, b):

@@ -135,6 +135,22 @@ def test_secrets_take_linear_time(family):
     assert time.perf_counter() - began < 1
 
 
+@pytest.mark.parametrize("part", ["0" * 5000, "0" * 5000 + "7", "0" * 4301 + "255"])
+def test_ip_parts_of_many_zeros_are_numbers(part):
+    text = f"at {part}.1.0.{part} ok"
+    assert pii.detect(text) == [("ip", 3, len(text) - 3)]
+    assert not [s for s in pii.detect(f"{part}9999.1.1.1") if s[0] == "ip"]
+
+
+@pytest.mark.parametrize("header", ['{"a":' + "[" * 200_000, "[" * 100_000, '{"a":' * 50_000, '{"n":' + "9" * 5000, '{"alg":1}x'])
+def test_headers_that_no_reader_follows_are_no_tokens(header):
+    import base64
+
+    head = base64.urlsafe_b64encode(header.encode()).decode().rstrip("=")
+    base, spans = secrets.find(f"token eyJ{head}.eyJhIjoxfQ.c2lnbmF0dXJlMTIz {head}.eyJhIjoxfQ.c2lnbmF0dXJlMTIz", secrets.automaton())
+    assert not [s for s in spans if s not in base]
+
+
 def test_checksums_decide():
     keywords, body = secrets.automaton(), "a1B2" * 7 + "zz"
     good = "x ghp_" + body + secrets.base62_crc(body)
