@@ -614,14 +614,25 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- vectors and bit patterns ----------------------------------------------
-@query("WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS phash FROM embeddings) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM h a, h b WHERE b.vec_id % 100 = 0 AND bit_count(xor(a.phash, b.phash)) <= 8")
+_HALF_SQL = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[{} + i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT"
+
+
+@query(f"WITH h AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM embeddings) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS distance FROM h a, h b WHERE b.vec_id % 100 = 0 AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8")
 def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A bit for the sign of each of 32 components stands in for an image's hash; every hundredth image is asked for.
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda v, i: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda s, b: s + b)
-    h = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), bits.alias("phash"))
+    # The signs of the 64 components stand in for an image's hash; every hundredth image is asked for.
+    h = table(spark, sf_dir, "embeddings").select("vec_id", similar.sign_hash(F.col("embedding")).alias("phash"))
     return similar.near_hashes(h.select(F.col("vec_id").alias("image_id"), "phash"), h.where("vec_id % 100 = 0").select(F.col("vec_id").alias("marker_id"), "phash"))
 
 
+@query(f"WITH e AS (SELECT * FROM embeddings), h AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM e), m AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i % 16 = vec_id // 100 % 16 + 1 AND i <= 48 THEN -x ELSE x END) AS embedding FROM e WHERE vec_id % 100 = 0), g AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM m) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS distance FROM h a, g b WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8")
+def phash_altered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every hundredth image with three components turned round is a marker.
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when((i % 16 == F.expr("vec_id DIV 100") % 16) & (i < 48), -x).otherwise(x))
+    markers = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("marker_id"), similar.sign_hash(turned).alias("phash"))
+    return similar.near_hashes(e.select(F.col("vec_id").alias("image_id"), similar.sign_hash(F.col("embedding")).alias("phash")), markers)
+
+
 @query("WITH r AS (SELECT vec_id AS ref_id, embedding AS ref FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT vec_id, ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(ref AS DOUBLE[])) AS s FROM embeddings, r WHERE vec_id <> ref_id) SELECT vec_id, ref_id, round(s, 6) AS similarity FROM p WHERE s >= 0.92")
 def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every hundredth vector is asked for, against all.
@@ -629,6 +640,14 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_vectors(v, v.where("vec_id % 100 = 0")).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("WITH r AS (SELECT -vec_id - 1 AS ref_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 10 + 0.5) / 10) AS ref FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT vec_id, ref_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), ref) AS s FROM embeddings, r) SELECT vec_id, ref_id, round(s, 6) AS similarity FROM p WHERE s >= 0.92")
+def embedding_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every hundredth vector, kept to tenths, is a reference of its own: what it was made from is near it.
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    tenths = v.where("vec_id % 100 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x: F.floor(x * 10 + 0.5) / 10).alias("embedding"))
+    return similar.near_vectors(v, tenths).select("vec_id", "ref_id", F.round("similarity", 6).alias("similarity"))
+
+
 # ---- further workflow operators --------------------------------------------
 @query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 def j7_evidence_source(spark: SparkSession, sf_dir: str) -> DataFrame:
