@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexiguard.functions.literals import Prefilter
 from lexiguard.functions.text import bounded, normalise_fast, occurrences, plain_characters
 from lexiguard.operators.classifier import Dense
 
@@ -137,6 +138,7 @@ class Scanner:
         for i, e in enumerate(lexicon.entries) if patterns else ():
             if e.term_kind == "pattern":
                 self.patterns.append((re.compile(e.pattern or re.escape(e.surface)), i, 0 if e.pattern else 3))
+        self.prefilter = Prefilter([p.pattern for p, _, _ in self.patterns]) if self.patterns else None
         self.rules = {i: [re.compile(r.trigger_pattern) for r in e.rules if r.trigger_pattern] for i, e in enumerate(lexicon.entries) if e.term_kind == "number"}
         es = lexicon.entries
         self.of_entry = {
@@ -164,7 +166,8 @@ class Scanner:
             # Gaps are between Hangul letters, which a text with plain characters only can have in itself.
             if self.skip:
                 self._scan_gaps(text, norm, off if off is not None else range(len(norm)), first, seen)
-        for pattern, i, flag in self.patterns:
+        for place in self.prefilter.candidates(text) if self.prefilter else ():
+            pattern, i, flag = self.patterns[place]
             for m in pattern.finditer(text):
                 self._add(text, i, 0, flag, (*m.span(), *m.span()), 2, len(self.rows) - first, 1.0, False, True)
         self.sizes.append(len(self.rows))

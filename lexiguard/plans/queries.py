@@ -156,6 +156,18 @@ def j5_regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", F.col("term_id").cast("int").alias("term_id"), "matched_text").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LONG_WORDS_SQL = "bw AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS word FROM benchmark), rw AS (SELECT word, row_number() OVER (ORDER BY word) AS term_id FROM bw)"
+
+
+@query(f"WITH {_LONG_WORDS_SQL}, m AS (SELECT doc_id, term_id, unnest(regexp_extract_all(text, word || '[a-z]{{0,3}}[.,]? [A-Za-z]')) AS matched_text FROM documents JOIN rw ON contains(text, word)) SELECT doc_id, term_id, matched_text, count(*) AS n FROM m GROUP BY ALL")
+def j5_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every longer word of the benchmark makes a pattern, so their number grows with it; the lexicon of patterns is read as a release is.
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), 0)).alias("word")).distinct()
+    entries = tuple(Entry(i + 1, w, (), term_kind="pattern", pattern=w + "[a-z]{0,3}[.,]? [A-Za-z]") for i, w in enumerate(sorted(r.word for r in words.toLocalIterator())))
+    found = check(table(spark, sf_dir, "documents"), Lexicon(entries), {**ONLY_KEYS, "pattern": True})
+    return found.groupBy("doc_id", "term_id", "matched_text").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- filters ---------------------------------------------------------------
 FINALS_CORPUS = Inline("fc", "id int, t string, kind string", [(1, "각오", None), (2, "가고", None), (3, "국어", None), (4, "구거", "jamo"), (5, "국어", "jamo"), (6, "고거", None)])
 
@@ -624,7 +636,7 @@ def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_hashes(h.select(F.col("vec_id").alias("image_id"), "phash"), h.where("vec_id % 100 = 0").select(F.col("vec_id").alias("marker_id"), "phash"))
 
 
-@query(f"WITH e AS (SELECT * FROM embeddings), h AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM e), m AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i % 16 = vec_id // 100 % 16 + 1 AND i <= 48 THEN -x ELSE x END) AS embedding FROM e WHERE vec_id % 100 = 0), g AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM m) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS distance FROM h a, g b WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8")
+@query(f"WITH e AS (SELECT * FROM embeddings), h AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM e), m AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (i - 1) % 16 = vec_id // 100 % 16 AND i <= 48 THEN -x ELSE x END) AS embedding FROM e WHERE vec_id % 100 = 0), g AS (SELECT vec_id, {_HALF_SQL.format(0)} AS lo, {_HALF_SQL.format(32)} AS hi FROM m) SELECT a.vec_id AS image_id, b.vec_id AS marker_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS distance FROM h a, g b WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8")
 def phash_altered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every hundredth image with three components turned round is a marker.
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
