@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexiguard.functions.literals import Prefilter
 from lexiguard.functions.text import bounded, normalise_fast, occurrences, plain_characters
+from lexiguard.operators import intervals
 from lexiguard.operators.classifier import Dense
 
 SAFE_WINDOW = 20
@@ -256,24 +257,23 @@ def letter_boundary(docs: DataFrame) -> DataFrame:
 
 def token_containment(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Drops matches that lie in a longer token; pattern and number terms are exempt. tokens: array of (s, e, oov)."""
-    inside = lambda x: F.exists(tokens, lambda t: (t.s <= x.start) & (x.end <= t.e) & (t.e - t.s > x.end - x.start))
-    return docs.withColumn("m", F.filter("m", lambda x: x.term_kind.isin("pattern", "number") | (x.stage == 2) | ~inside(x)))
+    marked = intervals.with_marks(docs, tokens)
+    return marked.withColumn("m", F.filter("m", lambda x, i: x.term_kind.isin("pattern", "number") | (x.stage == 2) | ~F.get("marks", i).inside)).drop("marks")
 
 
 def edge_tokens(docs: DataFrame, tokens: str = "base_tokens") -> DataFrame:
     """Word matches next to a Hangul syllable: kept if no token crosses that edge; kept with a cap if all crossing ones are unknown words; else dropped."""
 
-    def crossing(x: Column) -> Column:
+    def cut(x: Column, mark: Column, kind: str) -> Column:
+        """How many tokens of that kind cross an edge that has a syllable beside it."""
         left, right = F.right(x.left, F.lit(1)).rlike("[가-힣]"), F.left(x.right, F.lit(1)).rlike("[가-힣]")
-        cut = lambda t, edge: (t.s < edge) & (edge < t.e)
-        return F.when(x.term_kind != "word", F.array().cast("array<boolean>")).otherwise(F.transform(F.filter(tokens, lambda t: (left & cut(t, x.start)) | (right & cut(t, x.end))), lambda t: t.oov))
-
-    def settle(x: Column) -> Column:
-        crossed = crossing(x)
-        return F.when((F.size(crossed) > 0) & F.forall(crossed, lambda o: o), with_match(x, cap=F.lit(True), flags=F.array_append(x.flags, "oov_boundary_kept"))).otherwise(x)
+        return F.when(left, mark[f"left_{kind}"]).otherwise(0) + F.when(right, mark[f"right_{kind}"]).otherwise(0)
 
-    kept = F.filter("m", lambda x: F.forall(crossing(x), lambda o: o) | (x.stage == 2))
-    return docs.withColumn("m", F.transform(kept, lambda x: F.when(x.stage == 2, x).otherwise(settle(x))))
+    exempt = lambda x: (x.term_kind != "word") | (x.stage == 2)
+    paired = F.filter(F.arrays_zip("m", "marks"), lambda p: exempt(p.m) | (cut(p.m, p.marks, "known") == 0))
+    capped = lambda x: with_match(x, cap=F.lit(True), flags=F.array_append(x.flags, "oov_boundary_kept"))
+    settled = F.transform(paired, lambda p: F.when(~exempt(p.m) & (cut(p.m, p.marks, "cut") > 0), capped(p.m)).otherwise(p.m))
+    return intervals.with_marks(docs, tokens).withColumn("m", settled).drop("marks")
 
 
 def word_containment(docs: DataFrame) -> DataFrame:
@@ -289,21 +289,7 @@ def word_containment(docs: DataFrame) -> DataFrame:
 
 def safe_context(docs: DataFrame) -> DataFrame:
     """Drops ambiguous matches with a safe word within 20 characters; there, all key matches are masked. Patterns see their text unmasked."""
-    spans = F.filter("m", lambda x: x.stage < 2)
-
-    def window(x: Column) -> Column:
-        """The match and 20 characters on both sides, with the parts of matches masked."""
-        around, low = F.concat(x.left, x.text, x.right), x.start - F.length(x.left)
-        size = F.length(around)
-        beside = F.filter(spans, lambda y: (y.end > low) & (y.start < low + size))
-        # A span's part of the window, from its start there.
-        first = lambda y: F.greatest(y.start - low, F.lit(0))
-        part = lambda y: F.least(y.end - low, size) - first(y)
-        masked = F.aggregate(beside, around, lambda t, y: F.overlay(t, F.repeat(F.lit("\u0000"), part(y)), first(y) + 1, part(y)))
-        return F.when(x.stage == 2, around).otherwise(masked)
-
-    drop = lambda x: (x.ambiguity != "unambiguous") & (F.size(x.safe) > 0) & F.exists(F.transform(F.array(window(x)), lambda w: F.exists(x.safe, lambda s: F.instr(w, s) > 0)), lambda hit: hit)
-    return docs.withColumn("m", F.filter("m", lambda x: ~drop(x)))
+    return intervals.with_resolved(docs).withColumn("m", F.filter("m", lambda x, i: ~F.get("resolved", i))).drop("resolved")
 
 
 def combination(docs: DataFrame) -> DataFrame:

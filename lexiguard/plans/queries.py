@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiguard.functions import text as tx
-from lexiguard.operators import classifier, curation, detect, evaluate, release, variants
+from lexiguard.operators import classifier, curation, detect, evaluate, intervals, release, variants
 from lexiguard.operators.detect import Entry, Lexicon, Rule
 from lexiguard.plans import similar
 from lexiguard.plans.check import ADVICE, advice, check, check_documents
@@ -198,6 +198,28 @@ def f2_token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", F.col("term_id").cast("int").alias("term_id")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_pos"))
 
 
+_BLANK_WORD_SQL = "CASE WHEN st > 0 THEN substring(text, st, 1) ELSE ' ' END <> ' ' OR CASE WHEN st + length(surface) < length(text) THEN substring(text, st + length(surface) + 1, 1) ELSE ' ' END <> ' '"
+
+
+@query(f"WITH {WORD_OCC_SQL} SELECT doc_id, term_id, count(*) AS n, min(st) AS first_pos FROM occ WHERE NOT ({_BLANK_WORD_SQL}) GROUP BY ALL")
+def f2_tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # What lies between blanks is a token, in a table of its own.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = check(docs, word_lexicon(), ONLY_KEYS).select("doc_id", F.col("term_id").cast("int").alias("term_id"), "start", "end")
+    free = intervals.rows_in_tokens(found, intervals.token_rows(docs), how="left_anti")
+    return free.groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_pos"))
+
+
+@query(f"WITH {WORD_OCC_SQL} SELECT doc_id, term_id, count(*) AS n, min(st) AS first_pos FROM occ WHERE NOT ({_BLANK_WORD_SQL}) GROUP BY ALL")
+def f2_tokens_as_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The same tokens as an array beside each text, as a tokenizer hands them over.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = intervals.token_rows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.lit(False).alias("oov")))).alias("tokens"))
+    docs = docs.join(tokens, "doc_id", "left")
+    found = check(docs, word_lexicon(), ONLY_KEYS | {"morpheme_boundary": True})
+    return found.groupBy("doc_id", F.col("term_id").cast("int").alias("term_id")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_pos"))
+
+
 @query(f"WITH {occurrences_sql('documents', 'doc_id', 'd.text')} SELECT o.doc_id, start_pos FROM occ o JOIN documents d ON o.doc_id = d.doc_id WHERE term_id = 6 AND NOT contains(substring(d.text, greatest(start_pos - 20, 0) + 1, start_pos + 25 - greatest(start_pos - 20, 0)), 'for')")
 def f4_safe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = Lexicon((Entry(6, "atble", (("atble", None),), ambiguity="ambiguous", safe_contexts=("for",)),))
