@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,17 @@ MATCH = "struct<start:int,end:int,ns:int,ne:int,stage:int,seq:int,term_id:bigint
 
 @dataclass(frozen=True)
 class Rule:
+    """What must be in the text for a number term to count: a match of the pattern or of one of the terms.
+
+    The others are read by combination_within() alone: how many characters away
+    it may be (None: anywhere), and the severity without it and what it adds.
+    """
+
     trigger_pattern: str | None = None
     trigger_terms: tuple[int, ...] = ()
+    proximity_window: int | None = None
+    base_severity: int | None = None
+    severity_delta: int = 0
 
 
 @dataclass(frozen=True)
@@ -300,6 +310,90 @@ def combination(docs: DataFrame) -> DataFrame:
     return docs.withColumn("m", F.transform("m", lambda x: F.when(x.term_kind == "number", with_match(x, flags=F.array_append(x.flags, flag(x)))).otherwise(x))).drop("ids")
 
 
+def near_triggers(starts: np.ndarray, ends: np.ndarray, trigger_starts: np.ndarray, trigger_ends: np.ndarray, window: int | None) -> np.ndarray:
+    """For each span whether a trigger is at most window characters before or after it; touching and overlapping ones are none away."""
+    if window is None:
+        return np.full(len(starts), len(trigger_starts) > 0)
+    # Those that start early enough, less those that end too early.
+    early = np.searchsorted(np.sort(trigger_starts), ends + window, "right")
+    return early - np.searchsorted(np.sort(trigger_ends), starts - window, "left") > 0
+
+
+class _Rules:
+    """A worker's rules of number terms, with compiled patterns."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.of = {e.term_id: (e.severity, [(r, re.compile(r.trigger_pattern) if r.trigger_pattern else None) for r in e.rules]) for e in lexicon.entries if e.term_kind == "number"}
+
+    def settle(self, text: str, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list]:
+        """For each match whether a rule of its term holds there, and its severity with that; null for other terms."""
+        held: list = [None] * len(term)
+        severity: list = [None] * len(term)
+        of_pattern: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for t in np.unique(term).tolist():
+            if t not in self.of:
+                continue
+            plain, rules = self.of[t]
+            at = np.flatnonzero(term == t)
+            alone = max((r.base_severity for r, _ in rules if r.base_severity is not None), default=plain)
+            best, any_rule = np.full(len(at), -1), np.zeros(len(at), bool)
+            for rule, pattern in rules:
+                found = np.zeros(len(at), bool)
+                if pattern is not None:
+                    if pattern.pattern not in of_pattern:
+                        spans = [m.span() for m in pattern.finditer(text)]
+                        of_pattern[pattern.pattern] = tuple(np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+                    found |= near_triggers(start[at], end[at], *of_pattern[pattern.pattern], rule.proximity_window)
+                if rule.trigger_terms:
+                    other = np.isin(term, rule.trigger_terms)
+                    found |= near_triggers(start[at], end[at], start[other], end[other], rule.proximity_window)
+                with_it = (plain if rule.base_severity is None else rule.base_severity) + rule.severity_delta
+                best = np.where(found, np.maximum(best, min(5, max(1, with_it))), best)
+                any_rule |= found
+            for i, ok, s in zip(at.tolist(), any_rule.tolist(), best.tolist(), strict=True):
+                held[i], severity[i] = ok, s if ok else alone
+        return held, severity
+
+
+def combination_within(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """combination() with distances: a rule holds for a match only if its trigger is within the rule's window of it, and then the match has the rule's base severity and what it adds.
+
+    Of several rules that hold the severest counts; without one, the greatest
+    base severity, or the term's own where no rule states one. A trigger in the
+    same place as the match, or overlapping it, is no characters away. Time is
+    that of sorting a document's matches.
+    """
+    kind = T._parse_datatype_string("array<struct<held:boolean,severity:int>>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("combined", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, arrow = _Rules(lexicon), to_arrow_schema(schema)
+        struct = arrow.field("combined").type.value_type
+        for b in batches:
+            m = b.column("m")
+            flat = m.flatten()
+            term, start, end = (np.asarray(flat.field(n).fill_null(-1), np.int64) for n in ("term_id", "start", "end"))
+            held: list = []
+            severity: list = []
+            sizes = [n or 0 for n in m.value_lengths().to_pylist()]
+            at = 0
+            for n, text in zip(sizes, b.column("text").to_pylist(), strict=True):
+                h, s = rules.settle(text or "", term[at : at + n], start[at : at + n], end[at : at + n]) if n else ([], [])
+                held += h
+                severity += s
+                at += n
+            made = pa.StructArray.from_arrays([pa.array(held, pa.bool_()), pa.array(severity, pa.int32())], fields=list(struct))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, made, type=arrow.field("combined").type)], schema=arrow)
+
+    def settled(x: Column, i: Column) -> Column:
+        c = F.get("combined", i)
+        flag = F.when(c.held, "composite_satisfied").otherwise("composite_unsatisfied")
+        return F.when(x.term_kind == "number", with_match(x, severity=c.severity, flags=F.array_append(x.flags, flag))).otherwise(x)
+
+    return docs.mapInArrow(run, schema).withColumn("m", F.transform("m", settled)).drop("combined")
+
+
 def quotation(docs: DataFrame) -> DataFrame:
     """Caps matches in quotation marks, or with a word of discussion in the 15 characters on both sides, read as one."""
     marks = "[" + re.escape(QUOTE_MARKS) + "]"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
-from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, bounded, hangul_letters, native_normalise
+from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, hangul_letters, native_normalise
+from lexiguard.operators import detect
 
 #: The letters and signs that stand for a round initial and for an upright vowel.
 ROUND_INITIAL, ROUND_SIGNS = "ㅇ", ("0", "o")
@@ -118,16 +119,58 @@ def key_ambiguity(words: DataFrame, key) -> DataFrame:  # noqa: ANN001
     return groups.withColumn("place", rank).where(F.col("place") <= TOP_GROUPS)
 
 
+def without(word: Column, most: int) -> Column:
+    """All texts that are left of a word after taking out up to so many of its letters."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    found = F.array(word)
+    for _ in range(most):
+        # An empty word has nothing to take out; sequence() would count down from it.
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda w: F.when(w == "", F.array().cast("array<string>")).otherwise(one(w))))))
+    return found
+
+
 def fuzzy_keys(words: DataFrame, keys: DataFrame, most: int = 1) -> DataFrame:
-    """(word, key, distance) for words within so many letter edits of a key, equal ones left out. keys is a lexicon's short list, of MOST_KEYS at most.
+    """(word, key, distance) for words within so many letter edits of a key, equal ones left out. words: word (null ones are near nothing); keys: key.
+
+    Two texts within that many edits are the same after taking so many letters
+    out of each, so both are posted under what is left of them, and only what
+    meets there is compared. Words that are too long for any key are left out
+    first, so a posting has few rows for each word whatever the texts hold.
+    """
+    keys = keys.where("key <> ''").select("key").distinct()
+    norm = words.where("word IS NOT NULL").select("word").distinct().withColumn("norm", native_normalise(F.col("word")))
+    longest = keys.agg(F.max(F.length("key")).alias("longest"))
+    fitting = norm.join(F.broadcast(longest), F.length("norm") <= F.col("longest") + most).drop("longest")
+    posted = lambda df, c: df.withColumn("left", F.explode(F.transform(without(F.col(c), most), lambda x: F.xxhash64(x))))
+    met = posted(fitting, "norm").join(posted(keys, "key"), "left").select("word", "norm", "key").distinct()
+    return met.select("word", "key", F.levenshtein("norm", "key", most).alias("distance")).where("distance > 0")
+
+
+#: What a match one edit away is trusted, and how much less one with each further edit.
+FUZZY_CONFIDENCE, FUZZY_STEP = 0.7, 0.1
+
+
+def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, word, start) of the runs of letters and digits of each text."""
+    parts = docs.select(id_col, F.posexplode(F.split(text_col, r"[^\p{L}\p{N}]", -1)).alias("i", "word"))
+    earlier = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word").cast("long") + 1).over(earlier), F.lit(0))
+    return parts.select(id_col, "word", start.alias("start")).where("word <> ''")
+
+
+def fuzzy_matches(docs: DataFrame, terms: DataFrame, most: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words of whole texts within so many letter edits of a term's key: id, start, end, matched_text, term_id, key, distance, match_confidence, risk_score, usage_recommendation.
 
-    A pair within `most` edits shares one of most + 1 equal parts of the key, so
-    only words that contain one are compared.
+    terms: term_id, key, severity, ambiguity, status, dogwhistle. Words that are
+    a key are no fuzzy matches. A match is trusted FUZZY_CONFIDENCE at most, and
+    never says more than review. Each distinct word is compared once.
     """
-    keys = bounded(keys)
-    norm = words.select("word", native_normalise(F.col("word")).alias("norm"))
-    size = F.ceil(F.length("key") / (most + 1)).cast("int")
-    parts = keys.select("key", F.explode(F.array_distinct(F.array(*(F.substring(F.col("key"), size * i + 1, size) for i in range(most + 1))))).alias("part")).where("part <> ''")
-    met = norm.join(F.broadcast(parts), F.contains("norm", "part"))
-    near = met.select("word", "key", F.levenshtein("norm", "key", most).alias("distance"))
-    return near.where("distance > 0").distinct()
+    found = word_rows(docs, id_col, text_col)
+    near = fuzzy_keys(found.select("word"), terms.select("key"), most)
+    rows = found.join(near, "word").join(terms, "key")
+    confidence = F.round(F.lit(FUZZY_CONFIDENCE) - (F.col("distance") - 1) * FUZZY_STEP, 6)
+    context = detect.context_score(F.col("ambiguity"), F.lit(False))
+    risk = detect.risk_score(F.col("severity"), confidence, context)
+    rec = detect.recommendation(F.col("status"), F.lit(False), F.col("severity"), risk, F.col("dogwhistle"), F.lit(True), F.col("ambiguity"), context)
+    end = F.col("start") + F.length("word")
+    return rows.select(id_col, "start", end.alias("end"), F.col("word").alias("matched_text"), "term_id", "key", "distance", confidence.alias("match_confidence"), risk.alias("risk_score"), rec.alias("usage_recommendation"))

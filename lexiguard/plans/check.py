@@ -30,7 +30,7 @@ class Unavailable(Exception):
         return self.args[0]
 
 
-def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, text_col: str = "text", model: Dense | None = None) -> DataFrame:
+def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, text_col: str = "text", model: Dense | None = None, distances: bool = False) -> DataFrame:
     """docs with m, the scored matches, and overall_recommendation. Stages are on unless switched off; unknown names are ignored.
 
     docs must have a column text (or text_col, which is read as text) and none
@@ -38,7 +38,8 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
     arrays of (s, e, oov) from a tokenizer, are used if there are any: without
     tokens, runs of letters and digits are the tokens; without base_tokens there
     is no edge check. With a model, ambiguous matches have its scores; without,
-    a fixed one. No row moves between tasks.
+    a fixed one. With distances, rules of number terms heed their windows and
+    severities. No row moves between tasks.
     """
     on = dict.fromkeys(detect.STAGES, True) | (stages or {})
     docs = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
@@ -53,15 +54,15 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
     if on["safe_context"]:
         found = detect.safe_context(found)
     if on["combination"]:
-        found = detect.combination(found)
+        found = detect.combination_within(found, lexicon) if distances else detect.combination(found)
     if on["quotation"]:
         found = detect.quotation(found)
     return detect.score(found, model)
 
 
-def check(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, id_col: str = "doc_id", model: Dense | None = None) -> DataFrame:
+def check(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, id_col: str = "doc_id", model: Dense | None = None, distances: bool = False) -> DataFrame:
     """One row a match, with the document's id."""
-    return check_documents(docs, lexicon, stages, model=model).select(id_col, F.explode("m").alias("x")).select(id_col, "x.*")
+    return check_documents(docs, lexicon, stages, model=model, distances=distances).select(id_col, F.explode("m").alias("x")).select(id_col, "x.*")
 
 
 def advice(rec):  # noqa: ANN001, ANN201

@@ -246,6 +246,27 @@ def p1_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id", F.col("term_id").cast("int").alias("term"), F.array_join("flags", ",").alias("flag")).agg(F.count(F.lit(1)).alias("c"))
 
 
+NEAR_TERMS = Inline("nt", "term_id int, surface string", [(1, "and"), (2, "der"), (3, "que")])
+_DIGITS_NEAR = "[0-9]+"
+_NEAR_SQL = f"""{NEAR_TERMS.sql}, d AS (SELECT doc_id, text, lower(text) AS t FROM documents),
+hit AS (SELECT doc_id, nt.*, string_split(t, surface) AS ps FROM d JOIN nt ON contains(t, surface)),
+occ AS (SELECT doc_id, term_id, CAST(list_sum(list_transform(list_slice(ps, 1, i), lambda x: length(x))) + (i - 1) * length(surface) AS INT) AS s, length(surface) AS n FROM hit, unnest(range(1, len(ps))) AS u(i)),
+dl AS (SELECT doc_id, regexp_extract_all(text, '{_DIGITS_NEAR}') AS ms, regexp_split_to_array(text, '{_DIGITS_NEAR}') AS ps FROM documents),
+dg AS (SELECT doc_id, list_sum(list_transform(list_slice(ps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS s, length(ms[i]) AS n FROM dl, unnest(range(1, len(ms) + 1)) AS u(i)),
+o1 AS (SELECT doc_id, s, n FROM occ WHERE term_id = 1),
+na AS (SELECT DISTINCT o1.doc_id, o1.s FROM o1 JOIN occ b ON b.doc_id = o1.doc_id AND b.term_id IN (2, 3) AND b.s <= o1.s + o1.n + 12 AND b.s + b.n >= o1.s - 12),
+nb AS (SELECT DISTINCT o1.doc_id, o1.s FROM o1 JOIN dg b ON b.doc_id = o1.doc_id AND b.s <= o1.s + o1.n + 40 AND b.s + b.n >= o1.s - 40)"""
+
+
+@query(f"WITH {_NEAR_SQL} SELECT o1.doc_id, o1.s AS start_pos, CASE WHEN nb.s IS NOT NULL THEN 5 WHEN na.s IS NOT NULL THEN 3 ELSE 1 END AS severity, nb.s IS NOT NULL OR na.s IS NOT NULL AS satisfied FROM o1 LEFT JOIN na ON na.doc_id = o1.doc_id AND na.s = o1.s LEFT JOIN nb ON nb.doc_id = o1.doc_id AND nb.s = o1.s")
+def p1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A word stands in for a number term: severe beside digits, less so beside two other words, hardly alone.
+    rules = (Rule(None, (2, 3), 12, 1, 2), Rule(_DIGITS_NEAR, (), 40, 1, 4))
+    lexicon = Lexicon(tuple(Entry(t, w, ((w, None),), term_kind="number" if t == 1 else "word", rules=rules if t == 1 else ()) for t, w in NEAR_TERMS.rows))
+    found = check(table(spark, sf_dir, "documents"), lexicon, ONLY_KEYS | {"combination": True}, distances=True).where("term_id = 1")
+    return found.select("doc_id", F.col("start").alias("start_pos"), "severity", F.array_contains("flags", "composite_satisfied").alias("satisfied"))
+
+
 QUOTED = Inline("qt", "id int, t string", [(1, '"code"'), (2, '"code'), (3, "the code word"), (4, "code 라는 표현"), (5, "code................ 표현"), (6, "보도: code"), (7, "‘code’"), (8, "보code도"), (9, "'code\"")])
 
 
@@ -775,3 +796,19 @@ FUZZY = Inline("fz", "key string", [("thread",), ("outland",), ("hation",)])
 def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
     return variants.fuzzy_keys(words, FUZZY.df(spark), 2)
+
+
+_RARE_KEYS_SQL = "bk AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS key FROM benchmark), ks AS (SELECT key, row_number() OVER (ORDER BY key) AS term_id FROM bk)"
+
+
+@query(f"""WITH {_RARE_KEYS_SQL}, l AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ms, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS ps FROM documents),
+o AS (SELECT doc_id, ms[i] AS word, list_sum(list_transform(list_slice(ps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS st FROM l, unnest(range(1, len(ms) + 1)) AS u(i)),
+w AS (SELECT DISTINCT word, regexp_replace(lower(word), '[^\\x00-\\x7F]', '~', 'g') AS norm FROM o),
+n AS (SELECT word, key, term_id, CAST(levenshtein(norm, key) AS INT) AS distance FROM w, ks WHERE abs(length(norm) - length(key)) <= 2 AND levenshtein(norm, key) BETWEEN 1 AND 2)
+SELECT doc_id, CAST(st AS BIGINT) AS start_pos, o.word AS matched_text, key, distance, CASE distance WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN round(CASE distance WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE * 0.8, 6) >= 0.35 THEN 'review_recommended' ELSE 'monitor' END AS rec FROM o JOIN n ON o.word = n.word""")
+def fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The benchmark's long words are terms; words of all documents up to two letters away from one are found.
+    keys = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), 0)).alias("key")).distinct()
+    terms = keys.select(F.xxhash64("key").alias("term_id"), "key", F.lit(4).alias("severity"), F.lit("unambiguous").alias("ambiguity"), F.lit("active").alias("status"), F.lit(False).alias("dogwhistle"))
+    found = variants.fuzzy_matches(table(spark, sf_dir, "documents"), terms, 2)
+    return found.select("doc_id", F.col("start").alias("start_pos"), "matched_text", "key", "distance", F.col("match_confidence").alias("confidence"), F.col("usage_recommendation").alias("rec"))
