@@ -95,7 +95,7 @@ def lexicon_of(terms: DataFrame, version: str = "0") -> Lexicon:
     entries = []
     for t in terms.orderBy("term_id").collect():
         keys = ((t["normalized_key"] or normalise(t["surface"])[0], None), *((v["normalized_key"], v["variant_kind"]) for v in t["variants"] or ()))
-        rules = tuple(Rule(r["trigger_pattern"], tuple(r["trigger_terms"] or ())) for r in t["combination_rules"] or ())
+        rules = tuple(Rule(r["trigger_pattern"], tuple(r["trigger_terms"] or ()), r["proximity_window"], r["base_severity"], r["severity_delta"] or 0) for r in t["combination_rules"] or ())
         entries.append(Entry(t["term_id"], t["surface"], keys, t["term_kind"], t["severity"], t["ambiguity"], t["status"], bool(t["is_dogwhistle_marker"]), tuple(t["categories"] or ()), tuple(t["safe_contexts"] or ()), rules, t["pattern"]))
     return Lexicon(tuple(entries), version)
 
