@@ -12,8 +12,9 @@ keys, scan_literal_keys() gives the same occurrences in generated code.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -125,11 +126,20 @@ _OF_ENTRY = ("term_id", "surface", "term_kind", "severity", "ambiguity", "status
 
 
 class Scanner:
-    """One worker's automaton and compiled patterns. Found matches are kept as columns."""
+    """One worker's automaton and compiled patterns. Found matches are kept as columns.
 
-    def __init__(self, lexicon: Lexicon, skip: bool, patterns: bool) -> None:
+    A tolerant one keeps going: a pattern that does not compile is left out, and
+    a text that cannot be scanned, or takes a pattern more than `seconds`, has
+    no matches; faults says so for each text.
+    """
+
+    def __init__(self, lexicon: Lexicon, skip: bool, patterns: bool, tolerant: bool = False, seconds: float | None = None) -> None:
         import ahocorasick
 
+        self.tolerant, self.seconds = tolerant, seconds
+        self.broken: list[str] = []
+        self.faults: list[list[str]] = []
+
         self.lexicon, self.skip = lexicon, skip
         self.plain = plain_characters()
         grouped: dict[str, list[tuple[int, int]]] = {}
@@ -147,10 +157,10 @@ class Scanner:
             self.automaton.make_automaton()
         self.patterns = []
         for i, e in enumerate(lexicon.entries) if patterns else ():
-            if e.term_kind == "pattern":
-                self.patterns.append((re.compile(e.pattern or re.escape(e.surface)), i, 0 if e.pattern else 3))
+            if e.term_kind == "pattern" and (compiled := self._compiled(e.term_id, e.pattern or re.escape(e.surface))):
+                self.patterns.append((compiled, i, 0 if e.pattern else 3))
         self.prefilter = Prefilter([p.pattern for p, _, _ in self.patterns]) if self.patterns else None
-        self.rules = {i: [re.compile(r.trigger_pattern) for r in e.rules if r.trigger_pattern] for i, e in enumerate(lexicon.entries) if e.term_kind == "number"}
+        self.rules = {i: [c for r in e.rules if r.trigger_pattern and (c := self._compiled(e.term_id, r.trigger_pattern))] for i, e in enumerate(lexicon.entries) if e.term_kind == "number"}
         es = lexicon.entries
         self.of_entry = {
             "term_id": [e.term_id for e in es], "surface": [e.surface for e in es], "term_kind": [e.term_kind for e in es], "severity": [e.severity for e in es], "ambiguity": [e.ambiguity for e in es], "status": [e.status for e in es],
@@ -161,6 +171,38 @@ class Scanner:
     def clear(self) -> None:
         self.sizes: list[int] = [0]
         self.rows: list[tuple] = []
+        self.faults = []
+
+    def _compiled(self, term_id: int, pattern: str) -> re.Pattern | None:
+        try:
+            return re.compile(pattern)
+        except re.error as e:
+            if not self.tolerant:
+                raise
+            self.broken.append(f"pattern of term {term_id}: {e}")
+            return None
+
+    def _found(self, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+        """Matches of a pattern; with a limit of time, by an engine that can be stopped."""
+        if self.seconds is None:
+            return pattern.finditer(text)
+        import regex
+
+        return regex.compile(pattern.pattern, regex.V0).finditer(text, timeout=self.seconds)
+
+    def scan_tolerantly(self, text: str | None, late: bool = False) -> None:
+        """scan(), but whatever goes wrong is a fault of this text, which then has no matches. late: it is not begun any more."""
+        first, n = len(self.rows), len(self.sizes)
+        faults = list(self.broken)
+        try:
+            if late:
+                raise TimeoutError("the deadline has passed")
+            self.scan(text)
+        except Exception as e:  # whatever a text or a pattern does must not take the others with it
+            del self.rows[first:], self.sizes[n:]
+            self.sizes.append(first)
+            faults.append(f"{FAILED}{type(e).__name__}: {e}")
+        self.faults.append(faults)
 
     def _add(self, text: str, i: int, kind: int, flag: int, span: tuple[int, int, int, int], stage: int, seq: int, confidence: float, cap: bool, start_ok: bool) -> None:
         start, end = span[:2]
@@ -179,7 +221,7 @@ class Scanner:
                 self._scan_gaps(text, norm, off if off is not None else range(len(norm)), first, seen)
         for place in self.prefilter.candidates(text) if self.prefilter else ():
             pattern, i, flag = self.patterns[place]
-            for m in pattern.finditer(text):
+            for m in self._found(pattern, text):
                 self._add(text, i, 0, flag, (*m.span(), *m.span()), 2, len(self.rows) - first, 1.0, False, True)
         self.sizes.append(len(self.rows))
 
@@ -230,6 +272,44 @@ def _span(off: Sequence[int], ns: int, ne: int) -> tuple[int, int, int, int]:
     return off[ns], last + 1, ns, ne
 
 
+def usable(lexicon: Lexicon) -> Lexicon:
+    """The lexicon without rules whose patterns do not compile."""
+
+    def fine(rule: Rule) -> bool:
+        try:
+            return rule.trigger_pattern is None or bool(re.compile(rule.trigger_pattern))
+        except re.error:
+            return False
+
+    return Lexicon(tuple(replace(e, rules=tuple(r for r in e.rules if fine(r))) for e in lexicon.entries), lexicon.version)
+
+
+#: How a fault begins that leaves a text without an answer.
+FAILED = "failed: "
+
+
+def scan_tolerantly(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bool = True, seconds: float | None = None, deadline: float | None = None) -> DataFrame:
+    """scan() with a column faults beside m: what went wrong with each text, in place of a failed job.
+
+    seconds: what one pattern may take on one text; deadline: the time, in
+    seconds since 1970, from which on no further text is begun.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("m", T._parse_datatype_string(f"array<{MATCH}>")), T.StructField("faults", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(lexicon, skip_char, patterns, True, seconds)
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                for t in b.column("text").to_pylist():
+                    scanner.scan_tolerantly(t, deadline is not None and time.time() > deadline)
+                faults = pa.array(scanner.faults, arrow.field("faults").type)
+                yield pa.RecordBatch.from_arrays([*b.columns, scanner.taken(arrow.field("m").type), faults], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
 def scan(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bool = True, text_col: str = "text") -> DataFrame:
     """docs with an array column m of all occurrences in scan order: keys, then keys across gaps, then patterns."""
     schema = T.StructType([*docs.schema.fields, T.StructField("m", T._parse_datatype_string(f"array<{MATCH}>"))])

@@ -44,7 +44,27 @@ def check_documents(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] |
     on = dict.fromkeys(detect.STAGES, True) | (stages or {})
     docs = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = detect.scan(docs, lexicon, on["skip_char"], on["pattern"])
+    return _settled(detect.scan(docs, lexicon, on["skip_char"], on["pattern"]), lexicon, on, model, distances)
+
+
+def check_partially(docs: DataFrame, lexicon: Lexicon, stages: dict[str, bool] | None = None, seconds: float | None = None, deadline: float | None = None) -> DataFrame:
+    """check_documents() for batches that must give what they can: with status and faults for each text, however others fare.
+
+    status: ok; partial, where some pattern of the lexicon could not be used;
+    failed, where the text has no answer, its overall_recommendation being null.
+    seconds and deadline are those of detect.scan_tolerantly().
+    """
+    on = dict.fromkeys(detect.STAGES, True) | (stages or {})
+    found = detect.scan_tolerantly(docs.withColumn("text", F.coalesce("text", F.lit(""))), lexicon, on["skip_char"], on["pattern"], seconds, deadline)
+    failed = F.exists("faults", lambda f: f.startswith(detect.FAILED))
+    status = F.when(failed, "failed").when(F.size("faults") > 0, "partial").otherwise("ok")
+    # Only patterns that compile reach the later stages.
+    checked = _settled(found, detect.usable(lexicon), on, None, False).withColumn("status", status)
+    return checked.withColumn("overall_recommendation", F.when(F.col("status") != "failed", F.col("overall_recommendation")))
+
+
+def _settled(found: DataFrame, lexicon: Lexicon, on: dict[str, bool], model: Dense | None, distances: bool) -> DataFrame:
+    """The stages after the scan, and the scores."""
     if on["jamo_boundary"]:
         found = detect.letter_boundary(found)
     if on["morpheme_boundary"]:

@@ -9,7 +9,7 @@ from lexiguard.functions import text as tx
 from lexiguard.operators import classifier, curation, detect, evaluate, intervals, release, variants
 from lexiguard.operators.detect import Entry, Lexicon, Rule
 from lexiguard.plans import similar
-from lexiguard.plans.check import ADVICE, advice, check, check_documents
+from lexiguard.plans.check import ADVICE, advice, check, check_documents, check_partially
 from lexiguard.plans.inline import Inline, sql_value
 from lexiguard.plans.registry import query, table
 
@@ -168,6 +168,14 @@ def j5_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "term_id", "matched_text").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {PATTERNS.sql} SELECT doc_id, 'partial' AS status, CAST(sum(len(regexp_extract_all(coalesce(text, ''), pattern))) AS INT) AS n_matches, 1 AS n_faults FROM documents, p GROUP BY doc_id")
+def partial_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One pattern of the lexicon is broken; the others are matched all the same, and each answer says so.
+    lexicon = Lexicon((Entry(9, "broken", (), term_kind="pattern", pattern="(th[a-e"), *(Entry(t, f"p{t}", (), term_kind="pattern", pattern=p) for t, p in PATTERNS.rows)))
+    found = check_partially(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon, {**ONLY_KEYS, "pattern": True})
+    return found.select("doc_id", "status", F.size("m").alias("n_matches"), F.size("faults").alias("n_faults"))
+
+
 # ---- filters ---------------------------------------------------------------
 FINALS_CORPUS = Inline("fc", "id int, t string, kind string", [(1, "각오", None), (2, "가고", None), (3, "국어", None), (4, "구거", "jamo"), (5, "국어", "jamo"), (6, "고거", None)])
 
