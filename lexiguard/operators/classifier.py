@@ -11,12 +11,18 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lexiguard.functions.text import characters, fnv_index, quoted
@@ -127,37 +133,163 @@ class Dense:
         return out
 
 
+def score_rows(rows: DataFrame, model: Dense) -> DataFrame:
+    """rows (text, surface, ...) with a column score, made where the rows are; null texts and surfaces are empty."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                scores = [model.scores(t or "", [s or ""])[0] for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=to_arrow_schema(schema))
+
+    return rows.mapInArrow(run, schema)
+
+
 def score(feats: DataFrame, ids: DataFrame, weights: DataFrame, bias: float, temperature: float = 1.0, id_col: str = "id") -> DataFrame:
     sums = feats.join(weights, "idx").groupBy(id_col).agg(F.sum(F.col("val") * F.col("w")).alias("z"))
     z = (F.lit(float(bias)) + F.coalesce("z", F.lit(0.0))) / F.lit(float(temperature))
     return ids.join(sums, id_col, "left").select(id_col, (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def fit(feats: DataFrame, labels: DataFrame, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4, id_col: str = "id") -> Model:
-    """Class-weighted logistic regression by full-batch descent from zero; the bias is not regularised.
-
-    labels: (id, label). Only the weights, bounded by the feature space, pass
-    through the driver between rounds.
+def _row_features(text: str, surface: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of features() for one row, as sorted places and values."""
+    t = text.replace("\n", " ").strip()
+    codes = _codes(t.replace(" ", "_"))
+    found = [_hashed(_start(f"c{n}"), codes, min(n, len(codes))) for n in (2, 3) if len(codes)]
+    found += [_hashed(_start("w"), _codes(w), len(_codes(w))) for w in _WHITE.split(t) if w]
+    found.append(_hashed(_start("surf"), _codes(surface), len(surface)))
+    signs = [any(x in t for x in words) for words in (META, COUNTER, CONTEMPT)]
+    signs.append(bool(re.search(f"[{QUOTES}]{re.escape(surface)}[{QUOTES}]", t)))
+    signs.append(bool(surface) and t.count(surface) >= 2)
+    found.append(DIM + np.flatnonzero(signs))
+    places, counts = np.unique(np.concatenate(found), return_counts=True)
+    return places, counts.astype(float)
+
+
+_BLOCK = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+
+def text_blocks(rows: DataFrame) -> DataFrame:
+    """(label, places, values) of rows (text, surface, label), made where the rows are. Rows without a text or label are left out; a null surface is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(_BLOCK)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                made = [_row_features(t, s or "") for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([m[0] for m in made], arrow.field("places").type), pa.array([m[1] for m in made], arrow.field("values").type)], schema=arrow)
+
+    return rows.where("text IS NOT NULL AND label IS NOT NULL").select("text", "surface", F.col("label").cast("int").alias("label")).mapInArrow(run, _BLOCK)
+
+
+#: Partial gradients that the driver adds up itself; more are added up by tasks first.
+MOST_PARTIALS = 32
+
+
+def _gradient(blocks: DataFrame, w: np.ndarray, bias: float, share: dict[int, float]) -> np.ndarray:
+    """The sum over all rows of the weighted error times the features, and of the error at the end. Every task sums its rows into one dense array."""
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast((w, bias, share))
+    out = T.StructType([T.StructField("task", T.LongType()), T.StructField("g", T.BinaryType())])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias, share = sent.value
+        g = np.zeros(len(w) + 1)
+        task = TaskContext.get().partitionId()
+        for b in batches:
+            sizes = np.asarray(b.column("places").value_lengths())
+            if not len(sizes):
+                continue
+            places, values = np.asarray(b.column("places").flatten()), np.asarray(b.column("values").flatten())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            label = np.asarray(b.column("label"), float)
+            z = bias + np.bincount(row, w[places] * values, len(sizes))
+            error = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label) * np.where(label == 1, share.get(1, 1.0), share.get(0, 1.0))
+            g += np.bincount(places, error[row] * values, len(g))
+            g[-1] += error.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([g.tobytes()], pa.binary())], schema=to_arrow_schema(out))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted(((t, g) for b in batches for t, g in zip(b.column("task").to_pylist(), b.column("g").to_pylist(), strict=True)), key=lambda x: x[0])
+        if parts:
+            total = np.zeros(len(np.frombuffer(parts[0][1])))
+            for _, g in parts:
+                total += np.frombuffer(g)
+            yield pa.RecordBatch.from_arrays([pa.array([parts[0][0]]), pa.array([total.tobytes()], pa.binary())], schema=to_arrow_schema(out))
+
+    parts = blocks.mapInArrow(partial, out)
+    n = blocks.rdd.getNumPartitions()
+    while n > MOST_PARTIALS:
+        # A group holds MOST_PARTIALS arrays of the weights' size.
+        n = -(-n // MOST_PARTIALS)
+        parts = parts.repartition(n, F.floor(F.col("task") / MOST_PARTIALS)).mapInArrow(added, out).withColumn("task", F.floor(F.col("task") / MOST_PARTIALS))
+    total = np.zeros(len(w) + 1)
+    for r in sorted(parts.collect(), key=lambda r: r.task):
+        total += np.frombuffer(r.g)
+    sent.destroy()
+    return total
+
+
+#: Rounds after which the weights so far are written, to go on from after a failure.
+SAVED_ROUNDS = 25
+
+
+def descend(blocks: DataFrame, folder: str, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4) -> Model:
+    """Class-weighted logistic regression by full-batch descent from zero; the bias is not regularised. blocks: label, places, values.
+
+    Blocks and, every few rounds, weights are written below folder, which
+    driver and executors share. If it has them already, from a run that was cut
+    short, that run goes on. A round is one pass over the blocks, with no join
+    and no exchange but that of partial sums where tasks are many.
     """
-    spark = feats.sparkSession
-    counts = {int(r[0]): int(r[1]) for r in labels.groupBy("label").count().collect()}
+    spark = blocks.sparkSession
+    path = f"{folder}/blocks"
+    if not has_written(spark, path):
+        blocks.write.mode("overwrite").parquet(path)
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+    counts = {int(r[0]): int(r[1]) for r in blocks.groupBy("label").count().collect()}
     n = sum(counts.values())
-    share = {y: n / (2 * counts[y]) for y in counts}
-    data = feats.join(labels, id_col).persist()
-    weight_of = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
-    w: dict[int, float] = {}
-    bias = 0.0
-    for _ in range(rounds):
-        table = spark.createDataFrame(list(w.items()) or [(-1, 0.0)], "idx long, w double")
-        z = data.join(F.broadcast(table), "idx", "left").groupBy(id_col, "label").agg((F.sum(F.coalesce("w", F.lit(0.0)) * F.col("val")) + F.lit(bias)).alias("z"))
-        g = z.select(id_col, (weight_of * (1 / (1 + F.exp(-F.col("z"))) - F.col("label")) / n).alias("g")).persist()
-        steps = {int(r[0]): float(r[1]) for r in data.join(g, id_col).groupBy("idx").agg(F.sum(F.col("g") * F.col("val"))).collect()}
-        drift = g.agg(F.sum("g")).first()[0] or 0.0
-        g.unpersist()
-        w = {i: w.get(i, 0.0) - rate * (steps.get(i, 0.0) + l2 * w.get(i, 0.0)) for i in steps.keys() | w.keys()}
-        bias -= rate * drift
-    data.unpersist()
-    return Model(spark.createDataFrame([x for x in w.items() if x[1]] or [(-1, 0.0)], "idx long, w double"), bias)
+    share = {y: n / (2 * c) for y, c in counts.items()}
+    done, w, bias = 0, np.zeros(DIM + 5), 0.0
+    for k in range(rounds - rounds % SAVED_ROUNDS, 0, -SAVED_ROUNDS):
+        if has_written(spark, f"{folder}/round={k}"):
+            saved = np.frombuffer(spark.read.parquet(f"{folder}/round={k}").first()["w"])
+            done, w, bias = k, saved[:-1].copy(), float(saved[-1])
+            break
+    for k in range(done + 1, (rounds if n else 0) + 1):
+        g = _gradient(blocks, w, bias, share) / n
+        w, bias = w - rate * (g[:-1] + l2 * w), bias - rate * float(g[-1])
+        if k % SAVED_ROUNDS == 0 and k < rounds:
+            spark.createDataFrame([(np.append(w, bias).tobytes(),)], "w binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/round={k}")
+    some = np.flatnonzero(w)
+    return Model(spark.createDataFrame([(int(i), float(w[i])) for i in some] or [(-1, 0.0)], "idx long, w double"), bias)
+
+
+def has_written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has finished writing there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below the one that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lexiguard-files/{uuid.uuid4().hex}"
+
+
+def fit(feats: DataFrame, labels: DataFrame, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4, id_col: str = "id", folder: str | None = None) -> Model:
+    """descend() for features (id, idx, val) and labels (id, label)."""
+    lists = feats.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), "val"))).alias("x"))
+    blocks = lists.join(labels, id_col).select(F.col("label").cast("int").alias("label"), F.col("x.i").alias("places"), F.col("x.val").alias("values"))
+    return descend(blocks, folder or scratch(feats.sparkSession), rounds, rate, l2)
+
+
+def fit_texts(rows: DataFrame, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4, folder: str | None = None) -> Model:
+    """descend() for rows (text, surface, label)."""
+    return descend(text_blocks(rows), folder or scratch(rows.sparkSession), rounds, rate, l2)
 
 
 def temperature(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiguard.functions.text import NORMALISER_VERSION, normalise
 from lexiguard.operators import curation
-from lexiguard.operators.classifier import Dense, Model
+from lexiguard.operators.classifier import Dense, Model, scratch
 from lexiguard.operators.detect import Entry, Lexicon, Rule
 from lexiguard.operators.release import CONTRACT_VERSION, release_counts, user_dictionary
 
@@ -50,12 +49,6 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's name below the one that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/lexiguard-files/{uuid.uuid4().hex}"
-
-
 def register_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
     """Parquet tables of a folder as views, for spark.sql()."""
     for name in names:
