@@ -671,7 +671,8 @@ def c5_training_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # All labelled documents, toxic being the label, whatever their surface; each is then scored by the fitted model.
     labelled = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labelled, "doc_id").withColumn("surface", F.lit("the"))
-    model = classifier.fit_texts(rows, rounds=30)
+    # Whole documents have thousands of features, so steps are short.
+    model = classifier.fit_texts(rows, rounds=30, rate=1e-5)
     scored = classifier.score_rows(rows, model.dense())
     return scored.select("doc_id", "label", F.round("score", 6).alias("score"))
 

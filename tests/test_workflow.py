@@ -219,7 +219,7 @@ def test_reports_as_markdown(spark):
 
 
 def test_near_vectors_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(similar, "REFERENCE_BLOCK", 3)
+    monkeypatch.setattr(similar, "PART_REFERENCES", 3)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 4))
     rows = [(i, [float(x) for x in np.float32(r)]) for i, r in enumerate(v)] + [(100, [0.0] * 4), (101, None)]
