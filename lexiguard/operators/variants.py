@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -74,9 +75,11 @@ class GenerateVariants:
 def generate(surfaces: DataFrame, column: str = "surface") -> DataFrame:
     """surfaces with a row for each variant: pos, variant, variant_kind, normalized_key."""
     surfaces.sparkSession.udtf.register("generate_variants", GenerateVariants)
-    name = "variant_input"
-    surfaces.createOrReplaceTempView(name)
+    # A name of its own, so that no view of the session is written over.
+    name = f"variant_input_{uuid.uuid4().hex}"
+    surfaces.createTempView(name)
     made = surfaces.sparkSession.sql(f"SELECT t.*, v.* FROM {name} t, LATERAL generate_variants(t.{column}) v")
+    surfaces.sparkSession.catalog.dropTempView(name)
     return made.withColumn("normalized_key", native_normalise(F.col("variant")))
 
 
