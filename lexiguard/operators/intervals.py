@@ -16,6 +16,7 @@ positions, so a document of very many matches is many tasks' work.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 #: Further than any position in a document.
 APART = 1 << 33
@@ -146,10 +146,49 @@ def rows_in_tokens(matches: DataFrame, tokens: DataFrame, id_col: str = "doc_id"
     return matches.join(placed, (F.col(id_col) == F.col("_id")) & (F.floor(F.col("start") / bucket) == F.col("_bucket")) & longer, how)
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, e) of the runs between blanks of each text, with the places of their first character and of the one after their last."""
-    words = docs.select(id_col, F.posexplode(F.split(text_col, " ")).alias("i", "word"))
-    size = F.length("word").cast("long")
-    earlier = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size + 1).over(earlier), F.lit(0))
-    return words.select(id_col, before.alias("s"), (before + size).alias("e")).where("e > s")
+def _runs_of(texts: list[str | None], pattern: re.Pattern) -> tuple[list[int], list[str], list[int]]:
+    """How many runs each text has, and all runs with where they start."""
+    sizes, words, starts = [], [], []
+    for t in texts:
+        n = len(words)
+        for m in pattern.finditer(t or ""):
+            words.append(m[0])
+            starts.append(m.start())
+        sizes.append(len(words) - n)
+    return sizes, words, starts
+
+
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "[^ ]+") -> DataFrame:
+    """(id, word, s, e) of the runs of a pattern in each text, with the places of their first character and of the one after their last. No row moves between tasks."""
+    compiled = re.compile(pattern)
+    schema = T.StructType([docs.schema[id_col], T.StructField("word", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                b = batch.slice(at, 100)
+                sizes, words, starts = _runs_of(b.column(1).to_pylist(), compiled)
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                ends = [s + len(w) for s, w in zip(starts, words, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema=to_arrow_schema(schema))
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def with_tokens(docs: DataFrame, pattern: str = "[^ ]+", text_col: str = "text", column: str = "tokens") -> DataFrame:
+    """docs with an array of (s, e, oov) beside each text: the runs of a pattern, all of them known words."""
+    compiled = re.compile(pattern)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T._parse_datatype_string("array<struct<s:int,e:int,oov:boolean>>"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(schema).field(column).type
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                b = batch.slice(at, 100)
+                sizes, words, starts = _runs_of(b.column(text_col).to_pylist(), compiled)
+                s, n = np.array(starts, np.int32), np.array([len(w) for w in words], np.int32)
+                made = pa.StructArray.from_arrays([pa.array(s), pa.array(s + n), pa.array(np.zeros(len(s), bool))], fields=list(kind.value_type))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, made, type=kind)], schema=to_arrow_schema(schema))
+
+    return docs.mapInArrow(run, schema)

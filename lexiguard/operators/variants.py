@@ -12,7 +12,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from lexiguard.functions.text import FINALS, INITIALS, MEDIALS, hangul_letters, native_normalise
-from lexiguard.operators import detect
+from lexiguard.operators import detect, intervals
 
 #: The letters and signs that stand for a round initial and for an upright vowel.
 ROUND_INITIAL, ROUND_SIGNS = "ㅇ", ("0", "o")
@@ -153,12 +153,8 @@ def fuzzy_keys(words: DataFrame, keys: DataFrame, most: int = 1) -> DataFrame:
 FUZZY_CONFIDENCE, FUZZY_STEP = 0.7, 0.1
 
 
-def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, word, start) of the runs of letters and digits of each text."""
-    parts = docs.select(id_col, F.posexplode(F.split(text_col, r"[^\p{L}\p{N}]", -1)).alias("i", "word"))
-    earlier = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word").cast("long") + 1).over(earlier), F.lit(0))
-    return parts.select(id_col, "word", start.alias("start")).where("word <> ''")
+#: A run of letters and digits.
+WORD = r"[^\W_]+"
 
 
 def fuzzy_matches(docs: DataFrame, terms: DataFrame, most: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,12 +164,11 @@ def fuzzy_matches(docs: DataFrame, terms: DataFrame, most: int = 1, id_col: str
     a key are no fuzzy matches. A match is trusted FUZZY_CONFIDENCE at most, and
     never says more than review. Each distinct word is compared once.
     """
-    found = word_rows(docs, id_col, text_col)
+    found = intervals.token_rows(docs, id_col, text_col, WORD).withColumnRenamed("s", "start")
     near = fuzzy_keys(found.select("word"), terms.select("key"), most)
     rows = found.join(near, "word").join(terms, "key")
     confidence = F.round(F.lit(FUZZY_CONFIDENCE) - (F.col("distance") - 1) * FUZZY_STEP, 6)
     context = detect.context_score(F.col("ambiguity"), F.lit(False))
     risk = detect.risk_score(F.col("severity"), confidence, context)
     rec = detect.recommendation(F.col("status"), F.lit(False), F.col("severity"), risk, F.col("dogwhistle"), F.lit(True), F.col("ambiguity"), context)
-    end = F.col("start") + F.length("word")
-    return rows.select(id_col, "start", end.alias("end"), F.col("word").alias("matched_text"), "term_id", "key", "distance", confidence.alias("match_confidence"), risk.alias("risk_score"), rec.alias("usage_recommendation"))
+    return rows.select(id_col, "start", F.col("e").alias("end"), F.col("word").alias("matched_text"), "term_id", "key", "distance", confidence.alias("match_confidence"), risk.alias("risk_score"), rec.alias("usage_recommendation"))

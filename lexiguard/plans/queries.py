@@ -222,9 +222,7 @@ def f2_tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f2_tokens_as_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The same tokens as an array beside each text, as a tokenizer hands them over.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = intervals.token_rows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.lit(False).alias("oov")))).alias("tokens"))
-    docs = docs.join(tokens, "doc_id", "left")
-    found = check(docs, word_lexicon(), ONLY_KEYS | {"morpheme_boundary": True})
+    found = check(intervals.with_tokens(docs), word_lexicon(), ONLY_KEYS | {"morpheme_boundary": True})
     return found.groupBy("doc_id", F.col("term_id").cast("int").alias("term_id")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_pos"))
 
 
