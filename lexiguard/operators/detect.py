@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -272,6 +272,21 @@ def _span(off: Sequence[int], ns: int, ne: int) -> tuple[int, int, int, int]:
     return off[ns], last + 1, ns, ne
 
 
+#: Rows that are scanned before their matches are handed on, and matches after which that is done earlier.
+SCAN_ROWS, SCAN_MATCHES = 1_000, 20_000
+
+
+def _scanned(scanner: Scanner, batch: pa.RecordBatch, text_col: str, one: Callable[[str | None], None]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have been scanned; the caller takes their matches before it asks for the next part."""
+    for at in range(0, batch.num_rows, SCAN_ROWS):
+        part, done = batch.slice(at, SCAN_ROWS), 0
+        for i, text in enumerate(part.column(text_col).to_pylist(), 1):
+            one(text)
+            if len(scanner.rows) >= SCAN_MATCHES or i == part.num_rows:
+                yield part.slice(done, i - done)
+                done = i
+
+
 def usable(lexicon: Lexicon) -> Lexicon:
     """The lexicon without rules whose patterns do not compile."""
 
@@ -299,11 +314,9 @@ def scan_tolerantly(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon, skip_char, patterns, True, seconds)
         arrow = to_arrow_schema(schema)
+        one = lambda t: scanner.scan_tolerantly(t, deadline is not None and time.time() > deadline)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                for t in b.column("text").to_pylist():
-                    scanner.scan_tolerantly(t, deadline is not None and time.time() > deadline)
+            for b in _scanned(scanner, batch, "text", one):
                 faults = pa.array(scanner.faults, arrow.field("faults").type)
                 yield pa.RecordBatch.from_arrays([*b.columns, scanner.taken(arrow.field("m").type), faults], schema=arrow)
 
@@ -318,10 +331,7 @@ def scan(docs: DataFrame, lexicon: Lexicon, skip_char: bool = True, patterns: bo
         scanner = Scanner(lexicon, skip_char, patterns)
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                for t in b.column(text_col).to_pylist():
-                    scanner.scan(t)
+            for b in _scanned(scanner, batch, text_col, scanner.scan):
                 yield pa.RecordBatch.from_arrays([*b.columns, scanner.taken(arrow.field("m").type)], schema=arrow)
 
     return docs.mapInArrow(run, schema)

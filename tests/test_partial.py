@@ -43,3 +43,12 @@ def test_the_deadline_leaves_texts_unanswered_and_says_so(spark):
     assert {r.status for r in late} == {"failed"} and all("deadline" in r.faults[0] for r in late)
     assert {r.status for r in check_partially(docs(spark, ["z"] * 20), lexicon, STAGES, deadline=time.time() + 600).collect()} == {"ok"}
     assert check_partially(docs(spark, ["z"]).limit(0), lexicon, STAGES).count() == 0
+
+
+def test_matches_are_handed_on_before_they_are_many(spark, monkeypatch):
+    lexicon = Lexicon((Entry(1, "a", (("a", None),)),))
+    texts = ["a" * (i % 7) if i % 5 else None for i in range(300)]
+    whole = {r.doc_id: len(r.m) for r in check_documents(docs(spark, texts), lexicon, STAGES).collect()}
+    monkeypatch.setattr(detect, "SCAN_MATCHES", 3)
+    for out in (check_documents(docs(spark, texts), lexicon, STAGES), check_partially(docs(spark, texts), lexicon, STAGES)):
+        assert {r.doc_id: len(r.m) for r in out.collect()} == whole == {i: len(t or "") for i, t in enumerate(texts)}
