@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,38 @@ def test_states_are_forgotten_once_the_watermark_has_passed():
     assert list(fb.keep_best((1,), iter(()), passed, 2 * hour)) == [] and not passed.exists
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_bucket_keeps_what_its_ids_would(seed):
+    rng, state, alone, us = random.Random(seed), FakeState(0), {}, lambda t: (t - START) // datetime.timedelta(microseconds=1) + int(START.replace(tzinfo=datetime.timezone.utc).timestamp()) * 10**6
+    for k in range(6):
+        rows = [(rng.randrange(9), START + datetime.timedelta(minutes=rng.randrange(5)), *(rng.choice([None, "a", "b", "\uffff", "\U00010000"]) for _ in range(3))) for _ in range(30)]
+        parts = [pd.DataFrame([(i, us(at), *x) for i, at, *x in rows[j : j + 7]], columns=fb._HELD) for j in range(0, 30, 7)]
+        state.watermark = us(START + datetime.timedelta(minutes=2)) // 1000 if k > 2 else 0
+        got = {tuple(r) for out in fb.keep_best_of_bucket((0,), iter(parts), state, 3_600_000) for r in out.astype(object).where(out.notna(), None).itertuples(index=False)}
+        want = set()
+        for i in sorted({r[0] for r in rows}):
+            one = alone.setdefault(i, FakeState(0))
+            one.watermark = state.watermark
+            own = pd.DataFrame([r[1:] for r in rows if r[0] == i], columns=fb.COLUMNS[1:])
+            for out in fb.keep_best((i,), iter([own]), one, 3_600_000):
+                want |= {(i, us(r[1].to_pydatetime()), *map(fb._plain, r[2:5]), r[5]) for r in out.itertuples(index=False, name=None)}
+        assert got == want and state.timeout
+    # Forgotten when the clock says so, and when more comes.
+    state.watermark, state.hasTimedOut = state.watermark + 3 * 3_600_000, True
+    assert list(fb.keep_best_of_bucket((0,), iter(()), state, 3_600_000)) == [] and not state.exists
+    late = FakeState(state.watermark)
+    assert [o["late"].all() for o in fb.keep_best_of_bucket((0,), iter(parts), late, 3_600_000)] == [True] and not late.exists
+
+
+def test_python_is_not_called_for_each_id(spark, tmp_path):
+    rows = [(i, START + datetime.timedelta(seconds=i), "c", "missed", None) for i in range(5 * fb.BUCKETS)]
+    spark.createDataFrame(rows, fb.SCHEMA).write.parquet(f"{tmp_path}/in")
+    run = fb.start(fb.intake(spark.readStream.schema(fb.SCHEMA).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state", availableNow=True)
+    assert run.awaitTermination(120)
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= fb.BUCKETS
+    assert fb.kept(spark, f"{tmp_path}/out").count() == len(rows)
+
+
 def release(spark, root, version, words):
     rows = [(i, w, "word", None, w, 4, "unambiguous", "active", "open", [], [], False, [], []) for i, w in enumerate(words, 1)]
     files.write_release(spark.createDataFrame(rows, files.TERMS), f"{root}/{version}", version)
