@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiguard.plans import similar
+from lexiguard.plans.registered import QUERIES
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -119,3 +120,16 @@ def test_odd_vectors(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0])], VECTORS)
     assert similar.near_vectors(empty, some).count() == 0 and similar.near_vectors(some, empty).count() == 0
     assert sorted((r.vec_id, r.ref_id) for r in similar.near_vectors(some, some.where("vec_id = 1")).collect()) == [(2, 1), (2, 1)]
+
+
+def test_short_hashes_meet_in_their_own_blocks(spark, tmp_path):
+    rng = random.Random(6)
+    base = [rng.getrandbits(32) for _ in range(200)]
+    marks = [x ^ sum(1 << i for i in rng.sample(range(32), rng.randrange(12))) for x in rng.sample(base, 40)]
+    images = spark.createDataFrame(list(enumerate(base)), "image_id long, phash long")
+    found = similar.near_hashes(images, spark.createDataFrame(list(enumerate(marks)), "marker_id long, phash long"), n_bits=32).collect()
+    assert sorted(map(tuple, found)) == sorted((i, j, (x ^ y).bit_count()) for i, x in enumerate(base) for j, y in enumerate(marks) if (x ^ y).bit_count() <= 8)
+    # The query asks by 32 signs: what the others of a vector are does not rule it out.
+    vectors = [(i, [1.0 if x >> k & 1 else -1.0 for k in range(32)] + [1.0 - 2 * (i % 2)] * 32) for i, x in enumerate([base[0], base[0] ^ 7, ~base[0]])]
+    spark.createDataFrame(vectors, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, QUERIES["phash_hamming"](spark, str(tmp_path)).collect())) == [(0, 0, 0), (1, 0, 3)]
