@@ -459,7 +459,7 @@ def combination_within(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, arrow = _Rules(lexicon), to_arrow_schema(schema)
         struct = arrow.field("combined").type.value_type
-        for b in batches:
+        for b in intervals.in_parts(batches):
             m = b.column("m")
             flat = m.flatten()
             term, start, end = (np.asarray(flat.field(n).fill_null(-1), np.int64) for n in ("term_id", "start", "end"))
@@ -521,7 +521,7 @@ def classify(docs: DataFrame, model: Dense) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in intervals.in_parts(batches):
             m = b.column("m")
             flat = m.flatten()
             asked = [a != "unambiguous" and k != "pattern" for a, k in zip(*(flat.field(n).to_pylist() for n in ("ambiguity", "term_kind")), strict=True)]

@@ -30,10 +30,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 APART = 1 << 33
 BUCKET_CHARS = 1024
 MASK = "\0"
+#: Rows of a batch that are worked on and handed on at a time, so that memory is that of their matches and tokens, not the batch's.
+PART_ROWS = 100
 
 MARK = "struct<inside:boolean,left_cut:int,left_known:int,right_cut:int,right_known:int>"
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def _laid_out(lists: pa.ListArray) -> tuple[pa.StructArray, np.ndarray]:
     """The elements of all lists, and where each one's document begins."""
     sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_pandas(), float)).astype(np.int64)
@@ -71,7 +79,7 @@ def with_marks(docs: DataFrame, tokens: str, column: str = "marks") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         struct = arrow.field(column).type.value_type
-        for b in batches:
+        for b in in_parts(batches):
             m, at = _laid_out(b.column("m"))
             t, token_at = _laid_out(b.column(tokens))
             unknown = np.asarray(t.field("oov").fill_null(False), bool)
@@ -110,7 +118,7 @@ def with_resolved(docs: DataFrame, column: str = "resolved") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in in_parts(batches):
             m, at = _laid_out(b.column("m"))
             ambiguity = np.asarray(m.field("ambiguity").fill_null("unambiguous").to_pandas(), object)
             asked = np.flatnonzero((ambiguity != "unambiguous") & (np.nan_to_num(np.asarray(m.field("safe").value_lengths().to_pandas(), float)) > 0))
@@ -164,13 +172,11 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([docs.schema[id_col], T.StructField("word", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                b = batch.slice(at, 100)
-                sizes, words, starts = _runs_of(b.column(1).to_pylist(), compiled)
-                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                ends = [s + len(w) for s, w in zip(starts, words, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema=to_arrow_schema(schema))
+        for b in in_parts(batches):
+            sizes, words, starts = _runs_of(b.column(1).to_pylist(), compiled)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            ends = [s + len(w) for s, w in zip(starts, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema=to_arrow_schema(schema))
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -182,13 +188,11 @@ def with_tokens(docs: DataFrame, pattern: str = "[^ ]+", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_schema(schema).field(column).type
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                b = batch.slice(at, 100)
-                sizes, words, starts = _runs_of(b.column(text_col).to_pylist(), compiled)
-                s, n = np.array(starts, np.int32), np.array([len(w) for w in words], np.int32)
-                made = pa.StructArray.from_arrays([pa.array(s), pa.array(s + n), pa.array(np.zeros(len(s), bool))], fields=list(kind.value_type))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, made, type=kind)], schema=to_arrow_schema(schema))
+        for b in in_parts(batches):
+            sizes, words, starts = _runs_of(b.column(text_col).to_pylist(), compiled)
+            s, n = np.array(starts, np.int32), np.array([len(w) for w in words], np.int32)
+            made = pa.StructArray.from_arrays([pa.array(s), pa.array(s + n), pa.array(np.zeros(len(s), bool))], fields=list(kind.value_type))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, made, type=kind)], schema=to_arrow_schema(schema))
 
     return docs.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiguard.operators import detect, intervals
 from lexiguard.operators.detect import Entry, Lexicon
@@ -101,3 +102,19 @@ def test_rows_in_tokens_equal_looking_at_all(spark):
         assert {r.k for r in intervals.rows_in_tokens(matches, tokens, how="left_anti", bucket=width).collect()} == set(range(400)) - inside
     text = " a bc  d é한 "
     assert {(r.s, r.e) for r in intervals.token_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()} == {(1, 2), (3, 5), (7, 8), (9, 11)}
+
+
+def test_memory_is_that_of_a_part(spark, monkeypatch):
+    """What is laid out at a time does not grow with a batch."""
+    marks_of = intervals.marks_of
+
+    def bounded(starts, ends, token_starts, *rest):
+        assert len(token_starts) <= 10_000
+        return marks_of(starts, ends, token_starts, *rest)
+
+    monkeypatch.setattr(intervals, "marks_of", bounded)
+    docs = intervals.with_tokens(spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 50).alias("text")).coalesce(1)).withColumn("m", F.expr("array(struct(1 AS start, 2 AS end))"))
+    assert intervals.with_marks(docs, "tokens").where("marks[0].inside = false").count() == 2000 - intervals.with_marks(docs, "tokens").where("marks[0].inside").count()
+    monkeypatch.setattr(intervals, "PART_ROWS", 2000)
+    with pytest.raises(Exception, match="AssertionError"):
+        intervals.with_marks(docs, "tokens").count()
