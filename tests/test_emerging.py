@@ -62,3 +62,9 @@ def test_sketches_add_up_and_rule_most_words_out(spark):
     assert sum(r.word == "often" for r in left) == 9 and len(left) < 30
     empty = spark.createDataFrame([], SCHEMA)
     assert emerging.bursts(empty, words.select("word")).count() == 0
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame(made(random.Random(2)), SCHEMA)
+    plan = emerging.bursts(df, spark.createDataFrame([("old",)], "word string"))._jdf.queryExecution().toString()
+    assert "split(" not in plan
