@@ -103,6 +103,21 @@ def _start(namespace: str) -> int:
     return h
 
 
+class WordPlaces(dict):
+    """The places of words seen so far, most of which come again; a bounded number is kept."""
+
+    most = 1 << 18
+
+    def __missing__(self, word: str) -> int:
+        h = _start("w")
+        for c in word:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h & (DIM - 1)
+        return self[word]
+
+
 @dataclass
 class Dense:
     """A model for one text at a time, with the features of features()."""
@@ -111,7 +126,8 @@ class Dense:
     bias: float
     temperature: float = 1.0
 
-    def scores(self, text: str, surfaces: list[str]) -> list[float]:
+    def scores(self, text: str, surfaces: list[str], places: WordPlaces | None = None) -> list[float]:
+        places = WordPlaces() if places is None else places
         t = text.replace("\n", " ").strip()
         codes, w = _codes(t.replace(" ", "_")), self.weights
         z = self.bias
@@ -120,7 +136,7 @@ class Dense:
             runs = _hashed(start, codes, n) if len(codes) >= n else _hashed(start, codes, len(codes))[: len(codes)]
             z += float(w[runs].sum())
         for word, n in Counter(x for x in _WHITE.split(t) if x).items():
-            z += n * float(w[_hashed(_start("w"), _codes(word), len(_codes(word)))[0]])
+            z += n * float(w[places[word]])
         z += sum(float(w[DIM + j]) for j, found in enumerate((META, COUNTER, CONTEMPT)) if any(x in t for x in found))
         out = []
         for s in surfaces:
@@ -138,10 +154,11 @@ def score_rows(rows: DataFrame, model: Dense) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = WordPlaces()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                scores = [model.scores(t or "", [s or ""])[0] for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
+                scores = [model.scores(t or "", [s or ""], places)[0] for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=to_arrow_schema(schema))
 
     return rows.mapInArrow(run, schema)
@@ -153,12 +170,13 @@ def score(feats: DataFrame, ids: DataFrame, weights: DataFrame, bias: float, tem
     return ids.join(sums, id_col, "left").select(id_col, (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def _row_features(text: str, surface: str) -> tuple[np.ndarray, np.ndarray]:
+def _row_features(text: str, surface: str, word_places: WordPlaces | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The features of features() for one row, as sorted places and values."""
+    word_places = WordPlaces() if word_places is None else word_places
     t = text.replace("\n", " ").strip()
     codes = _codes(t.replace(" ", "_"))
     found = [_hashed(_start(f"c{n}"), codes, min(n, len(codes))) for n in (2, 3) if len(codes)]
-    found += [_hashed(_start("w"), _codes(w), len(_codes(w))) for w in _WHITE.split(t) if w]
+    found.append(np.array([word_places[w] for w in _WHITE.split(t) if w], np.int64))
     found.append(_hashed(_start("surf"), _codes(surface), len(surface)))
     signs = [any(x in t for x in words) for words in (META, COUNTER, CONTEMPT)]
     signs.append(bool(re.search(f"[{QUOTES}]{re.escape(surface)}[{QUOTES}]", t)))
@@ -175,16 +193,38 @@ def text_blocks(rows: DataFrame) -> DataFrame:
     """(label, places, values) of rows (text, surface, label), made where the rows are. Rows without a text or label are left out; a null surface is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(_BLOCK)
+        arrow, places = to_arrow_schema(_BLOCK), WordPlaces()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                made = [_row_features(t, s or "") for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
+                made = [_row_features(t, s or "", places) for t, s in zip(b.column("text").to_pylist(), b.column("surface").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([m[0] for m in made], arrow.field("places").type), pa.array([m[1] for m in made], arrow.field("values").type)], schema=arrow)
 
     return rows.where("text IS NOT NULL AND label IS NOT NULL").select("text", "surface", F.col("label").cast("int").alias("label")).mapInArrow(run, _BLOCK)
 
 
+_PACKED = T.StructType([T.StructField("labels", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("values", T.BinaryType())])
+#: Rows that are packed together.
+PACKED_ROWS = 100
+
+
+def packed(blocks: DataFrame) -> DataFrame:
+    """Blocks (label, places, values) by PACKED_ROWS as plain bytes, which each round reads whole, not number by number. Values that all are small counts are kept as such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(_PACKED)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                b = batch.slice(at, PACKED_ROWS)
+                values = np.asarray(b.column("values").flatten(), float)
+                counts = np.clip(values, 0, 65535).astype(np.uint16)
+                small = bool((counts == values).all())
+                made = (np.asarray(b.column("places").value_lengths(), np.int32), np.asarray(b.column("places").flatten(), np.int32), counts if small else counts[:0], values[:0] if small else values)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("label").to_pylist()], arrow.field("labels").type), *(pa.array([x.tobytes()], pa.binary()) for x in made)], schema=arrow)
+
+    return blocks.select("label", "places", "values").mapInArrow(run, _PACKED)
+
+
 #: Partial gradients that the driver adds up itself; more are added up by tasks first.
 MOST_PARTIALS = 32
 
@@ -200,16 +240,15 @@ def _gradient(blocks: DataFrame, w: np.ndarray, bias: float, share: dict[int, fl
         g = np.zeros(len(w) + 1)
         task = TaskContext.get().partitionId()
         for b in batches:
-            sizes = np.asarray(b.column("places").value_lengths())
-            if not len(sizes):
-                continue
-            places, values = np.asarray(b.column("places").flatten()), np.asarray(b.column("values").flatten())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            label = np.asarray(b.column("label"), float)
-            z = bias + np.bincount(row, w[places] * values, len(sizes))
-            error = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label) * np.where(label == 1, share.get(1, 1.0), share.get(0, 1.0))
-            g += np.bincount(places, error[row] * values, len(g))
-            g[-1] += error.sum()
+            for i in range(b.num_rows):
+                label = np.asarray(b.column("labels")[i].as_py(), float)
+                sizes, places, counts, values = (np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in (("sizes", np.int32), ("places", np.int32), ("counts", np.uint16), ("values", float)))
+                values = values if len(values) else counts
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                z = bias + np.bincount(row, w[places] * values, len(sizes))
+                error = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label) * np.where(label == 1, share.get(1, 1.0), share.get(0, 1.0))
+                g += np.bincount(places, error[row] * values, len(g))
+                g[-1] += error.sum()
         yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([g.tobytes()], pa.binary())], schema=to_arrow_schema(out))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +285,11 @@ def descend(blocks: DataFrame, folder: str, rounds: int = 400, rate: float = 0.5
     and no exchange but that of partial sums where tasks are many.
     """
     spark = blocks.sparkSession
-    path = f"{folder}/blocks"
+    path = f"{folder}/packed"
     if not has_written(spark, path):
-        blocks.write.mode("overwrite").parquet(path)
-    blocks = spark.read.schema(_BLOCK).parquet(path)
-    counts = {int(r[0]): int(r[1]) for r in blocks.groupBy("label").count().collect()}
+        packed(blocks).write.mode("overwrite").parquet(path)
+    blocks = spark.read.schema(_PACKED).parquet(path)
+    counts = {int(r[0]): int(r[1]) for r in blocks.select(F.explode("labels").alias("label")).groupBy("label").count().collect()}
     n = sum(counts.values())
     share = {y: n / (2 * c) for y, c in counts.items()}
     done, w, bias = 0, np.zeros(DIM + 5), 0.0

@@ -94,3 +94,21 @@ def test_scores_of_rows_are_those_of_the_join(rows, tmp_path):
     model = classifier.fit_texts(rows, 5, folder=f"{tmp_path}/m")
     joined = {r.id: r.score for r in model.score(rows).collect()}
     assert all(abs(joined[r.id] - r.score) < 1e-9 for r in classifier.score_rows(rows, model.dense()).collect())
+
+
+def test_rounds_read_bytes_not_numbers(spark, rows, tmp_path):
+    classifier.fit_texts(rows, 1, folder=f"{tmp_path}/m")
+    written = spark.read.parquet(f"{tmp_path}/m/packed")
+    assert dict(written.dtypes)["places"] == "binary" and written.count() <= rows.rdd.getNumPartitions() + 120 // classifier.PACKED_ROWS
+    # Values that are no counts are kept as they are.
+    odd = spark.createDataFrame([(1, [0, 7], [0.25, -3.0]), (0, [], [])], classifier._BLOCK).coalesce(1)
+    (r,) = classifier.packed(odd).collect()
+    assert np.frombuffer(r["values"]).tolist() == [0.25, -3.0] and np.frombuffer(r["sizes"], np.int32).tolist() == [2, 0] and not r["counts"]
+
+
+def test_places_of_words_are_looked_up(monkeypatch):
+    monkeypatch.setattr(classifier.WordPlaces, "most", 3)
+    places = classifier.WordPlaces()
+    for word in ["a", "bad", "비판", "é😀", "a", "the", "bad"]:
+        codes = classifier._codes(word)
+        assert places[word] == classifier._hashed(classifier._start("w"), codes, len(codes))[0] and len(places) <= 3
