@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import pickle
 import tempfile
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bits of what sifted() sends.
+SIFTED_BITS = 1 << 25
 #: Keys that may be sent to all executors because each has more than this part of the rows.
 HOT = 1000
 
@@ -92,6 +95,29 @@ def join_spread(rows: DataFrame, one: DataFrame, key: str, count: str = "n_rows"
     return spread.unionByName(rows.join(F.broadcast(names), F.col(key) == F.col("_lexiguard_hot"), "left_anti").join(cold.hint("shuffle_hash"), key, how))
 
 
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones, to be joined with them: all that are, and few of the others.
+
+    It spares shuffling rows, whole texts say, that would meet nothing. What is
+    sent to all executors is a bit for each of SIFTED_BITS hashes, 4 MB at most
+    however many keys there are. wanted is read once more, so it should be a
+    written table.
+    """
+    place = lambda k: F.pmod(F.xxhash64(F.lit(1), F.col(k)), F.lit(SIFTED_BITS)) + 1
+    bits = wanted.select(place(wanted_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_lexiguard_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_lexiguard_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_lexiguard_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_lexiguard_bucket", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "_lexiguard_bucket")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def _give_back() -> None:
+    """Hand what a finished task has freed back to the system: the Python worker stays, and the executor's next tasks need the memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType | str) -> DataFrame:
     """fn over the tuples of a partition, in and out by Arrow batches; rows stream, so a partition need not fit in memory."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -116,6 +142,8 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
                 kept, size = [], 0
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), arrow, strict=True)], schema=arrow)
+        kept = []
+        _give_back()
 
     assert names
     return df.select(*columns).mapInArrow(run, out)
@@ -130,6 +158,7 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[str | N
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 yield part.filter(pa.array([wanted(x) for x in part.column(column).to_pylist()], pa.bool_()))
+        _give_back()
 
     return df.mapInArrow(run, df.schema)
 

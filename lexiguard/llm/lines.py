@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiguard.llm import collide, near
-from lexiguard.llm.common import discard, join_spread, map_rows, written
+from lexiguard.llm.common import discard, join_spread, map_rows, sifted, written
 from lexiguard.llm.components import components
 
 LEADING = 3
@@ -45,6 +45,8 @@ ALIKE = 7
 MIN_DOCS = 3
 #: Share of a document's words from which a passage is left out when it is compared; below that, 0.85 alike is not in reach by it alone.
 DOMINANT = 0.9
+#: Words whose codes a task keeps.
+MOST_CODES = 50_000
 VARIABLE = b"<*>"
 _SIGNS = b"0123456789@"
 _NO_SIGNS = bytes(c for c in range(256) if c not in _SIGNS and c != 10)
@@ -93,11 +95,19 @@ def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield k, places, sizes, _signed(leaves), _signed(forms)
 
 
-class Codes(near.Digests):
-    """Codes of words, 0 for variables."""
+class Codes(dict):
+    """Words' codes, eight bytes each, 0 for variables; made when first asked for. It forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        return bytes(8) if word == VARIABLE else super().__missing__(word)
+        code = bytes(8) if word == VARIABLE else xxhash.xxh64_intdigest(word).to_bytes(8, "little")
+        if len(word) <= 32:
+            if len(self) >= MOST_CODES:
+                self.clear()
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
 
 
 def _parts(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -156,7 +166,7 @@ def _copies(texts: DataFrame, per: DataFrame, all_of: DataFrame) -> DataFrame:
     # Lines that no other document can match are in no template, and no document is of the same form then.
     shape = written(shape.select("k", F.when(apart, F.col("widest.positions")).alias("left_out"), F.when(F.col("n_rows") == F.col("rows"), F.col("form")).alias("form")))
     rest = F.array_join(_pick(F.split("text", "\n"), F.col("left_out"), False), "\n")
-    read = written(texts.join(shape.select("k", "left_out").hint("shuffle_hash"), "k").select(F.col("k").alias("doc_id"), F.when(F.col("left_out").isNull(), F.col("text")).otherwise(rest).alias("text")))
+    read = written(sifted(texts, "k", shape, "k").join(shape.select("k", "left_out").hint("shuffle_hash"), "k").select(F.col("k").alias("doc_id"), F.when(F.col("left_out").isNull(), F.col("text")).otherwise(rest).alias("text")))
     alike = near.near_duplicates(read).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group")).distinct()
     alike = written(alike.join(shape.select("k", "form"), "k"))
     first = alike.where("form IS NOT NULL").groupBy("form").agg(F.min("group").alias("b"))
@@ -178,9 +188,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     all_of = table.groupBy("k").agg(F.sum("n_words").alias("all"), F.count(F.lit(1)).alias("rows"))
     # One place of each distinct line of a mixed leaf; its words are read from there.
     places = shared.where("mixed").groupBy("leaf", "form").agg(F.min(F.struct("k", "pos")).alias("at"))
-    places = places.select("leaf", "form", "at.*").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "form"))).alias("wanted"))
+    places = written(places.select("leaf", "form", "at.*").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "form"))).alias("wanted")))
     # Hashing the small side spares sorting whole texts.
-    texts = raw.join(places.hint("shuffle_hash"), "k").select("text", *[F.col(f"wanted.{c}").alias(name) for c, name in (("pos", "places"), ("leaf", "leaves"), ("form", "forms"))])
+    texts = sifted(raw, "k", places, "k").join(places.hint("shuffle_hash"), "k").select("text", *[F.col(f"wanted.{c}").alias(name) for c, name in (("pos", "places"), ("leaf", "leaves"), ("form", "forms"))])
     named = shared.join(_templates(texts).hint("shuffle_hash"), "form", "left").select("k", "pos", "n_words", F.coalesce("template", "form").alias("template"))
     counted = written(named.groupBy("k", "template").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("pos")).alias("positions")))
     wide = written(counted.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
@@ -188,7 +198,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     votes = per.where("n_docs IS NOT NULL").select("template", "k").join(_copies(keyed, per, all_of), "k").select("template", "vote").distinct()
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= min_docs).select("template")
     recurring = written(recurring.join(wide, "template"))
-    for done in (table, leaves, shared, counted, wide):
+    for done in (table, leaves, shared, places, counted, wide):
         discard(done)
     lost = join_spread(per.select("k", "template", "positions"), recurring, "template", "n_docs")
     return lost.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))

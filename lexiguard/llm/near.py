@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiguard.llm import collide
-from lexiguard.llm.common import discard, join_spread, map_rows, written
+from lexiguard.llm.common import discard, join_spread, map_rows, sifted, written
 from lexiguard.llm.components import components
 
 SHINGLE = 5
@@ -39,37 +39,53 @@ SIGNATURE = 48
 LEAST_MATCHES = 28
 PERCENT = 85
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63 - 1, size=(2, SIGNATURE), dtype=np.uint64)
 _MULTIPLY = (_SEEDS[0] >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
 _ADD = (_SEEDS[1] >> np.uint64(31)).astype(np.uint32)
 
 
-class Digests(dict):
-    """Words' hashes, eight bytes each, made when first asked for; it forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        digest = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
-        if len(word) <= 32:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = digest
-        return digest
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
-
-
-def shingle_hashes(text: str | None, digests: Digests | None = None) -> np.ndarray:
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a lower-cased text. Eight bytes of all words are mixed in at a time, so nothing is kept from word to word."""
+    padded = b" " + text + b" " * 8
+    raw = np.frombuffer(padded, dtype=np.uint8)
+    blank = _BLANK[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    h = sizes.astype(np.uint64) * _ODD
+    at, left = np.arange(len(starts)), sizes
+    for done in range(0, LONG_WORD, 8):
+        v = eights[starts[at] + done] & _FIRST_BYTES[np.minimum(left, 8)]
+        v ^= h[at]
+        v ^= v >> np.uint64(32)
+        v *= _ODD
+        v ^= v >> np.uint64(29)
+        h[at] = v
+        at = at[left > 8]
+        if not len(at):
+            break
+        left = sizes[at] - done - 8
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(padded[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
     """The sorted set of a text's shingles as 64-bit hashes; A-Z are lower-cased, and words end at blanks and ASCII controls from tab to return."""
-    # bytes.split() without arguments splits at exactly these six characters, and UTF-8 has them in no longer sequence.
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    # UTF-8 has these six characters in no longer sequence.
+    lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    h = _word_hashes(lowered)
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], dtype=np.uint64)
-    digests = Digests() if digests is None else digests
-    h = digests.of(words)
-    n = len(words) - SHINGLE + 1
+    if len(h) < SHINGLE:
+        # bytes.split() without arguments splits at exactly these characters.
+        return np.array([xxhash.xxh64_intdigest(b" ".join(lowered.split()), len(h))], dtype=np.uint64)
+    n = len(h) - SHINGLE + 1
     mixed = np.zeros(n, dtype=np.uint64)
     for i in range(SHINGLE):
         mixed ^= h[i : i + n]
@@ -91,9 +107,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-    digests = Digests()
     for doc_id, text in rows:
-        h = shingle_hashes(text, digests)
+        h = shingle_hashes(text)
         if len(h):
             d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
             yield doc_id, len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), signature(h).astype("<u4").tobytes()
@@ -160,19 +175,18 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     lists = written(ranked.where((F.col("n_met") >= LEAST_MATCHES) & (F.col("rank") <= prefix - (SIGNATURE - F.col("n_met")))).select("key", "rep"))
     # Lists whose other members have left are of no use.
     several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = lists.join(several, "key").select("rep").distinct()
+    wanted = written(lists.join(several, "key").select("rep").distinct())
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        digests = Digests()
         for rep, text in rows:
-            h = shingle_hashes(text, digests)
+            h = shingle_hashes(text)
             yield rep, signature(h).astype("<u8").tobytes(), h.tobytes()
 
     # Hashing the small side spares sorting whole texts. Of the texts with the class's id one is of the class, or else any of them is.
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    texts = sifted(docs, "doc_id", wanted, "rep").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
     members = written(map_rows(texts, ["rep", "text"], sets, "rep long, keys binary, body binary"))
     links = collide.links(members, lists, LEAST_MATCHES, _alike(percent))
-    for done in (lists, members):
+    for done in (lists, members, wanted):
         discard(done)
     return links
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -490,3 +491,39 @@ def test_lines_of_a_leaf_do_not_all_meet():
     short = b"a b c d\na b c e"
     first, second = (set(r[3]) for r in lines._parts(iter([(short, [0, 1], [5, 5], [0, 1])])))
     assert first & second
+
+
+def test_words_are_hashed_as_they_are_split_and_not_kept():
+    rng = random.Random(5)
+    words = ["a", "b" * 8, "b" * 9, "c" * 32, "c" * 33, "c" * 33 + "d", "\u00e9t\u00e9", "x\u00a0y", *(f"w{rng.random()}" for _ in range(300))]
+    text = "".join(rng.choice(words) + rng.choice([" ", "\t", "\r\n", "  ", "\v\f"]) for _ in range(3000))
+    for t in (text, " " + text.strip(), text.strip(), "one", "", " \n"):
+        split = t.encode().split()
+        hashed = near._word_hashes(t.encode()).tolist()
+        assert len(hashed) == len(split) and len(set(hashed)) == len(set(split)) == len(set(zip(hashed, split, strict=True)))
+    rows = ((i, " ".join(f"t{i}x{k}" for k in range(5000))) for i in range(60))
+    tracemalloc.start()
+    assert sum(r[1] for r in near._sets(rows)) == 60 * 4996
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+
+
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df: tables.append(common.written(df)) or tables[-1])
+    edges = [(i, i + 1) for i in range(400)] + [(i, 1000 + i) for i in range(400)] + [(5000, 6000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert got == {x: 5000 if x >= 5000 else 0 for e in edges for x in e} and len(tables) <= 2
+    # What a task hands on early joins the same nodes.
+    parts = list(components._forest(iter(edges), 50))
+    assert dict(components._whole(iter(parts))) == got and len(parts) <= len(edges)
+
+
+def test_rows_that_meet_nothing_are_sifted_out(spark):
+    rows = spark.range(-5000, 20_000).selectExpr("id AS k", "cast(id AS string) AS text").unionByName(spark.createDataFrame([(None, "null")], "k long, text string"))
+    wanted = spark.range(-5000, 20_000).where("id % 100 = 0").selectExpr("id AS rep")
+    got = common.sifted(rows, "k", wanted, "rep")
+    ids = {r.k for r in got.collect()}
+    assert got.columns == rows.columns and ids >= {x for x in range(-5000, 20_000) if x % 100 == 0} and len(ids) < 300
+    assert common.sifted(rows, "k", wanted.limit(0), "rep").count() == 0
