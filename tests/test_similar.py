@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiguard.plans import similar
-from lexiguard.plans.registered import QUERIES
+from lexiguard.plans.registered import QUERIES, SQL
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -133,3 +133,31 @@ def test_short_hashes_meet_in_their_own_blocks(spark, tmp_path):
     vectors = [(i, [1.0 if x >> k & 1 else -1.0 for k in range(32)] + [1.0 - 2 * (i % 2)] * 32) for i, x in enumerate([base[0], base[0] ^ 7, ~base[0]])]
     spark.createDataFrame(vectors, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sorted(map(tuple, QUERIES["phash_hamming"](spark, str(tmp_path)).collect())) == [(0, 0, 0), (1, 0, 3)]
+
+
+@pytest.mark.parametrize("query", ["phash_hamming", "phash_altered_markers"])
+def test_images_without_a_vector_are_found_as_the_sql_finds_them(spark, tmp_path, query):
+    import duckdb
+
+    rng = random.Random(8)
+    signs = lambda n: [rng.choice((-1.0, 1.0)) for _ in range(n)]
+    rows = [(0, None), (1, None), (100, []), (200, [None] * 64), (300, signs(64)), (2, signs(20)), (3, [-1.0] * 64), (4, [1.0] * 6 + [-1.0] * 58), (None, None), (5, [float("nan")] * 64)]
+    spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = Counter(con.execute(SQL[query]).fetchall())
+    assert Counter(map(tuple, QUERIES[query](spark, str(tmp_path)).collect())) == want and want[1, 0, 0] == 1
+
+
+def test_what_is_looked_up_is_little_and_not_broadcast(spark):
+    hashes = spark.range(2000).selectExpr("id AS image_id", "xxhash64(id) & 4294967295 AS phash")
+    near = similar.near_hashes(hashes, hashes.where("image_id % 50 = 0").withColumnRenamed("image_id", "marker_id"), n_bits=32)
+    near.collect()
+    # Spark takes a few markers to be a few rows, though each looks up thousands of values.
+    joins = [x for x in near._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "bits" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    for radius in range(20):
+        for blocks in range(1, 6):
+            # Hashes beyond the reach of every block are beyond the radius, and no smaller reaches would do.
+            reaches = similar._reaches(radius, blocks)
+            assert sum(r + 1 for r in reaches) == radius + 1 and max(reaches) - min(reaches) <= 1 and min(reaches) >= -1
